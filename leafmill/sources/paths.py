@@ -34,19 +34,26 @@ def subfolders(spark: SparkSession, folder: str) -> list[str]:
 
 
 def path_part(from_end: int) -> Column:
-    """A decoded part of the file path; 1 is the file name, 2 its folder, and so on.
+    """A decoded part of the file path; 1 is the file name, 2 its folder, and so on."""
+    return _decoded(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -from_end))
 
-    The path is URL-encoded but for ``+``, which ``url_decode`` would take for a space.
-    """
-    part = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -from_end)
+
+def _decoded(part: Column) -> Column:
+    # ``+`` stands for itself in a path, but url_decode would take it for a space.
     return F.url_decode(F.replace(part, F.lit("+"), F.lit("%2B")))
 
 
 def with_path_keys(df: DataFrame, keys: Sequence[str], below: int = 1) -> DataFrame:
     """Put key columns, taken from the folders above each file, before the other columns.
 
-    ``below`` is the number of path parts below the last key folder.
+    Folders may be named by the value alone or as ``key=value``. ``below`` is the number of
+    path parts below the last key folder.
     """
     depth = len(keys) + below
-    values = [path_part(depth - i).alias(k) for i, k in enumerate(keys)]
+    values = []
+    for i, key in enumerate(keys):
+        part, tag = path_part(depth - i), f"{key}="
+        # Spark escapes the value in a key=value folder once more.
+        tagged = _decoded(F.substring(part, len(tag) + 1, 10_000))
+        values.append(F.when(part.startswith(tag), tagged).otherwise(part).alias(key))
     return df.select(*values, "*")

@@ -127,7 +127,9 @@ def read_split_csv(
         path = f"{folder.rstrip('/')}/{file_name}"
         if not exists(spark, path):
             raise FileNotFoundError(f"{name} file not found: {path}")
-        tables[name] = spark.read.option("header", True).option("inferSchema", name != "metadata").csv(path)
+        # Recursive: an export keeps its files in numbered sub-folders.
+        reader = spark.read.option("header", True).option("recursiveFileLookup", True)
+        tables[name] = reader.option("inferSchema", name != "metadata").csv(path)
     require_equal_counts(tables)
     return positional_join(list(tables.values()))
 
