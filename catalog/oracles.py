@@ -205,7 +205,7 @@ ASKED = ", ".join(f"('{s}')" for s in ASKED_SOURCES)
 
 ORACLES = {
     "leaf_statistics": leaf_sql("lineitem", LEAF_KEYS, LEAF_MEASURES),
-    "leaf_statistics_all_numeric": leaf_sql("lineitem", LEAF_KEYS, ["l_linenumber", *LEAF_MEASURES]),
+    "leaf_statistics_all_numeric": leaf_sql("lineitem", LEAF_KEYS, ["l_orderkey", "l_partkey", "l_linenumber", *LEAF_MEASURES]),
     "hierarchy_rollup": rollup(),
     "correlation_matrix": correlations(),
     "leaf_without_measures": "SELECT lang, source, "

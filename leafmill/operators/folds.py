@@ -1,13 +1,15 @@
 """Group folds: groups are never split, and the largest group goes to the lightest fold."""
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from leafmill.operators.ranking import exact_split, with_rank
 from leafmill.session import BROADCAST_ROWS, staged
 
+# Up to this many groups, counted first, are ranked in one task.
+FEW_GROUPS = 100_000
 # A group above this share of all rows counts as hot. At most HOT_SHARE groups can be.
 HOT_SHARE = 1000
 
@@ -29,14 +31,18 @@ def group_folds(df: DataFrame, group: str, n_folds: int) -> DataFrame:
     n_groups, n_sizes = sizes.agg(F.count("*"), F.count_distinct("group_size")).first()
     if n_groups < n_folds:
         raise ValueError(f"cannot make {n_folds} folds from {n_groups} groups")
-    ranked = with_rank(sizes, [F.col("group_size").desc(), F.col(group).desc()], "_rank", unique=True)
+    order = [F.col("group_size").desc(), F.col(group).desc()]
+    if n_groups <= FEW_GROUPS:
+        ranked = sizes.withColumn("_rank", F.row_number().over(Window.orderBy(*order)) - 1)
+    else:
+        ranked = with_rank(sizes, order, "_rank", unique=True)
     # Distinct sizes: at most sqrt(2 * rows), and in practice a few thousand.
     histogram = sizes.groupBy("group_size").agg(F.count("*").alias("_groups"))
     patterns = (
         histogram.coalesce(1)
         .sortWithinPartitions(F.col("group_size").desc())
         .mapInPandas(
-            lambda batches: _fold_patterns(batches, n_folds),
+            _fold_patterns(n_folds),
             "_size long, _begin long, _from_position long, _to_position long, _turn array<int>",
         )
     )
@@ -51,37 +57,44 @@ def group_folds(df: DataFrame, group: str, n_folds: int) -> DataFrame:
     return joined.select(group, "group_size", F.get("_turn", turn.cast("int")).alias("fold"))
 
 
-def _fold_patterns(batches: Iterator[pd.DataFrame], n_folds: int) -> Iterator[pd.DataFrame]:
-    """Per size: stretches of positions, each served by a fixed cycle of folds."""
-    loads, begin = [0] * n_folds, 0
-    for batch in batches:
-        rows = []
-        for size, n in zip(batch["group_size"].tolist(), batch["_groups"].tolist()):
-            # A fold's load is a whole number of rounds plus a rest that orders it in a round.
-            rounds = [load // size for load in loads]
-            by_turn = sorted(range(n_folds), key=lambda f: (loads[f] % size, f))
-            levels, position = sorted(set(rounds)), 0
-            for level, following in zip(levels, [*levels[1:], None]):
-                turn = [f for f in by_turn if rounds[f] <= level]
-                left = n - position
-                length = left if following is None else min(left, (following - level) * len(turn))
-                if length <= 0:
-                    break
-                rows.append((size, begin, position, position + length, turn))
-                for i, f in enumerate(turn):
-                    loads[f] += size * ((length - i + len(turn) - 1) // len(turn))
-                position += length
-            begin += n
-        yield pd.DataFrame(rows, columns=["_size", "_begin", "_from_position", "_to_position", "_turn"])
+def _fold_patterns(n_folds: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Per size: stretches of positions, each served by a fixed cycle of folds.
+
+    The returned function is a closure, so executors need no copy of this package.
+    """
+
+    def patterns(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        loads, begin = [0] * n_folds, 0
+        for batch in batches:
+            rows = []
+            for size, n in zip(batch["group_size"].tolist(), batch["_groups"].tolist()):
+                # A fold's load is a whole number of rounds plus a rest that orders it in a round.
+                rounds = [load // size for load in loads]
+                by_turn = sorted(range(n_folds), key=lambda f: (loads[f] % size, f))
+                levels, position = sorted(set(rounds)), 0
+                for level, following in zip(levels, [*levels[1:], None]):
+                    turn = [f for f in by_turn if rounds[f] <= level]
+                    left = n - position
+                    length = left if following is None else min(left, (following - level) * len(turn))
+                    if length <= 0:
+                        break
+                    rows.append((size, begin, position, position + length, turn))
+                    for i, f in enumerate(turn):
+                        loads[f] += size * ((length - i + len(turn) - 1) // len(turn))
+                    position += length
+                begin += n
+            yield pd.DataFrame(rows, columns=["_size", "_begin", "_from_position", "_to_position", "_turn"])
+
+    return patterns
 
 
 def attach_folds(df: DataFrame, folds: DataFrame, group: str) -> DataFrame:
     """Give every row the fold of its group."""
-    wanted = staged(folds.select(group, "group_size", "fold"), "folds")
+    wanted = folds.select(group, "group_size", "fold")
     count, total = wanted.agg(F.count("*"), F.sum("group_size")).first()
-    chosen = wanted.select(group, "fold")
     if count <= BROADCAST_ROWS:
-        return df.join(F.broadcast(chosen), group)
+        return df.join(F.broadcast(wanted.drop("group_size")), group)
+    wanted = staged(wanted, "folds")
     # Hot groups, at most HOT_SHARE of them, are looked up in place; only the others shuffle.
     hot = F.broadcast(wanted.where(F.col("group_size") * HOT_SHARE > total).select(group, "fold"))
     cold = wanted.where(F.col("group_size") * HOT_SHARE <= total).select(group, "fold")

@@ -133,30 +133,26 @@ def exact_split(
 
 def _cut(hashes: DataFrame, fraction: float) -> tuple[str, int, int] | None:
     """(hash of the last row taken, rows taken with that hash, rows with that hash)."""
-    prefix, wanted, size = "", None, None
-    while wanted is None or (size > FEW_ROWS and len(prefix) < MD5_DIGITS):
-        length = len(prefix) + PREFIX_DIGITS
-        inside = hashes.where(F.col("_hash").startswith(prefix)) if prefix else hashes
-        counts = inside.groupBy(F.substring("_hash", 1, length).alias("_prefix")).agg(F.count("*").alias("_rows"))
-        # At most 16**PREFIX_DIGITS rows, so the running total needs one small task.
-        upto = Window.orderBy("_prefix").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        running = counts.select("_prefix", "_rows", F.sum("_rows").over(upto).alias("_upto"))
-        if wanted is None:
-            total = counts.agg(F.sum("_rows")).first()[0] or 0
-            wanted = int(total * fraction)
-            if wanted == 0:
-                return None
-        bucket = running.where(F.col("_upto") >= wanted).orderBy("_prefix").first()
-        prefix, size = bucket["_prefix"], bucket["_rows"]
-        wanted -= bucket["_upto"] - size
-    if len(prefix) == MD5_DIGITS:
-        return prefix, wanted, size
-    candidates = hashes.where(F.col("_hash").startswith(prefix)).groupBy("_hash").agg(F.count("*").alias("_rows"))
-    upto = Window.orderBy("_hash").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    row = (
-        candidates.withColumn("_upto", F.sum("_rows").over(upto))
-        .where(F.col("_upto") >= wanted)
-        .orderBy("_hash")
-        .first()
-    )
-    return row["_hash"], wanted - (row["_upto"] - row["_rows"]), row["_rows"]
+    whole = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    first = _running(hashes, PREFIX_DIGITS).withColumn("_all", F.sum("_rows").over(whole))
+    wanted = F.floor(F.col("_all") * fraction)
+    row = first.withColumn("_wanted", wanted).where("_wanted > 0 AND _upto >= _wanted").orderBy("_prefix").first()
+    if row is None:
+        return None
+    left = row["_wanted"]
+    while True:
+        prefix, size = row["_prefix"], row["_rows"]
+        left -= row["_upto"] - size
+        if len(prefix) == MD5_DIGITS:
+            return prefix, left, size
+        # Few enough rows to list their full hashes; otherwise narrow by some more digits.
+        digits = MD5_DIGITS if size <= FEW_ROWS else len(prefix) + PREFIX_DIGITS
+        inside = _running(hashes.where(F.col("_hash").startswith(prefix)), digits)
+        row = inside.where(F.col("_upto") >= left).orderBy("_prefix").first()
+
+
+def _running(hashes: DataFrame, digits: int) -> DataFrame:
+    """Rows per hash prefix and running total; a short table, so one small task adds it up."""
+    counts = hashes.groupBy(F.substring("_hash", 1, digits).alias("_prefix")).agg(F.count("*").alias("_rows"))
+    upto = Window.orderBy("_prefix").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return counts.withColumn("_upto", F.sum("_rows").over(upto))

@@ -31,21 +31,14 @@ def leaf_partials(
 ) -> DataFrame:
     """Own Python per leaf, as partial results of bounded pieces of a leaf.
 
-    ``part`` gets the rows of one leaf within one Arrow batch and returns rows without keys;
-    ``schema`` names their columns. A following ``groupBy(keys).agg(...)`` merges the pieces.
-    A leaf of any size is worked on by many tasks and never gathered in one.
+    ``part`` gets one Arrow batch with rows of any leaves and returns one row per leaf met: the
+    keys and the columns of ``schema``. A following ``groupBy(keys).agg(...)`` merges the
+    pieces. A leaf of any size is worked on by many tasks and never gathered in one.
     """
-    keys = list(keys)
-    key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in keys)
-    key_order = [f.name for f in df.schema if f.name in keys]
+    key_schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for values, rows in batch.groupby(key_order, dropna=False, sort=False):
-                result = part(rows.drop(columns=key_order))
-                for i, (key, value) in enumerate(zip(key_order, values)):
-                    result.insert(i, key, value)
-                yield result
+        return (part(batch) for batch in batches)
 
     return df.mapInPandas(pieces, f"{key_schema}, {schema}")
 

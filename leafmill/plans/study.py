@@ -7,20 +7,19 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Estimator, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import IndexToString, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import IndexToString, SQLTransformer, StringIndexerModel, VectorAssembler
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from leafmill import DEFAULT_KEYS
 from leafmill.functions.columns import feature_columns, group_key
-from leafmill.operators.arrange import label_columns
+from leafmill.operators.arrange import label_columns, union_sources
 from leafmill.operators.checks import require_prepared
 from leafmill.operators.folds import attach_folds, group_folds
-from leafmill.operators.metrics import classification_report, score
+from leafmill.operators.metrics import class_report, classification_report, confusion_counts, score, scores
 from leafmill.operators.ranking import exact_split
-from leafmill.session import staged
 from leafmill.sinks.writers import STUDY_PREFIX, next_folder, write_metrics, write_model
 
 # The ranges of the default search, both ends included.
@@ -55,9 +54,12 @@ def grid_params(values: dict[str, Sequence]) -> list[Params]:
 def assembled(df: DataFrame, features: Sequence[str], label: str | None, keep: Sequence[str] = ()) -> DataFrame:
     """Dense feature vector, label as double, and the columns to keep."""
     stage = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
-    out = stage.transform(df)
     columns = [*keep, "features"]
-    return out.select(*columns, *([F.col(label).cast("double").alias("label")] if label else []))
+    if label is not None:
+        # A cast would lose the class count that an indexed label carries.
+        value = F.col(label) if dict(df.dtypes)[label] == "double" else F.col(label).cast("double")
+        columns.append(value.alias("label"))
+    return stage.transform(df).select(*columns)
 
 
 def train_rows(df: DataFrame) -> DataFrame:
@@ -78,12 +80,23 @@ def _training_only(df: DataFrame) -> None:
 def cross_validate(
     train: DataFrame, params: Params, n_folds: int, metric: str, seed: int = 42, build: Builder = forest
 ) -> list[float]:
-    """One score per fold. ``train`` has features, label and fold, and should be persisted."""
-    results = []
-    for fold in range(n_folds):
+    """One score per fold. ``train`` has features, label and fold, and should be persisted.
+
+    The folds are fitted side by side. Their predictions are counted together, in one job.
+    """
+
+    def predict(fold: int) -> DataFrame:
         model = build(params, seed).fit(train.where(F.col("fold") != fold))
-        results.append(score(model.transform(train.where(F.col("fold") == fold)), metric))
-    return results
+        return model.transform(train.where(F.col("fold") == fold))
+
+    with ThreadPoolExecutor(max_workers=n_folds) as pool:
+        predicted = list(pool.map(inheritable_thread_target(train.sparkSession)(predict), range(n_folds)))
+    if metric == "roc_auc":
+        return [score(rows, metric) for rows in predicted]
+    by_fold = union_sources([rows.select("fold", "label", "prediction") for rows in predicted])
+    report = class_report(confusion_counts(by_fold, by=["fold"]), ["fold"])
+    found = {r["fold"]: r["score"] for r in scores(report, metric, ["fold"]).collect()}
+    return [found[fold] for fold in range(n_folds)]
 
 
 @dataclass
@@ -117,7 +130,7 @@ def search(
         return trial
 
     with ThreadPoolExecutor(max_workers=n_jobs) as pool:
-        return list(pool.map(run, range(len(candidates))))
+        return list(pool.map(inheritable_thread_target(train.sparkSession)(run), range(len(candidates))))
 
 
 def trial_table(spark: SparkSession, trials: Sequence[Trial]) -> DataFrame:
@@ -146,8 +159,9 @@ def best_trial(trials: DataFrame, direction: str = "maximize") -> DataFrame:
 
 
 def class_names(df: DataFrame, label: str) -> list[str]:
-    """Class values in ascending order. Their number is small: each is an output column."""
-    return [str(r[0]) for r in df.select(label).distinct().orderBy(label).collect()]
+    """Class values as text, in the order of the values. Each becomes an output column."""
+    values = df.select(label).distinct().orderBy(label)
+    return [r[0] for r in values.select(F.col(label).cast("string")).collect()]
 
 
 @dataclass
@@ -192,7 +206,7 @@ def run_study(
     index = StringIndexerModel.from_labels(classes, inputCol="_target", outputCol="_class", handleInvalid="error")
     grouped = data.withColumns({"_target": F.col(target).cast("string"), "group": group_key(*group)})
     prepared = assembled(index.transform(grouped), features, "_class", [*keys, "group"])
-    split = staged(exact_split(prepared, keys, train_fraction, seed, shuffle), "split")
+    split = exact_split(prepared, keys, train_fraction, seed, shuffle)
     folds = group_folds(train_rows(split), "group", n_folds)
     # Read by every fit of every trial: kept in memory, spilling to disk.
     train = attach_folds(train_rows(split), folds, "group").persist(StorageLevel.MEMORY_AND_DISK)
@@ -207,8 +221,10 @@ def run_study(
     tested = classification_report(fitted.transform(test_rows(split))).first()
 
     assembler = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
-    names = IndexToString(inputCol="prediction", outputCol="predicted_class", labels=classes)
-    model = PipelineModel([assembler, fitted, names])
+    names = IndexToString(inputCol="prediction", outputCol="_predicted", labels=classes)
+    kind = data.schema[target].dataType.simpleString()
+    typed = SQLTransformer(statement=f"SELECT *, CAST(_predicted AS {kind}) AS predicted_class FROM __THIS__")
+    model = PipelineModel([assembler, fitted, names, typed])
     version = next_folder(spark, study_path, STUDY_PREFIX)
     path = f"{study_path.rstrip('/')}/{version}"
     write_model(model, path)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from leafmill import DEFAULT_KEYS
 from leafmill.functions.columns import other_columns
 from leafmill.operators.arrange import union_sources
-from leafmill.sources.paths import literal, matching, subfolders, with_path_keys
+from leafmill.sources.paths import literal, subfolders, with_path_keys
 
 # Texts that stand for a missing value in a CSV cell.
 MISSING_TEXTS = (
@@ -17,18 +17,16 @@ MISSING_TEXTS = (
 BAD_CELLS = "bad_cells"
 
 
-def leaf_pattern(root: str, source: str | None, keys: Sequence[str], file_name: str) -> str:
-    first = "*" if source is None else literal(source)
+def leaf_pattern(root: str, sources: Sequence[str] | None, keys: Sequence[str], file_name: str) -> str:
+    """A path pattern that lists only folders of the given sources."""
+    first = "*" if sources is None else "{" + ",".join(literal(s) for s in sources) + "}"
     return "/".join([root.rstrip("/"), first, *["*"] * (len(keys) - 1), file_name])
 
 
-def present_sources(
-    spark: SparkSession, root: str, sources: Sequence[str] | None, keys: Sequence[str], file_name: str
-) -> tuple[list[str], list[str]]:
-    """The asked sources that have leaf files, and those that have none."""
-    asked = subfolders(spark, root) if sources is None else list(sources)
-    found = [s for s in asked if matching(spark, leaf_pattern(root, s, keys, file_name))]
-    return found, [s for s in asked if s not in found]
+def present_sources(spark: SparkSession, root: str, sources: Sequence[str]) -> tuple[list[str], list[str]]:
+    """The asked sources that have a folder, and those that have none."""
+    folders = set(subfolders(spark, root))
+    return [s for s in sources if s in folders], [s for s in sources if s not in folders]
 
 
 def read_leaf_text(
@@ -42,21 +40,19 @@ def read_leaf_text(
     """All leaf files of the sources as one table of text columns, keys first.
 
     Only folders of the asked sources are listed. Absent sources are skipped
-    (``present_sources`` reports them). The header of a source's files gives its columns; a
-    column that another source lacks is null there.
+    (``present_sources`` reports them). Without ``columns`` the header of each source's files
+    gives its columns, and a column that another source lacks is null there.
     """
-    found, _ = present_sources(spark, root, sources, keys, file_name)
+    found, _ = present_sources(spark, root, subfolders(spark, root) if sources is None else sources)
     if not found:
         raise ValueError(f"no leaf files for any of {sources or 'the sources'} below {root}")
     reader = spark.read.option("header", True).option("enforceSchema", False)
-    tables = []
     if columns is not None:
         schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-        paths = [leaf_pattern(root, s, keys, file_name) for s in found]
-        return with_path_keys(reader.schema(schema).csv(paths), keys)
-    for source in found:
-        tables.append(with_path_keys(reader.csv(leaf_pattern(root, source, keys, file_name)), keys))
-    return union_sources(tables)
+        return with_path_keys(reader.schema(schema).csv(leaf_pattern(root, found, keys, file_name)), keys)
+    return union_sources(
+        [with_path_keys(reader.csv(leaf_pattern(root, [s], keys, file_name)), keys) for s in found]
+    )
 
 
 def typed_cells(text: DataFrame, schema: T.StructType, keys: Sequence[str] = DEFAULT_KEYS) -> DataFrame:
