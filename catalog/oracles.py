@@ -45,18 +45,17 @@ def normal(text: str) -> str:
     return f"(sqrt(-2e0 * ln({uniform(text)})) * cos(2e0 * pi() * {uniform(text, 1)}))"
 
 
-def exponential(text: str, scale: float, half: int = 0) -> str:
-    return f"(-{scale:e} * ln({uniform(text, half)}))"
+def numbered(text: str, i: int) -> str:
+    """Uniform draw number ``i`` of a row."""
+    return uniform(f"concat_ws('|', {text}, '{i // 2}')", i % 2)
 
 
-def gamma(text: str, shape: int, scale: float = 1.0) -> str:
-    parts = [exponential(f"concat_ws('|', {text}, '{i // 2}')", scale, i % 2) for i in range(shape)]
-    return "(" + " + ".join(parts) + ")"
+def gamma(uniforms: list[str], scale: float = 1.0) -> str:
+    return f"(-{scale:e} * ln({' * '.join(uniforms)}))"
 
 
-def beta(text: str, a: int, b: int) -> str:
-    left, right = gamma(f"concat_ws('|', {text}, 'a')", a), gamma(f"concat_ws('|', {text}, 'b')", b)
-    return f"({left} / ({left} + {right}))"
+def beta(left: list[str], right: list[str]) -> str:
+    return f"(1e0 / (1e0 + {gamma(right)} / {gamma(left)}))"
 
 
 EVENT_LEAVES = """(
@@ -169,31 +168,33 @@ def normal_columns(keys: list[str], n: int, prefix: str) -> str:
 
 def synthetic() -> str:
     keys = ["source", "hierarchy_1", "hierarchy_2"]
+    leaf = [numbered(draw(*keys), i) for i in range(4)]
+    u = [f"u{i}" for i in range(29)]
+    drawn = ", ".join(f"{numbered(draw(*keys, 'step'), i)} AS u{i}" for i in range(29))
+    rates = ", ".join(f"0.02e0 + {leaf[i]} * (0.05e0 - 0.02e0) AS rate_{i}" for i in (1, 2, 3))
 
-    def cell(label: str) -> str:
-        return draw(*keys, "step", f"'{label}'")
+    def mask(i: int, value: str) -> str:
+        return rounded(f"CASE WHEN u{24 + i} >= rate_{i} THEN {value} END", 6)
 
-    def mask(label: str, value: str) -> str:
-        rate = f"(0.02e0 + {uniform(draw(*keys, repr('rate_' + label)))} * (0.05e0 - 0.02e0))"
-        return f"CASE WHEN {uniform(cell('mask_' + label))} >= {rate} THEN {value} END"
+    def bell(i: int) -> str:
+        return f"sqrt(-2e0 * ln(u{i})) * cos(2e0 * pi() * u{i + 1})"
 
-    n_rows = f"100 + floor({uniform(draw(*keys, repr('rows')))} * 200)"
-    u = uniform(cell("status_flag"))
     return f"""
     WITH leaves AS (
         SELECT n_name AS source, n_regionkey::VARCHAR AS hierarchy_1, s_suppkey::VARCHAR AS hierarchy_2
         FROM supplier JOIN nation ON s_nationkey = n_nationkey),
-    steps AS (SELECT *, unnest(range(({n_rows})::BIGINT)) AS step FROM leaves)
+    steps AS (SELECT *, {rates}, unnest(range((100 + floor({leaf[0]} * 200))::BIGINT)) AS step FROM leaves),
+    draws AS (SELECT *, {drawn} FROM steps)
     SELECT source, hierarchy_1, hierarchy_2,
-           CASE WHEN {u} < 0.8e0 THEN 'normal' WHEN {u} < 0.8e0 + 0.15e0 THEN 'warning' ELSE 'alert' END AS status_flag,
+           CASE WHEN u28 < 0.8e0 THEN 'normal' WHEN u28 < 0.8e0 + 0.15e0 THEN 'warning' ELSE 'alert' END AS status_flag,
            strftime(TIMESTAMP '2024-01-01 00:00:00' + to_minutes(30 * step), '%Y-%m-%d %H:%M:%S') AS time,
-           {rounded(mask('measurement_1', '50e0 + 10e0 * ' + normal(cell('measurement_1'))), 6)} AS measurement_1,
-           {rounded(mask('measurement_2', exponential(cell('measurement_2'), 5.0)), 6)} AS measurement_2,
-           {rounded('100e0 * ' + beta(cell('measurement_3'), 2, 5), 6)} AS measurement_3,
-           {rounded(mask('sensor_reading_a', gamma(cell('sensor_reading_a'), 3, 2.0)), 6)} AS sensor_reading_a,
-           {rounded('exp(2e0 + 0.5e0 * ' + normal(cell('sensor_reading_b')) + ')', 6)} AS sensor_reading_b,
-           {rounded('100e0 * ' + beta(cell('quality_metric'), 8, 2), 6)} AS quality_metric
-    FROM steps"""
+           {mask(1, '50e0 + 10e0 * ' + bell(0))} AS measurement_1,
+           {mask(2, gamma([u[2]], 5.0))} AS measurement_2,
+           {rounded('100e0 * ' + beta(u[3:5], u[5:10]), 6)} AS measurement_3,
+           {mask(3, gamma(u[10:13], 2.0))} AS sensor_reading_a,
+           {rounded('exp(2e0 + 0.5e0 * ' + bell(13) + ')', 6)} AS sensor_reading_b,
+           {rounded('100e0 * ' + beta(u[15:23], u[23:25]), 6)} AS quality_metric
+    FROM draws"""
 
 
 def span_sql() -> str:

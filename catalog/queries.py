@@ -5,7 +5,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from leafmill.functions.columns import clipped, group_key, numeric_columns, prefixed
-from leafmill.functions.draws import draw_text, normal_features
+from leafmill.functions.draws import draw_text, normal_features, uniform
 from leafmill.operators import arrange, checks, descriptor, folds, metrics, ranking, selection, statistics, versions
 from leafmill.plans import arrangement, inference, preprocess, study
 from leafmill.session import scratch_path, staged
@@ -208,7 +208,7 @@ def merge_repeated_keys(spark, folder):
     suppliers = table(spark, folder, "supplier").where("s_acctbal > 5000")
     left = customers.select(F.col("c_nationkey").alias("nation"), "c_custkey")
     right = suppliers.select(F.col("s_nationkey").alias("nation"), "s_suppkey")
-    return arrange.merge_feature_types([left, right], ["nation"], one_row_per_key=False)
+    return arrange.merge_feature_types([left, right], ["nation"], unique_keys=False)
 
 
 def union_sources(spark, folder):
@@ -381,11 +381,9 @@ def classification_report(spark, folder):
 
 def metric_by_name(spark, folder):
     report = metrics.class_report(metrics.confusion_counts(_judged(spark, folder), "quality"))
-    rows = [
-        metrics.scores(report, name).select(F.lit(name).alias("metric"), rounded(F.col("score"), 9).alias("score"))
-        for name in ("accuracy", "balanced_accuracy", "f1", "f1_macro", "f1_weighted", "precision_weighted")
-    ]
-    return arrange.union_sources(rows)
+    names = ["accuracy", "balanced_accuracy", "f1", "f1_macro", "f1_weighted", "precision_weighted"]
+    row = metrics.scores(report, names).select(*[rounded(F.col(n), 9).alias(n) for n in names])
+    return row.unpivot([], names, "metric", "score")
 
 
 def threshold_search(spark, folder):
@@ -417,7 +415,7 @@ def clip_and_mask(spark, folder):
     return items.select(
         "l_orderkey", "l_linenumber", "l_partkey",
         clipped(F.col("l_quantity"), 5.0, 45.0).alias("quantity"),
-        clipped(synthetic.masked(F.col("l_extendedprice"), place, F.lit(0.03)), low=20000.0).alias("price"),
+        clipped(synthetic.masked(F.col("l_extendedprice"), uniform(place), F.lit(0.03)), low=20000.0).alias("price"),
     )
 
 

@@ -7,42 +7,49 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from leafmill.functions.columns import as_strings, other_columns
 from leafmill.operators.checks import require_columns
+from leafmill.session import staged
 
 HAS_LABEL = "has_label"
 
 
 def merge_feature_types(
-    tables: Sequence[DataFrame], keys: Sequence[str], one_row_per_key: bool = True
+    tables: Sequence[DataFrame], keys: Sequence[str], unique_keys: bool = True
 ) -> DataFrame:
     """Full outer join of feature tables on the keys; one table passes through.
 
-    Two tables are joined directly. For more, a chain of full outer joins would shuffle the
-    growing wide result at every step, because a full outer join forgets its partitioning.
-    There a list of all keys, narrow and without doubles, is left-joined with each table in
-    turn: it keeps its partitioning, so every table is shuffled once.
-
-    Feature tables hold one row per key by construction. Where that is not so, pass
-    ``one_row_per_key=False``: repeated keys multiply, and a hot key must be split between
-    tasks, which Spark does for inner and anti joins but not for full outer ones.
+    Feature tables hold one row per key. Then the join is an aggregation: the tables are put
+    below each other and grouped by key, with a single shuffle for any number of tables and no
+    wide intermediate results. A key that one table repeats stops the job with an error; pass
+    ``unique_keys=False`` for such tables, where the rows of a key multiply.
     """
     keys = list(keys)
     if not tables:
         raise ValueError("no feature tables to merge")
-    if not one_row_per_key:
-        return reduce(lambda a, b: _outer_by_parts(a, b, keys), tables)
-    if len(tables) <= 2:
-        return reduce(lambda a, b: a.join(b, keys, "full_outer"), tables)
-    complete = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
-    all_keys = reduce(DataFrame.unionByName, [t.select(*keys).where(complete) for t in tables]).distinct()
-    merged = reduce(lambda a, b: a.join(b, keys, "left"), tables, all_keys)
-    # A null key equals nothing, so such rows stand alone, as in a full outer join.
-    for table in tables:
-        if any(table.schema[k].nullable for k in keys):
-            merged = merged.unionByName(table.where(~complete), allowMissingColumns=True)
-    return merged
+    names = [c for t in tables for c in other_columns(t, keys)]
+    if len(set(names)) < len(names):
+        raise ValueError(f"feature columns occur in more than one table: {sorted({c for c in names if names.count(c) > 1})}")
+    if len(tables) == 1:
+        return tables[0]
+    if not unique_keys:
+        merged = tables[0]
+        for i, table in enumerate(tables[1:]):
+            # Each step reads its input three times, so longer chains are written down between.
+            merged = _outer_by_parts(staged(merged, "merged") if i else merged, table, keys)
+        return merged
+    marks = [f"_rows_{i}" for i in range(len(tables))]
+    marked = [t.withColumn(m, F.lit(1)) for t, m in zip(tables, marks)]
+    values = [F.first(c, ignorenulls=True).alias(c) for c in names]
+    counts = [F.sum(m).alias(m) for m in marks]
+    grouped = union_sources(marked).groupBy(*keys).agg(*values, *counts)
+    repeated = reduce(lambda a, b: a | b, [F.coalesce(F.col(m), F.lit(0)) > 1 for m in marks])
+    failure = F.raise_error("a feature table repeats a key; merge it with unique_keys=False")
+    # The check guards a key column, which every reader of the result evaluates.
+    checked = F.when(repeated, failure.cast(grouped.schema[keys[0]].dataType)).otherwise(F.col(keys[0]))
+    return grouped.select(checked.alias(keys[0]), *keys[1:], *names)
 
 
 def _outer_by_parts(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join plus both anti joins: Spark can split a hot key in these, but not in a full outer join."""
     parts = [
         left.join(right, keys, "inner"),
         left.join(right.select(*keys).distinct(), keys, "left_anti"),

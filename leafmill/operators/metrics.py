@@ -72,24 +72,27 @@ def classification_report(
     )
 
 
-def scores(report: DataFrame, metric: str, by: Sequence[str] = ()) -> DataFrame:
-    """One score per ``by`` group from a class report, chosen by name."""
-    if metric not in CONFUSION_METRICS:
-        raise ValueError(f"unknown metric '{metric}', expected one of {CONFUSION_METRICS} or roc_auc")
+def scores(report: DataFrame, names: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """One row per ``by`` group with a column for each score, from a class report."""
+    unknown = [n for n in names if n not in CONFUSION_METRICS]
+    if unknown:
+        raise ValueError(f"unknown metrics {unknown}, expected some of {CONFUSION_METRICS} or roc_auc")
+    return report.groupBy(*by).agg(*[_score(n).alias(n) for n in names])
+
+
+def _score(metric: str) -> Column:
     name, _, average = metric.partition("_")
     support = F.col("support")
     if metric == "accuracy":
-        value = F.sum("hits") / F.sum("support")
-    elif metric == "balanced_accuracy":
-        value = F.avg(F.when(support > 0, F.col("recall")))
-    elif average == "macro":
-        value = F.avg(name)
-    elif average == "weighted":
-        value = F.sum(F.col(name) * support) / F.sum(support)
-    else:
-        # Two-class scores are those of class 1.
-        value = F.coalesce(F.max(F.when(F.col("class") == 1.0, F.col(name))), F.lit(0.0))
-    return report.groupBy(*by).agg(value.alias("score"))
+        return F.sum("hits") / F.sum("support")
+    if metric == "balanced_accuracy":
+        return F.avg(F.when(support > 0, F.col("recall")))
+    if average == "macro":
+        return F.avg(name)
+    if average == "weighted":
+        return F.sum(F.col(name) * support) / F.sum(support)
+    # Two-class scores are those of class 1.
+    return F.coalesce(F.max(F.when(F.col("class") == 1.0, F.col(name))), F.lit(0.0))
 
 
 def score(df: DataFrame, metric: str, label: str = "label", prediction: str = "prediction") -> float:
@@ -99,4 +102,4 @@ def score(df: DataFrame, metric: str, label: str = "label", prediction: str = "p
             labelCol=label, rawPredictionCol="probability", metricName="areaUnderROC", numBins=0
         )
         return evaluator.evaluate(df)
-    return scores(class_report(confusion_counts(df, label, prediction)), metric).first()["score"]
+    return scores(class_report(confusion_counts(df, label, prediction)), [metric]).first()[metric]

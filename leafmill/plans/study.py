@@ -95,7 +95,7 @@ def cross_validate(
         return [score(rows, metric) for rows in predicted]
     by_fold = union_sources([rows.select("fold", "label", "prediction") for rows in predicted])
     report = class_report(confusion_counts(by_fold, by=["fold"]), ["fold"])
-    found = {r["fold"]: r["score"] for r in scores(report, metric, ["fold"]).collect()}
+    found = {r["fold"]: r[metric] for r in scores(report, [metric], ["fold"]).collect()}
     return [found[fold] for fold in range(n_folds)]
 
 
