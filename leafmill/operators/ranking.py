@@ -9,7 +9,6 @@ Three ways to number rows, by what the number must follow:
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from leafmill.functions.draws import draw_text
@@ -32,20 +31,15 @@ def with_row_position(df: DataFrame, name: str = "position") -> DataFrame:
     files into splits may change between jobs.
     """
     columns = df.columns
-    try:
-        placed = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    known = df.select("_metadata").schema["_metadata"].dataType.names
+    file = F.col("_metadata.file_path").alias("_file")
+    if "row_index" in known:
+        placed = df.select("*", file, F.col("_metadata.row_index").alias("_row"))
         part, n_parts = ["_file"], len(df.inputFiles())
         sizes = placed.groupBy(*part).agg((F.max("_row") + 1).alias("_rows"), F.lit(0).alias("_first"))
-    except AnalysisException:
-        placed = staged(
-            df.select(
-                "*",
-                F.col("_metadata.file_path").alias("_file"),
-                F.col("_metadata.file_block_start").alias("_start"),
-                F.monotonically_increasing_id().alias("_row"),
-            ),
-            "placed",
-        )
+    else:
+        start = F.col("_metadata.file_block_start").alias("_start")
+        placed = staged(df.select("*", file, start, F.monotonically_increasing_id().alias("_row")), "placed")
         part = ["_file", "_start"]
         sizes = placed.groupBy(*part).agg(F.count("*").alias("_rows"), F.min("_row").alias("_first"))
         n_parts = sizes.count()

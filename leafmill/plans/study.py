@@ -1,6 +1,7 @@
 """Parameter search with group cross-validation, refit, test and report."""
 
 import json
+import math
 import random
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -13,9 +14,8 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import IndexToString, SQLTransformer, StringIndexerModel, VectorAssembler
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leafmill import DEFAULT_KEYS
 from leafmill.functions.columns import feature_columns, group_key
-from leafmill.operators.arrange import label_columns, union_sources
+from leafmill.operators.arrange import union_sources
 from leafmill.operators.checks import require_prepared
 from leafmill.operators.folds import attach_folds, group_folds
 from leafmill.operators.metrics import class_report, classification_report, confusion_counts, score, scores
@@ -25,6 +25,8 @@ from leafmill.sinks.writers import STUDY_PREFIX, next_folder, write_metrics, wri
 # The ranges of the default search, both ends included.
 FOREST_SPACE = {"n_estimators": (50, 300), "max_depth": (3, 20), "min_samples_leaf": (1, 10)}
 FOREST_PARAMS = {"n_estimators": "numTrees", "max_depth": "maxDepth", "min_samples_leaf": "minInstancesPerNode"}
+# Vector bytes that one training task should hold.
+TASK_BYTES = 64 * 1024 * 1024
 
 Params = dict[str, int | float | str]
 # Makes an estimator with columns features, label -> prediction, probability.
@@ -176,8 +178,8 @@ class StudyResult:
 def run_study(
     data: DataFrame,
     study_path: str,
-    keys: Sequence[str] = DEFAULT_KEYS,
-    labels: Sequence[str] | None = None,
+    keys: Sequence[str],
+    labels: Sequence[str],
     candidates: Sequence[Params] | None = None,
     n_trials: int = 50,
     n_folds: int = 5,
@@ -195,8 +197,7 @@ def run_study(
     ``data`` is a labelled feature set read from storage. The first label is the target.
     """
     spark = data.sparkSession
-    keys = list(keys)
-    labels = list(labels) if labels is not None else label_columns(data.select(*keys, data.columns[-1]), keys)
+    keys, labels = list(keys), list(labels)
     require_prepared(data, keys, labels)
     target, features = labels[0], feature_columns(data, keys, labels)
     group = list(group) if group is not None else keys[:2]
@@ -208,8 +209,11 @@ def run_study(
     prepared = assembled(index.transform(grouped), features, "_class", [*keys, "group"])
     split = exact_split(prepared, keys, train_fraction, seed, shuffle)
     folds = group_folds(train_rows(split), "group", n_folds)
-    # Read by every fit of every trial: kept in memory, spilling to disk.
-    train = attach_folds(train_rows(split), folds, "group").persist(StorageLevel.MEMORY_AND_DISK)
+    n_rows = folds.agg(F.sum("group_size")).first()[0]
+    n_tasks = math.ceil(n_rows * len(features) * 8 / TASK_BYTES)
+    # Read by every fit of every trial: kept in memory, spilling to disk, and on no more
+    # partitions than its size asks for, because a forest runs two stages per tree level.
+    train = attach_folds(train_rows(split), folds, "group").coalesce(n_tasks).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         finished = search(train, candidates, n_folds, metric, seed, n_jobs, build)
         trials = trial_table(spark, finished)

@@ -54,6 +54,6 @@ def with_path_keys(df: DataFrame, keys: Sequence[str], below: int = 1) -> DataFr
     for i, key in enumerate(keys):
         part, tag = path_part(depth - i), f"{key}="
         # Spark escapes the value in a key=value folder once more.
-        tagged = _decoded(F.substring(part, len(tag) + 1, 10_000))
+        tagged = _decoded(F.substring(part, F.lit(len(tag) + 1), F.length(part)))
         values.append(F.when(part.startswith(tag), tagged).otherwise(part).alias(key))
     return df.select(*values, "*")

@@ -1,6 +1,7 @@
 import hashlib
 
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from leafmill.operators import ranking
@@ -44,6 +45,13 @@ def test_split_is_exact_when_one_key_holds_most_rows(spark, fraction):
     assert sum(r["key"] == 0 for r in rows) == 700
 
 
+def test_split_inside_repeated_vectors(spark):
+    rows = [("k", Vectors.dense([1.0, float(i % 3)])) for i in range(30)]
+    df = staged(spark.createDataFrame(rows, ["key", "features"]), "vectors")
+    split = ranking.exact_split(df, ["key"], 0.4).collect()
+    assert len(split) == 30 and sum(r["is_train"] for r in split) == 12
+
+
 def test_split_in_order(spark):
     rows = ranking.exact_split(numbers(spark, 50), ["id"], 0.5, shuffle=False).collect()
     assert {r["id"] for r in rows if r["is_train"]} == set(range(25))
