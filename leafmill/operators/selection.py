@@ -5,6 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from leafmill.operators.checks import require_columns
+from leafmill.session import name_table
 
 
 def leaves(df: DataFrame, keys: Sequence[str], level: int | None = None) -> DataFrame:
@@ -20,7 +21,7 @@ def only_sources(df: DataFrame, sources: Sequence[str], source_column: str = "so
 
 def absent_sources(df: DataFrame, sources: Sequence[str], source_column: str = "source") -> DataFrame:
     """The requested sources that have no row."""
-    asked = df.sparkSession.createDataFrame([(s,) for s in sorted(set(sources))], f"{source_column} string")
+    asked = name_table(df.sparkSession, sorted(set(sources)), source_column)
     return asked.join(df.select(source_column).distinct(), source_column, "left_anti")
 
 

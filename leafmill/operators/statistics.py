@@ -178,8 +178,8 @@ def correlation_matrix(
     """
     keys = list(keys)
     names = numeric_columns(df, keys) if measures is None else list(measures)
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
-    aggregates = []
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    aggregates = [F.var_pop(nan_to_null(df, name)).alias(f"_v_{name}") for name in names]
     for i, (a, b) in enumerate(pairs):
         both = nan_to_null(df, a).isNotNull() & nan_to_null(df, b).isNotNull()
         left, right = F.when(both, nan_to_null(df, a)), F.when(both, nan_to_null(df, b))
@@ -189,11 +189,15 @@ def correlation_matrix(
             F.var_pop(right).alias(f"_vb_{i}"),
         ]
     base = df.groupBy(*keys).agg(*aggregates)
-    cells = []
+
+    def cell(a: str, b: str, value: Column) -> Column:
+        return F.struct(F.lit(a).alias("measure_a"), F.lit(b).alias("measure_b"), value.alias("correlation"))
+
+    cells = [cell(name, name, F.when(F.col(f"_v_{name}") > 0, 1.0).otherwise(0.0)) for name in names]
     for i, (a, b) in enumerate(pairs):
         spread = F.sqrt(F.col(f"_va_{i}")) * F.sqrt(F.col(f"_vb_{i}"))
         value = F.when(spread > 0, clip_unit(F.col(f"_cov_{i}") / spread)).otherwise(0.0)
-        cells.append(F.struct(F.lit(a).alias("measure_a"), F.lit(b).alias("measure_b"), value.alias("correlation")))
+        cells.append(cell(a, b, value))
     return base.select(*keys, F.explode(F.array(*cells)).alias("_cell")).select(*keys, "_cell.*")
 
 

@@ -14,7 +14,7 @@ from leafmill.operators.arrange import (
 )
 from leafmill.operators.checks import require_columns, require_rows
 from leafmill.operators.descriptor import dataset_descriptor
-from leafmill.sinks.writers import FEATURE_SET_PREFIX, next_folder, write_feature_set
+from leafmill.sinks.writers import FEATURE_SET_PREFIX, next_folder, write_descriptor, write_feature_set
 
 # A label key with more rows than this is joined in a way that can split it.
 MANY_LABELS = 10_000
@@ -34,33 +34,38 @@ def arrange(
 
     With labels: the next ``features_{n}``, labelled and unlabelled rows in two partitions of
     one table. Without: a set for scoring, named by its sorted sources and overwritten.
+
+    The features are computed once, for the write; counts and checks read what was written.
+    Only the name of a set for scoring needs the sources first, so pass them there.
     """
     keys = list(keys)
     spark = features.sparkSession
     require_columns(features, keys, "feature table")
-    require_rows(features, "feature table")
-    if sources is None:
-        sources = [r[0] for r in features.select(keys[0]).distinct().orderBy(keys[0]).collect()]
     if labels is None:
-        name = "_".join(sorted(sources))
-        descriptor = dataset_descriptor(features, keys, feature_types, sources, (), description, is_inference=True)
-        return write_feature_set(features, descriptor, base, name, overwrite=True)
+        sources = _source_list(features, keys[0]) if sources is None else list(sources)
+        path = f"{base.rstrip('/')}/{'_'.join(sorted(sources))}"
+        written = require_rows(write_feature_set(features, path, overwrite=True), "feature table")
+        about = dataset_descriptor(written, keys, feature_types, sources, (), description, is_inference=True)
+        write_descriptor(about, path)
+        return path
     labels = label_keys(labels, keys)
     names = label_columns(labels, keys)
     doubles = duplicate_keys(labels, keys).agg(F.count("*").alias("n"), F.max("n_rows").alias("most")).first()
     marked = mark_labels(features, labels, keys, repeated_labels=(doubles["most"] or 0) > MANY_LABELS)
-    name = next_folder(spark, base, FEATURE_SET_PREFIX)
-    path = f"{base.rstrip('/')}/{name}"
-    # The join runs once, for the write; the descriptor counts what was written.
-    marked.write.partitionBy(HAS_LABEL).parquet(f"{path}/data")
-    written = spark.read.parquet(f"{path}/data")
+    path = f"{base.rstrip('/')}/{next_folder(spark, base, FEATURE_SET_PREFIX)}"
+    written = require_rows(write_feature_set(marked, path), "feature table")
+    sources = _source_list(written, keys[0]) if sources is None else list(sources)
     for labelled in (True, False):
         rows = written.where(F.col(HAS_LABEL) == labelled).drop(HAS_LABEL)
         if not labelled and rows.isEmpty():
             continue
-        descriptor = dataset_descriptor(
+        about = dataset_descriptor(
             rows, keys, feature_types, sources, names, description, has_labels=labelled, label_path=label_path
-        ).withColumn("duplicate_label_keys", F.lit(doubles["n"]))
-        suffix = "" if labelled else "_without_labels"
-        descriptor.coalesce(1).write.json(f"{path}/descriptor{suffix}")
+        )
+        about = about.withColumn("duplicate_label_keys", F.lit(doubles["n"]))
+        write_descriptor(about, path, "" if labelled else "_without_labels")
     return path
+
+
+def _source_list(df: DataFrame, source: str) -> list[str]:
+    return [r[0] for r in df.select(source).distinct().orderBy(source).collect()]

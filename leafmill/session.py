@@ -3,7 +3,7 @@
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # Settings a job needs whatever the cluster size. Sizes (memory, cores) stay with the submitter.
 SETTINGS = {
@@ -54,3 +54,9 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def name_table(spark: SparkSession, names: list[str], column: str) -> DataFrame:
+    """A short list of names, known on the driver, as a one-column table."""
+    listed = F.array(*[F.lit(n) for n in names]).cast("array<string>")
+    return spark.range(1).select(F.explode(listed).alias(column))

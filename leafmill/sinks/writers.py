@@ -10,7 +10,7 @@ from leafmill.functions.columns import other_columns
 from leafmill.operators.arrange import HAS_LABEL
 from leafmill.operators.ranking import with_rank
 from leafmill.operators.versions import next_version_name
-from leafmill.session import staged
+from leafmill.session import name_table, staged
 from leafmill.sources.paths import subfolders
 
 FEATURE_SET_PREFIX = "features_"
@@ -54,21 +54,20 @@ def read_features(spark: SparkSession, path: str, feature_type: str) -> DataFram
 
 def next_folder(spark: SparkSession, base: str, prefix: str) -> str:
     """The next version name below ``base``, such as ``features_4`` or ``ver_2``."""
-    names = spark.createDataFrame([(n,) for n in subfolders(spark, base)], "name string")
-    return next_version_name(names, "name", prefix)
+    return next_version_name(name_table(spark, subfolders(spark, base), "name"), "name", prefix)
 
 
-def write_feature_set(
-    df: DataFrame, descriptor: DataFrame, base: str, name: str, overwrite: bool = False
-) -> str:
-    """A feature set and its descriptor. A ``has_label`` column becomes a partition."""
-    path = f"{base.rstrip('/')}/{name}"
+def write_feature_set(df: DataFrame, path: str, overwrite: bool = False) -> DataFrame:
+    """Write a feature set and return it as stored. A ``has_label`` column becomes a partition."""
     writer = df.write.mode("overwrite" if overwrite else "errorifexists")
     if HAS_LABEL in df.columns:
         writer = writer.partitionBy(HAS_LABEL)
     writer.parquet(f"{path}/data")
-    descriptor.coalesce(1).write.mode("overwrite").json(f"{path}/descriptor")
-    return path
+    return df.sparkSession.read.schema(df.schema).parquet(f"{path}/data")
+
+
+def write_descriptor(descriptor: DataFrame, path: str, suffix: str = "") -> None:
+    descriptor.coalesce(1).write.mode("overwrite").json(f"{path}/descriptor{suffix}")
 
 
 def export_split_csv(
