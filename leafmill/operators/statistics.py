@@ -38,15 +38,14 @@ def leaf_statistics(
     if len(names) > wide_over:
         return _long_statistics(df, keys, names)
     aggregates = []
-    for i, name in enumerate(names):
-        value = nan_to_null(df, name)
+    for i in range(len(names)):
         aggregates += [
-            F.avg(value).alias(f"_mean_{i}"),
-            F.var_samp(value).alias(f"_var_{i}"),
-            F.min(value).alias(f"_min_{i}"),
-            F.max(value).alias(f"_max_{i}"),
+            F.avg(f"_x_{i}").alias(f"_mean_{i}"),
+            F.var_samp(f"_x_{i}").alias(f"_var_{i}"),
+            F.min(f"_x_{i}").alias(f"_min_{i}"),
+            F.max(f"_x_{i}").alias(f"_max_{i}"),
         ]
-    base = df.groupBy(*keys).agg(*aggregates)
+    base = _values(df, keys, names).groupBy(*keys).agg(*aggregates)
 
     def each(kind: str) -> list[Column]:
         return [F.col(f"_{kind}_{i}") for i in range(len(names))]
@@ -54,6 +53,15 @@ def leaf_statistics(
     return base.select(*keys, _summary(each("mean"), each("var"), each("min"), each("max")))
 
 
+def _values(df: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """Keys and the measures as doubles ``_x_0, _x_1, ...`` with null for missing.
+
+    A step of its own: repeated inside every aggregate, the missing-value test would make the
+    generated method too long for the JVM to compile.
+    """
+    return df.select(*keys, *[nan_to_null(df, n).alias(f"_x_{i}") for i, n in enumerate(names)])
+
+
 def _summary(means: list[Column], variances: list[Column], lows: list[Column], highs: list[Column]) -> Column:
     constant = F.lit(0.0)
     # The diagonal of a correlation matrix is 1 for a varying column and undefined (0) otherwise.
@@ -69,11 +77,9 @@ def _summary(means: list[Column], variances: list[Column], lows: list[Column], h
 
 
 def _long_statistics(df: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
-    values = df.select(*keys, *[nan_to_null(df, n).alias(n) for n in names])
     # The measure position, not its name, becomes the key: it keeps the exchange narrow.
-    rows = values.select(
-        *keys, F.posexplode(F.array(*names)).alias("_measure", "_value")
-    )
+    columns = F.array(*[f"_x_{i}" for i in range(len(names))])
+    rows = _values(df, keys, names).select(*keys, F.posexplode(columns).alias("_measure", "_value"))
     per_measure = rows.groupBy(*keys, "_measure").agg(
         F.avg("_value").alias("_mean"),
         F.var_samp("_value").alias("_var"),
@@ -94,8 +100,8 @@ def _long_statistics(df: DataFrame, keys: list[str], names: list[str]) -> DataFr
 def leaf_moments(df: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
     """Mergeable base of the statistics: per leaf and measure n, mean, m2, min and max."""
     aggregates = []
-    for i, name in enumerate(measures):
-        value = nan_to_null(df, name)
+    for i in range(len(measures)):
+        value = f"_x_{i}"
         aggregates += [
             F.count(value).alias(f"_n_{i}"),
             F.avg(value).alias(f"_mean_{i}"),
@@ -103,7 +109,7 @@ def leaf_moments(df: DataFrame, keys: Sequence[str], measures: Sequence[str]) ->
             F.min(value).alias(f"_min_{i}"),
             F.max(value).alias(f"_max_{i}"),
         ]
-    return df.groupBy(*keys).agg(*aggregates)
+    return _values(df, keys, measures).groupBy(*keys).agg(*aggregates)
 
 
 def merge_moments(moments: DataFrame, keys: Sequence[str], n_measures: int) -> DataFrame:
@@ -178,26 +184,26 @@ def correlation_matrix(
     """
     keys = list(keys)
     names = numeric_columns(df, keys) if measures is None else list(measures)
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
-    aggregates = [F.var_pop(nan_to_null(df, name)).alias(f"_v_{name}") for name in names]
-    for i, (a, b) in enumerate(pairs):
-        both = nan_to_null(df, a).isNotNull() & nan_to_null(df, b).isNotNull()
-        left, right = F.when(both, nan_to_null(df, a)), F.when(both, nan_to_null(df, b))
+    n = len(names)
+    pairs = [(i, j) for i in range(n) for j in range(i + 1, n)]
+    aggregates = [F.var_pop(f"_x_{i}").alias(f"_v_{i}") for i in range(n)]
+    for i, j in pairs:
+        a, b = F.col(f"_x_{i}"), F.col(f"_x_{j}")
         aggregates += [
-            F.covar_pop(left, right).alias(f"_cov_{i}"),
-            F.var_pop(left).alias(f"_va_{i}"),
-            F.var_pop(right).alias(f"_vb_{i}"),
+            F.covar_pop(a, b).alias(f"_cov_{i}_{j}"),
+            F.var_pop(F.when(b.isNotNull(), a)).alias(f"_va_{i}_{j}"),
+            F.var_pop(F.when(a.isNotNull(), b)).alias(f"_vb_{i}_{j}"),
         ]
-    base = df.groupBy(*keys).agg(*aggregates)
+    base = _values(df, keys, names).groupBy(*keys).agg(*aggregates)
 
     def cell(a: str, b: str, value: Column) -> Column:
         return F.struct(F.lit(a).alias("measure_a"), F.lit(b).alias("measure_b"), value.alias("correlation"))
 
-    cells = [cell(name, name, F.when(F.col(f"_v_{name}") > 0, 1.0).otherwise(0.0)) for name in names]
-    for i, (a, b) in enumerate(pairs):
-        spread = F.sqrt(F.col(f"_va_{i}")) * F.sqrt(F.col(f"_vb_{i}"))
-        value = F.when(spread > 0, clip_unit(F.col(f"_cov_{i}") / spread)).otherwise(0.0)
-        cells.append(cell(a, b, value))
+    cells = [cell(name, name, F.when(F.col(f"_v_{i}") > 0, 1.0).otherwise(0.0)) for i, name in enumerate(names)]
+    for i, j in pairs:
+        spread = F.sqrt(F.col(f"_va_{i}_{j}")) * F.sqrt(F.col(f"_vb_{i}_{j}"))
+        value = F.when(spread > 0, clip_unit(F.col(f"_cov_{i}_{j}") / spread)).otherwise(0.0)
+        cells.append(cell(names[i], names[j], value))
     return base.select(*keys, F.explode(F.array(*cells)).alias("_cell")).select(*keys, "_cell.*")
 
 

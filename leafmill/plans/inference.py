@@ -69,7 +69,7 @@ def run_inference(
     model = load_model(spark, study_path, version)
     rows = with_row_position(read_feature_set(spark, f"{feature_set_path.rstrip('/')}/data"), "sample_id")
     named = rows.withColumn("group", group_key(*keys))
-    n_classes = model.stages[1].numClasses
+    n_classes = next(stage.numClasses for stage in model.stages if hasattr(stage, "numClasses"))
     return write_predictions(score_rows(named, model, n_classes, ["sample_id", "group"]), study_path, version, source)
 
 

@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
 from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.ml import Estimator, PipelineModel
+from pyspark.ml import Estimator, PipelineModel, Transformer
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import IndexToString, SQLTransformer, StringIndexerModel, VectorAssembler
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -25,6 +25,8 @@ from leafmill.sinks.writers import STUDY_PREFIX, next_folder, write_metrics, wri
 # The ranges of the default search, both ends included.
 FOREST_SPACE = {"n_estimators": (50, 300), "max_depth": (3, 20), "min_samples_leaf": (1, 10)}
 FOREST_PARAMS = {"n_estimators": "numTrees", "max_depth": "maxDepth", "min_samples_leaf": "minInstancesPerNode"}
+# Stands for a missing feature.
+BELOW_ALL = -1e300
 # Vector bytes that one training task should hold.
 TASK_BYTES = 64 * 1024 * 1024
 
@@ -53,15 +55,30 @@ def grid_params(values: dict[str, Sequence]) -> list[Params]:
     return combos
 
 
+def vector_stages(features: Sequence[str]) -> list[Transformer]:
+    """Stages that make the ``features`` vector, for training and scoring alike.
+
+    Spark's trees take finite values only. A missing feature becomes a value below all others,
+    so that a split can put the missing rows on a side of their own.
+    """
+    values = ", ".join(
+        f"coalesce(nanvl(CAST(`{name}` AS DOUBLE), NULL), {BELOW_ALL:e}D) AS _feature_{i}"
+        for i, name in enumerate(features)
+    )
+    return [
+        SQLTransformer(statement=f"SELECT *, {values} FROM __THIS__"),
+        VectorAssembler(inputCols=[f"_feature_{i}" for i in range(len(features))], outputCol="features"),
+    ]
+
+
 def assembled(df: DataFrame, features: Sequence[str], label: str | None, keep: Sequence[str] = ()) -> DataFrame:
     """Dense feature vector, label as double, and the columns to keep."""
-    stage = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
     columns = [*keep, "features"]
     if label is not None:
         # A cast would lose the class count that an indexed label carries.
         value = F.col(label) if dict(df.dtypes)[label] == "double" else F.col(label).cast("double")
         columns.append(value.alias("label"))
-    return stage.transform(df).select(*columns)
+    return PipelineModel(vector_stages(features)).transform(df).select(*columns)
 
 
 def train_rows(df: DataFrame) -> DataFrame:
@@ -224,11 +241,10 @@ def run_study(
         train.unpersist()
     tested = classification_report(fitted.transform(test_rows(split))).first()
 
-    assembler = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
     names = IndexToString(inputCol="prediction", outputCol="_predicted", labels=classes)
     kind = data.schema[target].dataType.simpleString()
     typed = SQLTransformer(statement=f"SELECT *, CAST(_predicted AS {kind}) AS predicted_class FROM __THIS__")
-    model = PipelineModel([assembler, fitted, names, typed])
+    model = PipelineModel([*vector_stages(features), fitted, names, typed])
     version = next_folder(spark, study_path, STUDY_PREFIX)
     path = f"{study_path.rstrip('/')}/{version}"
     write_model(model, path)

@@ -89,6 +89,17 @@ def test_study_and_inference(spark, new_folder):
     assert writers.next_folder(spark, f"{new_folder}/study", writers.STUDY_PREFIX) == "ver_2"
 
 
+def test_missing_features_are_a_side_of_their_own(spark):
+    df = spark.range(90).select(
+        F.when(F.col("id") % 3 == 0, None).when(F.col("id") % 3 == 1, float("nan")).otherwise(F.col("id") * 1.0).alias("a"),
+        F.lit(1).alias("b"),
+        (F.col("id") % 3 == 2).cast("double").alias("label"),
+        F.floor(F.col("id") / 45).cast("int").alias("fold"),
+    )
+    vectors = study.assembled(df, ["a", "b"], "label", ["fold"])
+    assert study.cross_validate(vectors, {"n_estimators": 5, "max_depth": 3}, 2, "accuracy") == [1.0, 1.0]
+
+
 def test_roc_auc_and_other_metrics(spark):
     rows = [(Vectors.dense([float(i % 2), float(i)]), float(i % 2), i % 4 // 2) for i in range(40)]
     train = spark.createDataFrame(rows, ["features", "label", "fold"])
