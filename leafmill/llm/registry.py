@@ -1,12 +1,15 @@
 """Registered queries of the text operators and their SQL counterparts."""
 
-from leafmill.llm import exact_dedup, sharding
+from leafmill.llm import exact_dedup, quality, sharding, substring
 
 QUERIES = {
+    "op2_compression_bands": quality.op2_compression_bands,
     "op4_lpt": sharding.op4_lpt,
     "op5_tree_merge": exact_dedup.op5_tree_merge,
+    "op10_count_min": substring.op10_count_min,
 }
 
 ORACLES = {
     "op5_tree_merge": exact_dedup.OP5_SQL,
+    "op10_count_min": substring.OP10_SQL,
 }
