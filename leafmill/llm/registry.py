@@ -1,12 +1,13 @@
 """Registered queries of the text operators and their SQL counterparts."""
 
-from leafmill.llm import exact_dedup, pii, quality, sharding, substring
+from leafmill.llm import exact_dedup, pii, quality, secrets, sharding, substring
 
 QUERIES = {
     "op2_compression_bands": quality.op2_compression_bands,
     "op4_lpt": sharding.op4_lpt,
     "op5_tree_merge": exact_dedup.op5_tree_merge,
     "op7_weak_supervision": pii.op7_weak_supervision,
+    "op8_randomness": secrets.op8_randomness,
     "op10_count_min": substring.op10_count_min,
 }
 
