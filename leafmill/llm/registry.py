@@ -1,6 +1,6 @@
 """Registered queries of the text operators and their SQL counterparts."""
 
-from leafmill.llm import exact_dedup, pii, quality, secrets, sharding, substring
+from leafmill.llm import exact_dedup, pii, quality, secrets, sharding, substring, toxicity
 
 QUERIES = {
     "op2_compression_bands": quality.op2_compression_bands,
@@ -8,6 +8,7 @@ QUERIES = {
     "op5_tree_merge": exact_dedup.op5_tree_merge,
     "op7_weak_supervision": pii.op7_weak_supervision,
     "op8_randomness": secrets.op8_randomness,
+    "op9_boosted_trees": toxicity.op9_boosted_trees,
     "op10_count_min": substring.op10_count_min,
 }
 
