@@ -1,11 +1,12 @@
 """Registered queries of the text operators and their SQL counterparts."""
 
-from leafmill.llm import exact_dedup, pii, quality, secrets, sharding, substring, toxicity
+from leafmill.llm import exact_dedup, near_dedup, pii, quality, secrets, sharding, substring, toxicity
 
 QUERIES = {
     "op2_compression_bands": quality.op2_compression_bands,
     "op4_lpt": sharding.op4_lpt,
     "op5_tree_merge": exact_dedup.op5_tree_merge,
+    "op6_order_minhash": near_dedup.op6_order_minhash,
     "op7_weak_supervision": pii.op7_weak_supervision,
     "op8_randomness": secrets.op8_randomness,
     "op9_boosted_trees": toxicity.op9_boosted_trees,
