@@ -1,10 +1,11 @@
 """Registered queries of the text operators and their SQL counterparts."""
 
-from leafmill.llm import exact_dedup, near_dedup, pii, quality, secrets, sentencepiece_nbest, sharding, substring, toxicity
+from leafmill.llm import exact_dedup, mixing, near_dedup, pii, quality, secrets, sentencepiece_nbest, sharding, substring, toxicity
 
 QUERIES = {
     "op1_nbest": sentencepiece_nbest.op1_nbest,
     "op2_compression_bands": quality.op2_compression_bands,
+    "op3_soft_membership": mixing.op3_soft_membership,
     "op4_lpt": sharding.op4_lpt,
     "op5_tree_merge": exact_dedup.op5_tree_merge,
     "op6_order_minhash": near_dedup.op6_order_minhash,
