@@ -19,10 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from leafmill.llm.common import documents, partitions, text_of
+from leafmill.llm.common import documents, partitions, staged, text_of
 
 SIZE = 13
 DEPTH = 2
@@ -30,9 +31,9 @@ DEPTH = 2
 MOST_BITS = 29
 LEAST_BITS = 20
 BLOCK_BITS = 20
-PIECE = 1 << 22
+PIECE = 1 << 20
 #: Windows a task gathers before it sends them on.
-UNIT = 1 << 22
+UNIT = 1 << 21
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -62,29 +63,31 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and 64-bit hashes of the words in ``data``; pieces of bounded size at a time."""
+def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and 64-bit hashes of the words in ``data``, the bytes of texts that begin and end at ``bounds``.
+
+    Works through pieces of bounded size that end after white space, or at the end of a text.
+    """
     starts, hashes, at = [], [], 0
     while at < len(data):
-        end = min(len(data), at + PIECE)
-        if end < len(data):  # a piece ends after white space, however far that is
-            tail = np.frombuffer(data, dtype=np.uint8, count=min(len(data) - end, PIECE), offset=end)
-            while True:
-                white = np.flatnonzero(_SPACE[tail])
-                if len(white):
-                    end += int(white[0]) + 1
-                    break
-                end += len(tail)
-                if end >= len(data):
-                    end = len(data)
-                    break
-                tail = np.frombuffer(data, dtype=np.uint8, count=min(len(data) - end, PIECE), offset=end)
-        buffer = np.frombuffer(data, dtype=np.uint8, count=end - at, offset=at)
-        white = np.empty(len(buffer) + 2, dtype=bool)
-        white[0] = white[-1] = True
-        white[1:-1] = _SPACE[buffer]
-        first = np.flatnonzero(white[:-1] & ~white[1:])
-        last = np.flatnonzero(~white[:-1] & white[1:])
+        end = min(len(data), at + 2 * PIECE)
+        while end < len(data):  # go on to the next border, however far that is
+            stop = min(len(data), end + PIECE)
+            white = np.flatnonzero(_SPACE[data[end - 1 : stop - 1]])
+            end = end + int(white[0]) if len(white) else stop
+            if len(white):
+                break
+        buffer = data[at:end]
+        white = _SPACE[buffer]
+        begins, ends = np.empty(len(buffer), dtype=bool), np.zeros(len(buffer) + 1, dtype=bool)
+        np.logical_not(white, out=begins)
+        ends[1:] = begins
+        begins[1:] &= white[:-1]
+        ends[1:-1] &= white[1:]
+        marks = bounds[(bounds > at) & (bounds < end)] - at
+        begins[marks] = ~white[marks]
+        ends[marks] = ~white[marks - 1]
+        first, last = np.flatnonzero(begins), np.flatnonzero(ends)
         power, inverse = powers(len(buffer) + 1)
         total = np.zeros(len(buffer) + 1, dtype=np.uint64)
         np.cumsum(_TAGS[buffer] * power[: len(buffer)], out=total[1:])
@@ -105,25 +108,51 @@ def rolled(hashes: np.ndarray, size: int, salt: int) -> np.ndarray:
     return mix((total[size:] - total[:-size]) * inverse[:n], salt)
 
 
-def windows(texts: list[bytes], size: int = SIZE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all windows in ``texts``: two hashes, the index of the text and the position of the first word."""
-    ends = np.cumsum([len(t) + 1 for t in texts])
-    starts, hashes = word_hashes(b"\n".join(texts))
+def windows(data: np.ndarray, bounds: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all windows in the texts: two hashes, the index of the text and the position of the first word."""
+    starts, hashes = word_hashes(data, bounds)
     if len(hashes) < size:
         none = np.zeros(0, dtype=np.int64)
         return none.astype(np.uint64), none.astype(np.uint64), none, none
-    text = np.searchsorted(ends, starts, side="right")
+    text = np.searchsorted(bounds[1:], starts, side="right")
     place = np.arange(len(starts)) - np.searchsorted(text, text, side="left")
-    inside = text[: len(text) - size + 1] == text[size - 1 :]
-    at = np.flatnonzero(inside)
+    at = np.flatnonzero(text[: len(text) - size + 1] == text[size - 1 :])
     return rolled(hashes, size, 0xA11CE)[at], rolled(hashes, size, 0xB0B5)[at], text[at], place[at]
 
 
-def gaps(cells: np.ndarray) -> bytes:
-    """Rising whole numbers as bytes: 255 stands for 255 more, any other byte ends a number."""
+def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a text column without nulls and the bounds of its texts, not copied."""
+    _, offsets, data = column.buffers()
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    bounds = np.frombuffer(offsets, dtype=kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return np.frombuffer(data or b"", dtype=np.uint8), bounds
+
+
+def packed_cells(cells: np.ndarray) -> bytes:
+    """Rising places in a block: their low bytes, then one bit per place and per value of the high bits, in order."""
     if not len(cells):
         return b""
-    steps = np.diff(cells, prepend=0)
+    bits = np.zeros(len(cells) + (1 << (BLOCK_BITS - 8)), dtype=bool)
+    bits[(cells >> 8) + np.arange(len(cells))] = True
+    return (cells & 255).astype(np.uint8).tobytes() + np.packbits(bits).tobytes()
+
+
+def unpacked_cells(data: bytes) -> np.ndarray:
+    if not data:
+        return np.zeros(0, dtype=np.int64)
+    # n low bytes and ceil((n + values) / 8) bytes of bits
+    values = 1 << (BLOCK_BITS - 8)
+    n = (8 * len(data) - values) // 9
+    coded = np.frombuffer(data, dtype=np.uint8)
+    high = np.flatnonzero(np.unpackbits(coded[n:])) - np.arange(n)
+    return (high << 8) + coded[:n]
+
+
+def gaps(places: np.ndarray) -> bytes:
+    """Rising whole numbers as bytes: 255 stands for 255 more, any other byte ends a number."""
+    if not len(places):
+        return b""
+    steps = np.diff(places, prepend=0)
     full = steps // 255
     out = np.full(int(full.sum()) + len(steps), 255, dtype=np.uint8)
     out[np.cumsum(full + 1) - 1] = steps % 255
@@ -139,64 +168,50 @@ def cells_of(h: np.ndarray, row: int, bits: int) -> np.ndarray:
     return (h >> np.uint64(32 * row)) & np.uint64((1 << bits) - 1)
 
 
-class Gathered:
-    """Windows of whole documents, in units of bounded size."""
-
-    def __init__(self, size: int):
-        self.size, self.parts, self.count, self.n_docs = size, [], 0, 0
-        self.ids: list[np.ndarray] = []
-        self.tags: list[np.ndarray] = []
-
-    def add(self, texts: list[bytes], ids: np.ndarray) -> None:
-        h1, h2, text, place = windows(texts, self.size)
-        self.parts.append((h1, h2, text + self.n_docs, place))
-        self.ids.append(ids)
-        self.tags.append(np.array([tag(t) for t in texts], dtype=np.int64))
-        self.n_docs += len(texts)
-        self.count += len(h1)
-
-    def take(self):
-        h1, h2, text, place = (np.concatenate(x) for x in zip(*self.parts))
-        ids, tags = np.concatenate(self.ids), np.concatenate(self.tags)
-        self.__init__(self.size)
-        return h1, h2, text, place, ids, tags
-
-
-def tag(text: bytes) -> int:
+def tag(text) -> int:
     """23 bits that tell apart different texts under one repeated id."""
     return zlib.crc32(text) >> 9
 
 
-def units(batches: Iterator[pd.DataFrame], size: int) -> Iterator[tuple]:
-    """Units of (h1, h2, index of document, position, ids, tags) from batches of (id, text)."""
-    gathered = Gathered(size)
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Whole texts, about ``PIECE`` bytes at a time: their bytes, their bounds, their ids."""
     for batch in batches:
-        held, ids, n = [], [], 0
-        for key, text in zip(batch["id"], batch["text"]):
-            data = (text or "").encode("utf-8", "surrogatepass")
-            held.append(data)
-            ids.append(key)
-            n += len(data)
-            if n >= PIECE:
-                gathered.add(held, np.array(ids, dtype=np.int64))
-                held, ids, n = [], [], 0
-            if gathered.count >= UNIT:
-                yield gathered.take()
-        if held:
-            gathered.add(held, np.array(ids, dtype=np.int64))
-        if gathered.count >= UNIT:
-            yield gathered.take()
-    if gathered.parts:
-        yield gathered.take()
+        if not len(batch):
+            continue
+        data, bounds = bytes_of(batch.column("text"))
+        ids = batch.column("id").to_numpy(zero_copy_only=False)
+        a = 0
+        while a < len(ids):
+            b = max(a + 1, int(np.searchsorted(bounds, bounds[a] + PIECE, side="right")) - 1)
+            yield data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a], ids[a:b]
+            a = b
+
+
+def units(parts: Iterator[tuple[np.ndarray, ...]], size: int = UNIT) -> Iterator[tuple[np.ndarray, ...]]:
+    """Neighbouring parts put together up to about ``size`` windows."""
+    held, n = [], 0
+    for part in parts:
+        held.append(part)
+        n += len(part[0])
+        if n >= size:
+            yield tuple(np.concatenate(x) for x in zip(*held))
+            held, n = [], 0
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held))
 
 
 def sketch_parts(size: int, bits: int):
     """Cells of one unit by sketch row and block: those met, and those met by two windows or documents."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for h1, _, text, _, ids, _ in units(batches, size):
-            order = np.argsort(h1, kind="stable")
-            h, owner = h1[order], ids[text[order]]
+    def owned(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+        for data, bounds, ids in pieces(batches):
+            h1, _, text, _ = windows(data, bounds, size)
+            yield h1, ids[text]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for h, owner in units(owned(batches)):
+            order = np.argsort(h, kind="stable")
+            h, owner = h[order], owner[order]
             new = np.ones(len(h), dtype=bool)
             new[1:] = h[1:] != h[:-1]
             other = np.zeros(len(h), dtype=bool)
@@ -215,8 +230,12 @@ def sketch_parts(size: int, bits: int):
                     if a == b:
                         continue
                     c, d = np.searchsorted(twice, (low, high))
-                    out.append((row, block, gaps(cells[a:b] - low), gaps(twice[c:d] - low)))
-            yield pd.DataFrame(out, columns=["row", "block", "met", "twice"])
+                    out.append((row, block, packed_cells(cells[a:b] - low), packed_cells(twice[c:d] - low)))
+            row, block, met, twice = zip(*out) if out else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(row, pa.int32()), pa.array(block, pa.int32()), pa.array(met, pa.binary()), pa.array(twice, pa.binary())],
+                names=["row", "block", "met", "twice"],
+            )
 
     return run
 
@@ -236,9 +255,9 @@ def merged_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     yield closed()
                 key = (row, block)
                 counts[:] = 0
-            cells = from_gaps(met)
+            cells = unpacked_cells(met)
             counts[cells] = np.minimum(counts[cells] + 1, 2)
-            counts[from_gaps(twice)] = 2
+            counts[unpacked_cells(twice)] = 2
     if key is not None:
         yield closed()
 
@@ -269,59 +288,77 @@ def estimated_repeats(size: int, bits: int, shared):
     there, already decided, go as one row per document with gap-coded positions.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         rows = sketch_bits(shared, bits)
-        for h1, h2, text, place, ids, tags in units(batches, size):
+        for data, bounds, ids in pieces(batches):
+            h1, h2, text, place = windows(data, bounds, size)
             hit = np.ones(len(h1), dtype=bool)
             for row in range(DEPTH):
                 at = cells_of(h1, row, bits)
                 hit &= (rows[row][(at >> np.uint64(3)).astype(np.int64)] >> (7 - (at & np.uint64(7))).astype(np.uint8)) & 1 == 1
-            h1, h2, text, place = h1[hit], h2[hit] >> np.uint64(32), text[hit], place[hit]
-            owner = ids[text]
+            text = text[hit]
+            tags = np.array([tag(data[a:b]) for a, b in zip(bounds, bounds[1:])], dtype=np.int64)
+            yield h1[hit], h2[hit] >> np.uint64(32), ids[text], (tags[text] << 40) | place[hit]
+
+    def packed(h1, h2, owner, place, sure) -> pa.RecordBatch:
+        columns = [pa.array(x.view(np.int64) if x.dtype == np.uint64 else x, pa.int64()) for x in (h1, h2, owner, place)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(sure, pa.binary())], names=["h1", "h2", "id", "place", "sure"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for h1, h2, owner, place in units(hits(batches), UNIT >> 2):
             order = np.lexsort((place, owner, h2, h1))
-            h1, h2, text, place, owner = (x[order] for x in (h1, h2, text, place, owner))
+            h1, h2, owner, place = h1[order], h2[order], owner[order], place[order]
             new = np.ones(len(h1), dtype=bool)
             new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
             first = owner[np.flatnonzero(new)][np.cumsum(new) - 1] if len(h1) else owner
             mine = owner == first
-            packed = (tags[text] << 40) | place
-            yield pd.DataFrame(
-                {"h1": h1[mine].view(np.int64), "h2": h2[mine].astype(np.int64), "id": owner[mine], "place": packed[mine], "sure": None}
-            )
-            text, place = text[~mine], place[~mine]
-            order = np.lexsort((place, text))
-            text, place = text[order], place[order]
-            cut = np.flatnonzero(np.diff(text, prepend=-1))
-            found = [
-                (int(ids[text[a]]), int(tags[text[a]]) << 40, gaps(place[a:b] + 1)) for a, b in zip(cut, [*cut[1:], len(text)])
-            ]
-            sure = pd.DataFrame(found, columns=["id", "place", "sure"])
-            sure["h1"], sure["h2"] = mix(sure["id"].to_numpy(np.int64).view(np.uint64)).view(np.int64), -1
-            yield sure[["h1", "h2", "id", "place", "sure"]]
+            for a in range(0, int(mine.sum()), 1 << 17):
+                part = np.flatnonzero(mine)[a : a + (1 << 17)]
+                yield packed(h1[part], h2[part], owner[part], place[part], pa.nulls(len(part), pa.binary()))
+            owner, place = owner[~mine], place[~mine]
+            if not len(owner):
+                continue
+            order = np.lexsort((place, owner))
+            owner, place = owner[order], place[order]
+            cut = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (place[1:] >> 40 != place[:-1] >> 40))))
+            low = (1 << 40) - 1
+            sure = [gaps((place[a:b] & low) + 1) for a, b in zip(cut, [*cut[1:], len(owner)])]
+            yield packed(mix(owner[cut].astype(np.uint64)), np.full(len(cut), -1), owner[cut], place[cut] & ~low, sure)
 
     return run
 
 
-def without(batches: Iterator[pd.DataFrame], size: int, digest: bool) -> Iterator[pd.DataFrame]:
+def without(batches: Iterator[pa.RecordBatch], size: int, digest: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = []
-        for key, text, places, sures in zip(batch["id"], batch["text"], batch["places"], batch["sures"]):
-            words = (text or "").encode("utf-8", "surrogatepass").split()
+        counts, gone, kept = [], [], []
+        data, bounds = bytes_of(batch.column("text").fill_null(""))
+        for a, b, copy, places, sures in zip(
+            bounds, bounds[1:], batch.column("copy").to_pylist(), batch.column("places"), batch.column("sures").to_pylist()
+        ):
+            words = data[a:b].tobytes().split()
             n = len(words)
-            found = [np.asarray(p, dtype=np.int64) for p in (places,) if p is not None]
-            found += [from_gaps(s) - 1 for s in (sures if sures is not None else ())]
-            at = np.concatenate(found) if found else np.zeros(0, dtype=np.int64)
-            gone = 0
-            if len(at):
+            found = [from_gaps(s) - 1 for s in sures or ()]
+            if places.is_valid:
+                found.append(places.values.to_numpy(zero_copy_only=False))
+            removed = 0
+            if copy and n >= size:  # every word lies in a window of the earlier copy
+                words, removed = [], n
+            elif sum(map(len, found)):
+                at = np.concatenate(found)
                 edges = np.zeros(n + 1, dtype=np.int64)
                 np.add.at(edges, at, 1)
                 np.add.at(edges, at + size, -1)
                 covered = np.cumsum(edges[:n]) > 0
-                gone = int(covered.sum())
+                removed = int(covered.sum())
                 words = [words[i] for i in np.flatnonzero(~covered)]
-            kept = b" ".join(words)
-            out.append((key, n, gone, hashlib.sha256(kept).hexdigest() if digest else kept.decode("utf-8", "surrogatepass")))
-        yield pd.DataFrame(out, columns=["id", "n_words", "n_removed", "kept"])
+            left = b" ".join(words)
+            counts.append(n)
+            gone.append(removed)
+            kept.append(hashlib.sha256(left).hexdigest() if digest else left.decode("utf-8"))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("id"), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())],
+            names=["id", "n_words", "n_removed", "kept"],
+        )
 
 
 def sketch_width(docs: DataFrame, text_col: str, most: int) -> int:
@@ -350,12 +387,20 @@ def deduplicated(
     spark = docs.sparkSession
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     named = base.where("id is not null and text is not null")
+    tag_of = F.shiftright(F.crc32(F.encode("text", "UTF-8")), 9)
     bits, n = sketch_width(docs, text_col, most_bits), partitions(spark)
-    parts = named.mapInPandas(sketch_parts(size, bits), "row int, block int, met binary, twice binary")
+    parts = named.mapInArrow(sketch_parts(size, bits), "row int, block int, met binary, twice binary")
     blocks = parts.repartition(n, "row", "block").sortWithinPartitions("row", "block")
     sketch = [tuple(r) for r in blocks.mapInPandas(merged_blocks, "row int, block int, bits binary").collect()]
     shared = spark.sparkContext.broadcast([(r, b, bytes(x)) for r, b, x in sketch])
-    found = named.mapInPandas(estimated_repeats(size, bits, shared), "h1 long, h2 long, id long, place long, sure binary")
+    # Of equal texts only the first document sends windows: the others lose all they have.
+    equal = named.select("id", F.unhex(F.sha2("text", 256)).alias("sha"), tag_of.alias("tag"))
+    firsts = equal.groupBy("sha").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("sha", "first")
+    later = equal.join(firsts, "sha").where("id > first").select("id", "tag").distinct()
+    later = staged(later, "equal-texts")
+    tagged = base.withColumn("tag", tag_of)
+    once = tagged.join(later, ["id", "tag"], "left_anti").where("id is not null and text is not null").select("id", "text")
+    found = once.mapInArrow(estimated_repeats(size, bits, shared), "h1 long, h2 long, id long, place long, sure binary")
     same = Window.partitionBy("h1", "h2")
     low = F.lit((1 << 40) - 1)
     gone = (
@@ -367,8 +412,10 @@ def deduplicated(
             F.collect_list("sure").alias("sures"),
         )
     )
-    tagged = base.withColumn("tag", F.shiftright(F.crc32(F.encode("text", "UTF-8")), 9))
-    return tagged.join(gone, ["id", "tag"], "left").select("id", "text", "places", "sures").mapInPandas(
+    gone = gone.withColumn("copy", F.lit(False)).unionByName(
+        later.select("id", "tag", F.lit(True).alias("copy"), F.lit(None).cast("array<long>").alias("places"), F.lit(None).cast("array<binary>").alias("sures"))
+    )
+    return tagged.join(gone, ["id", "tag"], "left").select("id", "text", "copy", "places", "sures").mapInArrow(
         lambda batches: without(batches, size, digest), "id long, n_words long, n_removed long, kept string"
     )
 
