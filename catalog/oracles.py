@@ -67,9 +67,9 @@ DOC_KEYS = "lang, source, doc_id"
 DOC_FEATURES = "(SELECT doc_id, n_chars AS text_n_chars, lang AS text_lang FROM documents)"
 TYPES = """
     c AS (SELECT c_custkey AS custkey, c_nationkey AS customer_c_nationkey, c_acctbal AS customer_c_acctbal
-          FROM customer WHERE c_acctbal > 0),
+          FROM customer),
     o AS (SELECT o_custkey AS custkey, count(*) AS orders_n, max(o_totalprice) AS orders_top_price
-          FROM orders WHERE o_totalprice > 400000 GROUP BY 1),
+          FROM orders GROUP BY 1),
     e AS (SELECT user_id AS custkey, count(*) AS events_n, max(value) AS events_top_value FROM events GROUP BY 1)"""
 
 
@@ -81,7 +81,7 @@ def greedy_folds(source: str, group: str, n_folds: int) -> str:
     grown = ", ".join(f"w.{name} + CASE WHEN {choice} = {i} THEN r.group_size ELSE 0 END" for i, name in enumerate(loads))
     return f"""
     sizes AS (SELECT {group} AS grp, count(*) AS group_size FROM {source} GROUP BY 1),
-    ranked AS (SELECT *, row_number() OVER (ORDER BY group_size DESC, grp DESC) AS rn FROM sizes),
+    ranked AS (SELECT *, row_number() OVER (ORDER BY group_size DESC, grp DESC NULLS LAST) AS rn FROM sizes),
     walk(rn, {', '.join(loads)}, fold) AS (
         SELECT 0::BIGINT, {', '.join(['0::BIGINT'] * n_folds)}, -1::INTEGER
         UNION ALL
@@ -219,8 +219,7 @@ ORACLES = {
     "absent_sources": f"SELECT asked AS source FROM (VALUES {ASKED}) t(asked) WHERE asked NOT IN (SELECT source FROM documents)",
     "sample_select": f"SELECT {DOC_KEYS}, n_chars FROM documents WHERE lang = 'en' AND source = 'src7'",
     "artifact_semi_join": """
-        SELECT DISTINCT user_id FROM events
-        WHERE user_id IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 90)""",
+        SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)""",
     "leaf_csv_scan": leaf_sql(EVENT_LEAVES, ["source", "hierarchy_1", "hierarchy_2"], ["position", "value"]),
     "typed_cells": f"""
         SELECT event_type, count(reading) AS n_readings, count(*) FILTER (WHERE event_type = 'error') AS n_rejects,
@@ -228,14 +227,14 @@ ORACLES = {
         FROM (SELECT event_type, CASE WHEN event_type NOT IN ('error', 'signup') THEN value END AS reading FROM events)
         GROUP BY event_type""",
     "artifact_roundtrip": leaf_sql(EVENT_LEAVES, ["source", "hierarchy_1", "hierarchy_2"], ["position", "value"]),
-    "feature_roundtrip": f"SELECT {DOC_KEYS}, n_chars AS length_chars FROM documents",
+    "feature_roundtrip": f"SELECT {DOC_KEYS}, n_chars AS length_chars, length(source)::INTEGER AS shape_source FROM documents",
     "split_csv_roundtrip": "SELECT c_custkey::VARCHAR AS c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer",
     "merge_feature_types": f"WITH {TYPES} SELECT * FROM c FULL OUTER JOIN o USING (custkey)",
     "merge_three_types": f"WITH {TYPES} SELECT * FROM c FULL OUTER JOIN o USING (custkey) FULL OUTER JOIN e USING (custkey)",
     "merge_repeated_keys": """
-        SELECT nation, c_custkey, s_suppkey
-        FROM (SELECT c_nationkey AS nation, c_custkey FROM customer WHERE c_acctbal > 9000) c
-        FULL OUTER JOIN (SELECT s_nationkey AS nation, s_suppkey FROM supplier WHERE s_acctbal > 5000) s USING (nation)""",
+        SELECT custkey, o_orderkey, event_id
+        FROM (SELECT o_custkey AS custkey, o_orderkey FROM orders) o
+        FULL OUTER JOIN (SELECT user_id AS custkey, event_id FROM events) e USING (custkey)""",
     "union_sources": """
         SELECT 'customer' AS source, c_custkey AS key, c_acctbal AS balance, c_mktsegment AS segment FROM customer
         UNION ALL SELECT 'supplier', s_suppkey, s_acctbal, NULL FROM supplier""",
@@ -246,7 +245,7 @@ ORACLES = {
         FROM {DOC_FEATURES} f LEFT JOIN labels l ON l.doc_id = f.doc_id""",
     "labelled_mark_repeated": """
         SELECT c_custkey, c_acctbal, o_orderstatus, o_custkey IS NOT NULL AS has_label
-        FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 450000) ON o_custkey = c_custkey""",
+        FROM customer LEFT JOIN orders ON o_custkey = c_custkey""",
     "duplicate_label_keys": "SELECT o_custkey AS custkey, count(*) AS n_rows FROM orders GROUP BY 1 HAVING count(*) > 1",
     "arranged_set": """
         SELECT d.lang, d.source, d.doc_id::VARCHAR AS doc_id, d.n_chars, l.quality, l.toxic, l.doc_id IS NOT NULL AS labelled
@@ -282,7 +281,7 @@ ORACLES = {
     "positional_join": "SELECT c_custkey, c_name, c_acctbal FROM customer",
     "group_folds": f"WITH RECURSIVE {greedy_folds('events', 'user_id', 5)} SELECT grp AS user_id, group_size, fold FROM folds",
     "fold_sizes": f"""
-        WITH RECURSIVE {greedy_folds('events', 'user_id', 5)}
+        WITH RECURSIVE {greedy_folds('(SELECT CASE WHEN user_id % 17 <> 0 THEN user_id END AS known_user FROM events)', 'known_user', 5)}
         SELECT fold, sum(group_size)::BIGINT AS n_rows, count(*) AS n_groups FROM folds GROUP BY fold""",
     "confusion_counts": f"WITH {REPORT} SELECT label, prediction, n AS n_rows FROM counts",
     "class_report": f"""
@@ -305,8 +304,9 @@ ORACLES = {
         FROM lineitem""",
     "synthetic_series": synthetic(),
     "preprocess_job": f"""
-        SELECT {', '.join(LEAF_KEYS)}, {normal_columns(LEAF_KEYS, 3, 'feature_engineer_random_feature_')}
-        FROM (SELECT DISTINCT {', '.join(LEAF_KEYS)} FROM lineitem)""",
+        SELECT {', '.join(LEAF_KEYS)}, {', '.join(f'{n} AS feature_engineer_{n}' for n in SUMMARY_DIGITS)},
+               {normal_columns(LEAF_KEYS, 3, 'feature_engineer_random_feature_')}
+        FROM ({leaf_sql('lineitem', LEAF_KEYS, LEAF_MEASURES)})""",
     "custom_leaf_stage": span_sql(),
     "custom_model": f"""
         SELECT l_orderkey, l_linenumber, l_partkey, ({POSITIVE} > 1e0 - {POSITIVE})::INTEGER AS prediction,

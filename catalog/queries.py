@@ -11,6 +11,7 @@ from leafmill.plans import arrangement, inference, preprocess, study
 from leafmill.session import scratch_path, staged
 from leafmill.sinks import writers
 from leafmill.sources import leaves, synthetic, tables
+from leafmill.sources.paths import subfolders
 from leafmill.streaming import incremental
 
 LEAF_KEYS = ["l_returnflag", "l_linestatus", "l_suppkey"]
@@ -103,10 +104,12 @@ def sample_select(spark, folder):
 
 
 def artifact_semi_join(spark, folder):
-    events = table(spark, folder, "events")
-    known = events.where("event_type = 'purchase' AND value > 90")
-    users = selection.leaves(events, ["user_id"])
-    return selection.with_artifact(users, known, ["user_id"])
+    """Customers whose statistics artifact, made from all orders and written down, exists."""
+    orders = table(spark, folder, "orders").withColumnRenamed("o_custkey", "c_custkey")
+    found = statistics.leaf_statistics(orders, ["o_orderstatus", "c_custkey"], ["o_totalprice"])
+    path = writers.write_statistics(found, scratch_path(spark, "artifacts"), "o_orderstatus")
+    customers = table(spark, folder, "customer").select("c_custkey", "c_mktsegment")
+    return selection.with_artifact(customers, tables.read_artifacts(spark, path), ["c_custkey"])
 
 
 # Files
@@ -128,7 +131,7 @@ def leaf_csv_scan(spark, folder):
     root = scratch_path(spark, "leaf-files")
     rows = event_leaves(spark, folder)
     rows.write.partitionBy("source", "hierarchy_1", "hierarchy_2").option("header", True).csv(root)
-    found = [f"source={s}" for s in ("view", "click", "error", "purchase", "signup", "absent")]
+    found = [*subfolders(spark, root), "source=absent"]
     schema = T.StructType.fromDDL("position double, value double")
     cells = leaves.read_leaves(spark, root, schema, found, file_name="*.csv")
     keys = ["source", "hierarchy_1", "hierarchy_2"]
@@ -160,13 +163,13 @@ def artifact_roundtrip(spark, folder):
 
 
 def feature_roundtrip(spark, folder):
-    """Two feature types in one store; the one read back comes from its own partitions."""
+    """Two feature types in one store, each read back from its own partitions and merged by key."""
     docs = table(spark, folder, "documents")
     path = scratch_path(spark, "features")
-    for name in ("length", "draws"):
-        rows = docs.select(*DOC_KEYS, F.col("n_chars").alias(f"{name}_chars"))
-        writers.write_features(rows, path, name)
-    return writers.read_features(spark, path, "length").select(*DOC_KEYS, "length_chars")
+    types = {"length": F.col("n_chars").alias("length_chars"), "shape": F.length("source").alias("shape_source")}
+    for name, feature in types.items():
+        writers.write_features(docs.select(*DOC_KEYS, feature), path, name)
+    return arrange.merge_feature_types([writers.read_features(spark, path, name) for name in types], DOC_KEYS)
 
 
 def split_csv_roundtrip(spark, folder):
@@ -181,10 +184,8 @@ def split_csv_roundtrip(spark, folder):
 
 
 def _customer_types(spark, folder) -> list[DataFrame]:
-    rich = table(spark, folder, "customer").where("c_acctbal > 0")
-    customers = rich.select(F.col("c_custkey").alias("custkey"), "c_nationkey", "c_acctbal")
-    large = table(spark, folder, "orders").where("o_totalprice > 400000")
-    orders = large.groupBy(F.col("o_custkey").alias("custkey")).agg(
+    customers = table(spark, folder, "customer").select(F.col("c_custkey").alias("custkey"), "c_nationkey", "c_acctbal")
+    orders = table(spark, folder, "orders").groupBy(F.col("o_custkey").alias("custkey")).agg(
         F.count("*").alias("n"), F.max("o_totalprice").alias("top_price")
     )
     events = table(spark, folder, "events").groupBy(F.col("user_id").alias("custkey")).agg(
@@ -203,12 +204,10 @@ def merge_three_types(spark, folder):
 
 
 def merge_repeated_keys(spark, folder):
-    """Feature tables that repeat keys: rows of one key multiply."""
-    customers = table(spark, folder, "customer").where("c_acctbal > 9000")
-    suppliers = table(spark, folder, "supplier").where("s_acctbal > 5000")
-    left = customers.select(F.col("c_nationkey").alias("nation"), "c_custkey")
-    right = suppliers.select(F.col("s_nationkey").alias("nation"), "s_suppkey")
-    return arrange.merge_feature_types([left, right], ["nation"], unique_keys=False)
+    """Feature tables that repeat keys, orders and events of a customer: rows of one key multiply."""
+    orders = table(spark, folder, "orders").select(F.col("o_custkey").alias("custkey"), "o_orderkey")
+    events = table(spark, folder, "events").select(F.col("user_id").alias("custkey"), "event_id")
+    return arrange.merge_feature_types([orders, events], ["custkey"], unique_keys=False)
 
 
 def union_sources(spark, folder):
@@ -241,8 +240,7 @@ def labelled_mark(spark, folder):
 def labelled_mark_repeated(spark, folder):
     """Labels that repeat keys: every order of a customer labels that customer's row."""
     customers = table(spark, folder, "customer").select("c_custkey", "c_acctbal")
-    orders = table(spark, folder, "orders").where("o_totalprice > 450000")
-    labels = orders.select(F.col("o_custkey").alias("c_custkey"), "o_orderstatus")
+    labels = table(spark, folder, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderstatus")
     return arrange.mark_labels(customers, labels, ["c_custkey"], repeated_labels=True)
 
 
@@ -342,19 +340,33 @@ def row_position(spark, folder):
 
 
 def positional_join(spark, folder):
-    """Columns of one table read apart and put side by side by row position."""
-    customers = table(spark, folder, "customer")
-    return ranking.positional_join([customers.select("c_custkey", "c_name"), customers.select("c_acctbal")])
+    """Two tables with differently cut files put side by side by row position."""
+    customers = table(spark, folder, "customer").orderBy("c_custkey")
+    parts = {"names": ("c_custkey", "c_name"), "balances": ("c_acctbal",)}
+    scans = []
+    for n, (name, columns) in enumerate(parts.items()):
+        path = scratch_path(spark, name)
+        ordered = customers.select(*columns, "c_custkey" if n else F.lit(None).alias("unused"))
+        ordered.coalesce(1).write.option("maxRecordsPerFile", 700 + 613 * n).parquet(path)
+        scans.append(spark.read.parquet(path).select(*columns))
+    return ranking.positional_join(scans)
 
 
 def group_folds(spark, folder):
     return folds.group_folds(table(spark, folder, "events"), "user_id", 5)
 
 
-def fold_sizes(spark, folder):
+def _events_with_unknown_users(spark, folder) -> DataFrame:
+    """Events of which every seventeenth user is unknown: a group column with nulls."""
     events = table(spark, folder, "events")
-    rows = folds.attach_folds(events, folds.group_folds(events, "user_id", 5), "user_id")
-    return rows.groupBy("fold").agg(F.count("*").alias("n_rows"), F.count_distinct("user_id").alias("n_groups"))
+    return events.withColumn("known_user", F.when(F.col("user_id") % 17 != 0, F.col("user_id")))
+
+
+def fold_sizes(spark, folder):
+    events = _events_with_unknown_users(spark, folder)
+    rows = folds.attach_folds(events, folds.group_folds(events, "known_user", 5), "known_user")
+    groups = F.count_distinct("known_user") + F.max(F.col("known_user").isNull().cast("int"))
+    return rows.groupBy("fold").agg(F.count("*").alias("n_rows"), groups.cast("bigint").alias("n_groups"))
 
 
 # Scores
@@ -442,15 +454,21 @@ def synthetic_series(spark, folder):
 
 
 def preprocess_job(spark, folder):
-    """Raw rows to statistics to prefixed features in one chain of stages."""
+    """Raw rows to statistics to prefixed features, made from the statistics and from draws, in one chain of stages."""
     items = table(spark, folder, "lineitem")
+
+    def both(rows: DataFrame) -> DataFrame:
+        drawn = preprocess.random_features(rows, LEAF_KEYS, 3, SEED)
+        return arrange.merge_feature_types([preprocess.statistics_features(rows, LEAF_KEYS), drawn], LEAF_KEYS)
+
     stages = [
         lambda rows: statistics.leaf_statistics(rows, LEAF_KEYS, LEAF_MEASURES),
-        lambda rows: preprocess.random_features(rows, LEAF_KEYS, 3, SEED),
+        both,
         lambda rows: prefixed(rows, "feature_engineer", LEAF_KEYS),
     ]
-    drawn = preprocess.run_stages(items, stages)
-    return drawn.select(*LEAF_KEYS, *[rounded(F.col(c), 7).alias(c) for c in drawn.columns[3:]])
+    made = preprocess.run_stages(items, stages)
+    digits = {f"feature_engineer_{n}": d for n, d in SUMMARY_DIGITS.items()}
+    return made.select(*LEAF_KEYS, *[rounded(F.col(c), digits.get(c, 7)).alias(c) for c in made.columns[3:]])
 
 
 def custom_leaf_stage(spark, folder):

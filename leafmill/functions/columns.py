@@ -5,6 +5,15 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 
+def quoted(name: str) -> str:
+    """A column name as a reference to that column, dots and all."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def quoted_all(names: Iterable[str]) -> list[str]:
+    return [quoted(n) for n in names]
+
+
 def numeric_columns(df: DataFrame, exclude: Iterable[str] = ()) -> list[str]:
     """Names of the numeric columns, in table order. Booleans, dates and text are not measures."""
     skip = set(exclude)
@@ -24,17 +33,17 @@ def feature_columns(df: DataFrame, keys: Iterable[str], labels: Iterable[str] =
 
 def as_strings(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     """Keys stay text everywhere, so that ``01`` and ``1`` remain different."""
-    return df.withColumns({c: F.col(c).cast("string") for c in columns})
+    return df.withColumns({c: F.col(quoted(c)).cast("string") for c in columns})
 
 
 def prefixed(df: DataFrame, prefix: str, keys: Sequence[str]) -> DataFrame:
     """Put ``{prefix}_`` before each non-key column; keys come first."""
-    return df.select(*keys, *[F.col(c).alias(f"{prefix}_{c}") for c in other_columns(df, keys)])
+    return df.select(*quoted_all(keys), *[F.col(quoted(c)).alias(f"{prefix}_{c}") for c in other_columns(df, keys)])
 
 
 def group_key(*columns: str) -> Column:
-    """The key columns joined with ``_``."""
-    return F.concat_ws("_", *[F.col(c).cast("string") for c in columns])
+    """The key columns joined with ``_``, for display: null parts are left out."""
+    return F.concat_ws("_", *[F.col(quoted(c)).cast("string") for c in columns])
 
 
 def clipped(column: Column, low: float | None = None, high: float | None = None) -> Column:
@@ -50,8 +59,8 @@ def clipped(column: Column, low: float | None = None, high: float | None = None)
 def nan_to_null(df: DataFrame, column: str) -> Column:
     """NaN means missing. Only floating columns can hold it, others pass unchanged."""
     if isinstance(df.schema[column].dataType, (T.DoubleType, T.FloatType)):
-        return F.when(~F.isnan(column), F.col(column).cast("double"))
-    return F.col(column).cast("double")
+        return F.when(~F.isnan(quoted(column)), F.col(quoted(column)).cast("double"))
+    return F.col(quoted(column)).cast("double")
 
 
 def numbered_suffix(name: Column) -> Column:

@@ -11,13 +11,21 @@ from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from leafmill.functions.columns import quoted, quoted_all
+
 DRAW_BITS = 52
+# Stands for a null key part; no escaped text equals it.
+NULL_PART = r"\N"
 
 
 def draw_text(seed: int, *parts: Column | str) -> Column:
-    """The text that identifies one draw: seed and key parts joined with ``|``."""
-    columns = [F.col(p) if isinstance(p, str) else p for p in parts]
-    return F.concat_ws("|", F.lit(str(seed)), *[c.cast("string") for c in columns])
+    """The text that identifies one draw: seed and key parts joined with ``|``.
+
+    Null parts and separators inside a part are written apart, so that different keys never share a text.
+    """
+    columns = [(F.col(quoted(p)) if isinstance(p, str) else p).cast("string") for p in parts]
+    apart = [F.when(c.rlike(r"[|\\]"), F.regexp_replace(c, r"([|\\])", r"\\$1")).otherwise(c) for c in columns]
+    return F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(c, F.lit(NULL_PART)) for c in apart])
 
 
 def uniform_bits(digest: Column, half: int = 0) -> Column:
@@ -86,4 +94,4 @@ def normal_features(
     draws = [
         normal(draw_text(seed, *keys, F.lit(i))).alias(f"{prefix}{i}") for i in range(1, n_features + 1)
     ]
-    return df.select(*keys, *draws)
+    return df.select(*quoted_all(keys), *draws)

@@ -5,7 +5,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from leafmill.functions.columns import as_strings, other_columns
+from leafmill.functions.columns import as_strings, other_columns, quoted, quoted_all
 from leafmill.operators.checks import require_columns
 from leafmill.session import staged
 
@@ -19,8 +19,9 @@ def merge_feature_types(
 
     Feature tables hold one row per key. Then the join is an aggregation: the tables are put
     below each other and grouped by key, with a single shuffle for any number of tables and no
-    wide intermediate results. A key that one table repeats stops the job with an error; pass
-    ``unique_keys=False`` for such tables, where the rows of a key multiply.
+    wide intermediate results. A key that one table repeats stops every job over the result with
+    an error; pass ``unique_keys=False`` for such tables, where the rows of a key multiply. Keys
+    match when all parts are equal, null parts included.
     """
     keys = list(keys)
     if not tables:
@@ -38,22 +39,29 @@ def merge_feature_types(
         return merged
     marks = [f"_rows_{i}" for i in range(len(tables))]
     marked = [t.withColumn(m, F.lit(1)) for t, m in zip(tables, marks)]
-    values = [F.first(c, ignorenulls=True).alias(c) for c in names]
+    values = [F.first(quoted(c), ignorenulls=True).alias(c) for c in names]
     counts = [F.sum(m).alias(m) for m in marks]
-    grouped = union_sources(marked).groupBy(*keys).agg(*values, *counts)
+    grouped = union_sources(marked).groupBy(*quoted_all(keys)).agg(*values, *counts)
     repeated = reduce(lambda a, b: a | b, [F.coalesce(F.col(m), F.lit(0)) > 1 for m in marks])
     failure = F.raise_error("a feature table repeats a key; merge it with unique_keys=False")
-    # The check guards a key column, which every reader of the result evaluates.
-    checked = F.when(repeated, failure.cast(grouped.schema[keys[0]].dataType)).otherwise(F.col(keys[0]))
-    return grouped.select(checked.alias(keys[0]), *keys[1:], *names)
+    # A filter is evaluated whatever columns a reader asks for, even none.
+    checked = grouped.where(F.when(repeated, failure.cast("boolean")).otherwise(True))
+    return checked.select(*quoted_all(keys), *quoted_all(names))
 
 
 def _outer_by_parts(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Inner join plus both anti joins: Spark can split a hot key in these, but not in a full outer join."""
+
+    def matched(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
+        """Join on equal keys, null parts included."""
+        other = b.withColumnsRenamed({k: f"_other_{k}" for k in keys})
+        same = [F.col(quoted(k)).eqNullSafe(F.col(quoted(f"_other_{k}"))) for k in keys]
+        return a.join(other, same, how).drop(*[f"_other_{k}" for k in keys])
+
     parts = [
-        left.join(right, keys, "inner"),
-        left.join(right.select(*keys).distinct(), keys, "left_anti"),
-        right.join(left.select(*keys).distinct(), keys, "left_anti"),
+        matched(left, right, "inner"),
+        matched(left, right.select(*quoted_all(keys)).distinct(), "left_anti"),
+        matched(right, left.select(*quoted_all(keys)).distinct(), "left_anti"),
     ]
     return union_sources(parts)
 

@@ -5,6 +5,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from leafmill.functions.columns import quoted
 from leafmill.operators.ranking import exact_split, with_rank
 from leafmill.session import BROADCAST_ROWS, staged
 
@@ -88,18 +89,23 @@ def _fold_patterns(n_folds: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[
     return patterns
 
 
-def attach_folds(df: DataFrame, folds: DataFrame, group: str) -> DataFrame:
-    """Give every row the fold of its group."""
-    wanted = folds.select(group, "group_size", "fold")
+def attach_folds(df: DataFrame, folds: DataFrame, group: str, broadcast_rows: int | None = None) -> DataFrame:
+    """Give every row the fold of its group; the null group is a group like any other.
+
+    Up to ``broadcast_rows`` groups (default ``BROADCAST_ROWS``) are looked up in place. Beyond, only hot
+    groups are, and the others shuffle; the result is the same.
+    """
+    # The folds are read several times, so they are written down once.
+    wanted = staged(folds.select(F.col(quoted(group)).alias("_group"), "group_size", "fold"), "folds")
     count, total = wanted.agg(F.count("*"), F.sum("group_size")).first()
-    if count <= BROADCAST_ROWS:
-        return df.join(F.broadcast(wanted.drop("group_size")), group)
-    wanted = staged(wanted, "folds")
+    same = F.col(quoted(group)).eqNullSafe(F.col("_group"))
+    if count <= (BROADCAST_ROWS if broadcast_rows is None else broadcast_rows):
+        return df.join(F.broadcast(wanted.drop("group_size")), same).drop("_group")
     # Hot groups, at most HOT_SHARE of them, are looked up in place; only the others shuffle.
-    hot = F.broadcast(wanted.where(F.col("group_size") * HOT_SHARE > total).select(group, "fold"))
-    cold = wanted.where(F.col("group_size") * HOT_SHARE <= total).select(group, "fold")
-    in_place = df.join(hot, group)
-    shuffled = df.join(hot.select(group), group, "left_anti").join(cold, group)
+    hot = F.broadcast(wanted.where(F.col("group_size") * HOT_SHARE > total).select("_group", "fold"))
+    cold = wanted.where(F.col("group_size") * HOT_SHARE <= total).select("_group", "fold")
+    in_place = df.join(hot, same).drop("_group")
+    shuffled = df.join(hot.select("_group"), same, "left_anti").join(cold, same).drop("_group")
     return in_place.unionByName(shuffled)
 
 

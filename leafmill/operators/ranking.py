@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from leafmill.functions.draws import draw_text
+from leafmill.operators.checks import require_equal_counts
 from leafmill.session import BROADCAST_ROWS, staged
 
 # monotonically_increasing_id() holds the partition above bit 33 and the row below it.
@@ -54,7 +55,8 @@ def with_row_position(df: DataFrame, name: str = "position") -> DataFrame:
 
 
 def positional_join(tables: Sequence[DataFrame]) -> DataFrame:
-    """Put file scans side by side by row position. Their row counts must agree."""
+    """Put file scans side by side by row position; an error tells when their row counts differ."""
+    require_equal_counts({f"table {i}": t for i, t in enumerate(tables)})
     numbered = [with_row_position(t, "_position") for t in tables]
     joined = numbered[0]
     for table in numbered[1:]:

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from leafmill.functions.columns import mean_of, nan_to_null, numeric_columns, sample_std_of, sum_of
+from leafmill.functions.columns import mean_of, nan_to_null, numeric_columns, quoted, quoted_all, sample_std_of, sum_of
 from leafmill.session import staged
 
 SUMMARY_TYPE = (
@@ -34,7 +34,7 @@ def leaf_statistics(
     keys = list(keys)
     names = numeric_columns(df, keys) if measures is None else list(measures)
     if not names:
-        return df.select(*keys).distinct().withColumn("summary_features", F.lit(None).cast(SUMMARY_TYPE))
+        return df.select(*quoted_all(keys)).distinct().withColumn("summary_features", F.lit(None).cast(SUMMARY_TYPE))
     if len(names) > wide_over:
         return _long_statistics(df, keys, names)
     aggregates = []
@@ -45,12 +45,12 @@ def leaf_statistics(
             F.min(f"_x_{i}").alias(f"_min_{i}"),
             F.max(f"_x_{i}").alias(f"_max_{i}"),
         ]
-    base = _values(df, keys, names).groupBy(*keys).agg(*aggregates)
+    base = _values(df, keys, names).groupBy(*quoted_all(keys)).agg(*aggregates)
 
     def each(kind: str) -> list[Column]:
         return [F.col(f"_{kind}_{i}") for i in range(len(names))]
 
-    return base.select(*keys, _summary(each("mean"), each("var"), each("min"), each("max")))
+    return base.select(*quoted_all(keys), _summary(each("mean"), each("var"), each("min"), each("max")))
 
 
 def _values(df: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
@@ -59,7 +59,7 @@ def _values(df: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFra
     A step of its own: repeated inside every aggregate, the missing-value test would make the
     generated method too long for the JVM to compile.
     """
-    return df.select(*keys, *[nan_to_null(df, n).alias(f"_x_{i}") for i, n in enumerate(names)])
+    return df.select(*quoted_all(keys), *[nan_to_null(df, n).alias(f"_x_{i}") for i, n in enumerate(names)])
 
 
 def _summary(means: list[Column], variances: list[Column], lows: list[Column], highs: list[Column]) -> Column:
@@ -79,8 +79,8 @@ def _summary(means: list[Column], variances: list[Column], lows: list[Column], h
 def _long_statistics(df: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
     # The measure position, not its name, becomes the key: it keeps the exchange narrow.
     columns = F.array(*[f"_x_{i}" for i in range(len(names))])
-    rows = _values(df, keys, names).select(*keys, F.posexplode(columns).alias("_measure", "_value"))
-    per_measure = rows.groupBy(*keys, "_measure").agg(
+    rows = _values(df, keys, names).select(*quoted_all(keys), F.posexplode(columns).alias("_measure", "_value"))
+    per_measure = rows.groupBy(*quoted_all(keys), "_measure").agg(
         F.avg("_value").alias("_mean"),
         F.var_samp("_value").alias("_var"),
         F.min("_value").alias("_min"),
@@ -94,7 +94,7 @@ def _long_statistics(df: DataFrame, keys: list[str], names: list[str]) -> DataFr
         F.sum(F.when(F.col("_var") > 0, 1.0).otherwise(0.0)).alias("correlation_matrix_trace"),
         F.coalesce(F.sum("_var"), F.lit(0.0)).alias("total_variance"),
     )
-    return per_measure.groupBy(*keys).agg(summary.alias("summary_features"))
+    return per_measure.groupBy(*quoted_all(keys)).agg(summary.alias("summary_features"))
 
 
 def leaf_moments(df: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
@@ -109,36 +109,42 @@ def leaf_moments(df: DataFrame, keys: Sequence[str], measures: Sequence[str]) ->
             F.min(value).alias(f"_min_{i}"),
             F.max(value).alias(f"_max_{i}"),
         ]
-    return _values(df, keys, measures).groupBy(*keys).agg(*aggregates)
+    return _values(df, keys, measures).groupBy(*quoted_all(keys)).agg(*aggregates)
 
 
-def merge_moments(moments: DataFrame, keys: Sequence[str], n_measures: int) -> DataFrame:
-    """Moments of coarser groups from those of finer ones.
+def centres(moments: DataFrame, n_measures: int) -> list[float]:
+    """One mean per measure over all leaves: a single row, whatever the number of leaves."""
+    whole = [F.sum(F.col(f"_n_{i}") * F.col(f"_mean_{i}")) / F.sum(f"_n_{i}") for i in range(n_measures)]
+    return [v or 0.0 for v in moments.agg(*whole).first()]
 
-    First the means, then squared distances from those means, because sum-of-squares minus
-    square-of-sum loses digits for large values. Works on one row per leaf, not on raw rows.
+
+def merge_moments(moments: DataFrame, keys: Sequence[str], n_measures: int, around: Sequence[float]) -> DataFrame:
+    """Moments of coarser groups from those of finer ones, in one aggregation with map-side partials.
+
+    Sums run over distances from a common centre of each measure (``around``), since a sum of squares
+    less the square of a sum loses digits when all values are large.
     """
-    means = moments.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(
-        *[
-            F.when(F.sum(f"_n_{i}") > 0, F.sum(F.col(f"_n_{i}") * F.col(f"_mean_{i}")) / F.sum(f"_n_{i}")).alias(
-                f"_all_{i}"
-            )
-            for i in range(n_measures)
-        ]
-    )
-    same_group = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
-    joined = moments.join(means, same_group)
-    aggregates = []
-    for i in range(n_measures):
-        apart = F.col(f"_mean_{i}") - F.col(f"_all_{i}")
+    aggregates, merged = [], []
+    for i, centre in enumerate(around):
+        n, apart = F.col(f"_n_{i}"), F.col(f"_mean_{i}") - F.lit(centre)
         aggregates += [
-            F.sum(f"_n_{i}").alias(f"_n_{i}"),
-            F.max(f"_all_{i}").alias(f"_mean_{i}"),
-            F.sum(F.col(f"_m2_{i}") + F.col(f"_n_{i}") * apart * apart).alias(f"_m2_{i}"),
+            F.sum(n).alias(f"_n_{i}"),
+            F.sum(n * apart).alias(f"_s_{i}"),
+            F.sum(F.col(f"_m2_{i}") + n * apart * apart).alias(f"_q_{i}"),
             F.min(f"_min_{i}").alias(f"_min_{i}"),
             F.max(f"_max_{i}").alias(f"_max_{i}"),
         ]
-    return joined.groupBy(*keys).agg(*aggregates)
+        total = F.when(F.col(f"_n_{i}") > 0, F.col(f"_n_{i}"))
+        # Equal ends mean a constant column, whose spread rounding must not make positive.
+        spread = F.greatest(F.lit(0.0), F.col(f"_q_{i}") - F.col(f"_s_{i}") * F.col(f"_s_{i}") / total)
+        merged += [
+            F.col(f"_n_{i}"),
+            (F.col(f"_s_{i}") / total + F.lit(centre)).alias(f"_mean_{i}"),
+            F.when(F.col(f"_min_{i}") == F.col(f"_max_{i}"), 0.0).otherwise(spread).alias(f"_m2_{i}"),
+            F.col(f"_min_{i}"),
+            F.col(f"_max_{i}"),
+        ]
+    return moments.groupBy(*quoted_all(keys)).agg(*aggregates).select(*quoted_all(keys), *merged)
 
 
 def summarise_moments(moments: DataFrame, keys: Sequence[str], n_measures: int) -> DataFrame:
@@ -148,7 +154,7 @@ def summarise_moments(moments: DataFrame, keys: Sequence[str], n_measures: int)
     variances = [
         F.when(F.col(f"_n_{i}") > 1, F.col(f"_m2_{i}") / (F.col(f"_n_{i}") - 1)) for i in range(n_measures)
     ]
-    return moments.select(*keys, _summary(each("mean"), variances, each("min"), each("max")))
+    return moments.select(*quoted_all(keys), _summary(each("mean"), variances, each("min"), each("max")))
 
 
 def hierarchy_statistics(
@@ -165,13 +171,15 @@ def hierarchy_statistics(
     if not names:
         raise ValueError("hierarchy statistics need at least one numeric column")
     leaves = staged(leaf_moments(df, keys, names), "leaf-moments")
-    result = None
-    for level in range(len(keys)):
+    around = centres(leaves, len(names))
+    result, moments = None, leaves
+    for level in reversed(range(len(keys))):
         known = keys[: level + 1]
-        moments = leaves if level == len(keys) - 1 else merge_moments(leaves, known, len(names))
+        if level < len(keys) - 1:  # each level from the next finer one
+            moments = merge_moments(moments, known, len(names), around)
         rows = summarise_moments(moments, known, len(names)).withColumn("level", F.lit(level))
         result = rows if result is None else result.unionByName(rows, allowMissingColumns=True)
-    return result.select("level", *keys, "summary_features")
+    return result.select("level", *quoted_all(keys), "summary_features")
 
 
 def correlation_matrix(
@@ -194,7 +202,7 @@ def correlation_matrix(
             F.var_pop(F.when(b.isNotNull(), a)).alias(f"_va_{i}_{j}"),
             F.var_pop(F.when(a.isNotNull(), b)).alias(f"_vb_{i}_{j}"),
         ]
-    base = _values(df, keys, names).groupBy(*keys).agg(*aggregates)
+    base = _values(df, keys, names).groupBy(*quoted_all(keys)).agg(*aggregates)
 
     def cell(a: str, b: str, value: Column) -> Column:
         return F.struct(F.lit(a).alias("measure_a"), F.lit(b).alias("measure_b"), value.alias("correlation"))
@@ -204,7 +212,7 @@ def correlation_matrix(
         spread = F.sqrt(F.col(f"_va_{i}_{j}")) * F.sqrt(F.col(f"_vb_{i}_{j}"))
         value = F.when(spread > 0, clip_unit(F.col(f"_cov_{i}_{j}") / spread)).otherwise(0.0)
         cells.append(cell(names[i], names[j], value))
-    return base.select(*keys, F.explode(F.array(*cells)).alias("_cell")).select(*keys, "_cell.*")
+    return base.select(*quoted_all(keys), F.explode(F.array(*cells)).alias("_cell")).select(*quoted_all(keys), "_cell.*")
 
 
 def clip_unit(value: Column) -> Column:

@@ -5,6 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from leafmill import DEFAULT_KEYS
+from leafmill.functions.columns import as_strings
 from leafmill.operators.arrange import (
     HAS_LABEL,
     duplicate_keys,
@@ -16,9 +17,6 @@ from leafmill.operators.checks import require_columns, require_rows
 from leafmill.operators.descriptor import dataset_descriptor
 from leafmill.sinks.writers import FEATURE_SET_PREFIX, next_folder, write_descriptor, write_feature_set
 
-# A label key with more rows than this is joined in a way that can split it.
-MANY_LABELS = 10_000
-
 
 def arrange(
     features: DataFrame,
@@ -40,7 +38,7 @@ def arrange(
     """
     keys = list(keys)
     spark = features.sparkSession
-    require_columns(features, keys, "feature table")
+    features = as_strings(require_columns(features, keys, "feature table"), keys)
     if labels is None:
         sources = _source_list(features, keys[0]) if sources is None else list(sources)
         path = f"{base.rstrip('/')}/{'_'.join(sorted(sources))}"
@@ -50,8 +48,9 @@ def arrange(
         return path
     labels = label_keys(labels, keys)
     names = label_columns(labels, keys)
-    doubles = duplicate_keys(labels, keys).agg(F.count("*").alias("n"), F.max("n_rows").alias("most")).first()
-    marked = mark_labels(features, labels, keys, repeated_labels=(doubles["most"] or 0) > MANY_LABELS)
+    doubles = duplicate_keys(labels, keys).agg(F.count("*").alias("n")).first()
+    # Inner and anti join apart: Spark can split a label key that holds very many rows.
+    marked = mark_labels(features, labels, keys, repeated_labels=True)
     path = f"{base.rstrip('/')}/{next_folder(spark, base, FEATURE_SET_PREFIX)}"
     written = require_rows(write_feature_set(marked, path), "feature table")
     sources = _source_list(written, keys[0]) if sources is None else list(sources)

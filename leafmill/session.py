@@ -1,6 +1,6 @@
 """Session settings, and the shared folder that holds tables written between jobs."""
 
-import tempfile
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -28,14 +28,14 @@ def get_session(app_name: str = "leafmill", **extra: str) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as named in ``spark.checkpoint.dir``.
 
-    Only a local-mode session without that setting gets a temporary folder of its own.
+    A local-mode session without that setting works below its warehouse folder.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
-    folder = tempfile.mkdtemp(prefix="leafmill-")
+    folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 

@@ -11,7 +11,7 @@ from leafmill.operators.arrange import HAS_LABEL
 from leafmill.operators.ranking import with_rank
 from leafmill.operators.versions import next_version_name
 from leafmill.session import name_table, staged
-from leafmill.sources.paths import subfolders
+from leafmill.sources.paths import subfolders, with_text_partitions
 
 FEATURE_SET_PREFIX = "features_"
 STUDY_PREFIX = "ver_"
@@ -48,8 +48,7 @@ def _by_source(df: DataFrame, partitions: Sequence[str], path: str) -> None:
 
 def read_features(spark: SparkSession, path: str, feature_type: str) -> DataFrame:
     """Feature rows of one type, with the columns of that type only."""
-    reader = spark.read.option("basePath", path)
-    return reader.parquet(f"{path}/feature_type={feature_type}").drop("feature_type")
+    return with_text_partitions(spark, f"{path}/feature_type={feature_type}", base=path).drop("feature_type")
 
 
 def next_folder(spark: SparkSession, base: str, prefix: str) -> str:

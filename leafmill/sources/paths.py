@@ -2,7 +2,7 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 # Characters with a meaning in path patterns.
 PATTERN_CHARACTERS = "\\{}[]*?,"
@@ -33,6 +33,15 @@ def subfolders(spark: SparkSession, folder: str) -> list[str]:
     return sorted(name for name, is_folder in matching(spark, f"{folder}/*") if is_folder)
 
 
+def with_text_partitions(spark: SparkSession, path: str, base: str | None = None) -> DataFrame:
+    """A Parquet table whose partition values stay as they are in the folder names: ``01`` is not ``1``."""
+    reader = spark.read if base is None else spark.read.option("basePath", base)
+    inferred = reader.parquet(path)
+    stored = set(spark.read.option("recursiveFileLookup", True).parquet(path).columns)
+    as_text = [f if f.name in stored else T.StructField(f.name, T.StringType()) for f in inferred.schema]
+    return reader.schema(T.StructType(as_text)).parquet(path)
+
+
 def path_part(from_end: int) -> Column:
     """A decoded part of the file path; 1 is the file name, 2 its folder, and so on."""
     return _decoded(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -from_end))

@@ -8,15 +8,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from leafmill import DEFAULT_KEYS
 from leafmill.functions.columns import prefixed
 from leafmill.operators.arrange import HAS_LABEL, label_keys, merge_feature_types, union_sources
-from leafmill.operators.checks import require_columns, require_equal_counts
+from leafmill.operators.checks import require_columns
 from leafmill.operators.ranking import positional_join
 from leafmill.operators.statistics import SUMMARY_TYPE
-from leafmill.sources.paths import exists, literal, matching, path_part
+from leafmill.sources.paths import exists, literal, matching, path_part, with_text_partitions
 
 
 def read_artifacts(spark: SparkSession, path: str) -> DataFrame:
-    """Statistics artifacts as written by this package."""
-    return spark.read.parquet(path)
+    """Statistics artifacts as written by this package, with the keys in folder names as text."""
+    return with_text_partitions(spark, path)
 
 
 def read_json_artifacts(spark: SparkSession, pattern: str, keys: Sequence[str] = DEFAULT_KEYS) -> DataFrame:
@@ -130,7 +130,6 @@ def read_split_csv(
         # Recursive: an export keeps its files in numbered sub-folders.
         reader = spark.read.option("header", True).option("recursiveFileLookup", True)
         tables[name] = reader.option("inferSchema", name != "metadata").csv(path)
-    require_equal_counts(tables)
     return positional_join(list(tables.values()))
 
 
