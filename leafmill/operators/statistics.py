@@ -112,39 +112,34 @@ def leaf_moments(df: DataFrame, keys: Sequence[str], measures: Sequence[str]) ->
     return _values(df, keys, measures).groupBy(*quoted_all(keys)).agg(*aggregates)
 
 
-def centres(moments: DataFrame, n_measures: int) -> list[float]:
-    """One mean per measure over all leaves: a single row, whatever the number of leaves."""
-    whole = [F.sum(F.col(f"_n_{i}") * F.col(f"_mean_{i}")) / F.sum(f"_n_{i}") for i in range(n_measures)]
-    return [v or 0.0 for v in moments.agg(*whole).first()]
+def merge_moments(moments: DataFrame, keys: Sequence[str], n_measures: int) -> DataFrame:
+    """Moments of coarser groups from those of finer ones.
 
-
-def merge_moments(moments: DataFrame, keys: Sequence[str], n_measures: int, around: Sequence[float]) -> DataFrame:
-    """Moments of coarser groups from those of finer ones, in one aggregation with map-side partials.
-
-    Sums run over distances from a common centre of each measure (``around``), since a sum of squares
-    less the square of a sum loses digits when all values are large.
+    First the means, then squared distances from those means: a sum of squares less the square of a sum,
+    or distances from one centre for all groups, lose digits for values that lie far off. Works on one row
+    per finer group, not on raw rows.
     """
-    aggregates, merged = [], []
-    for i, centre in enumerate(around):
-        n, apart = F.col(f"_n_{i}"), F.col(f"_mean_{i}") - F.lit(centre)
+    means = moments.groupBy(*[F.col(quoted(k)).alias(f"_k_{i}") for i, k in enumerate(keys)]).agg(
+        *[
+            F.when(F.sum(f"_n_{i}") > 0, F.sum(F.col(f"_n_{i}") * F.col(f"_mean_{i}")) / F.sum(f"_n_{i}")).alias(
+                f"_all_{i}"
+            )
+            for i in range(n_measures)
+        ]
+    )
+    same_group = [F.col(quoted(k)).eqNullSafe(F.col(f"_k_{i}")) for i, k in enumerate(keys)]
+    joined = moments.join(means, same_group)
+    aggregates = []
+    for i in range(n_measures):
+        apart = F.col(f"_mean_{i}") - F.col(f"_all_{i}")
         aggregates += [
-            F.sum(n).alias(f"_n_{i}"),
-            F.sum(n * apart).alias(f"_s_{i}"),
-            F.sum(F.col(f"_m2_{i}") + n * apart * apart).alias(f"_q_{i}"),
+            F.sum(f"_n_{i}").alias(f"_n_{i}"),
+            F.max(f"_all_{i}").alias(f"_mean_{i}"),
+            F.sum(F.col(f"_m2_{i}") + F.col(f"_n_{i}") * apart * apart).alias(f"_m2_{i}"),
             F.min(f"_min_{i}").alias(f"_min_{i}"),
             F.max(f"_max_{i}").alias(f"_max_{i}"),
         ]
-        total = F.when(F.col(f"_n_{i}") > 0, F.col(f"_n_{i}"))
-        # Equal ends mean a constant column, whose spread rounding must not make positive.
-        spread = F.greatest(F.lit(0.0), F.col(f"_q_{i}") - F.col(f"_s_{i}") * F.col(f"_s_{i}") / total)
-        merged += [
-            F.col(f"_n_{i}"),
-            (F.col(f"_s_{i}") / total + F.lit(centre)).alias(f"_mean_{i}"),
-            F.when(F.col(f"_min_{i}") == F.col(f"_max_{i}"), 0.0).otherwise(spread).alias(f"_m2_{i}"),
-            F.col(f"_min_{i}"),
-            F.col(f"_max_{i}"),
-        ]
-    return moments.groupBy(*quoted_all(keys)).agg(*aggregates).select(*quoted_all(keys), *merged)
+    return joined.groupBy(*quoted_all(keys)).agg(*aggregates)
 
 
 def summarise_moments(moments: DataFrame, keys: Sequence[str], n_measures: int) -> DataFrame:
@@ -171,12 +166,11 @@ def hierarchy_statistics(
     if not names:
         raise ValueError("hierarchy statistics need at least one numeric column")
     leaves = staged(leaf_moments(df, keys, names), "leaf-moments")
-    around = centres(leaves, len(names))
     result, moments = None, leaves
     for level in reversed(range(len(keys))):
         known = keys[: level + 1]
         if level < len(keys) - 1:  # each level from the next finer one
-            moments = merge_moments(moments, known, len(names), around)
+            moments = staged(merge_moments(moments, known, len(names)), "level-moments")
         rows = summarise_moments(moments, known, len(names)).withColumn("level", F.lit(level))
         result = rows if result is None else result.unionByName(rows, allowMissingColumns=True)
     return result.select("level", *quoted_all(keys), "summary_features")
