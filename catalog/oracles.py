@@ -221,6 +221,17 @@ ORACLES = {
     "artifact_semi_join": """
         SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)""",
     "leaf_csv_scan": leaf_sql(EVENT_LEAVES, ["source", "hierarchy_1", "hierarchy_2"], ["position", "value"]),
+    "leaf_csv_mixed": f"""
+        WITH e AS (
+            SELECT CASE WHEN event_id % 2 = 0 THEN '01' ELSE '1' END AS source, hierarchy_1, hierarchy_2, position,
+                   CASE WHEN event_id % 10 <> 3 THEN value END AS value, event_id % 100 = 7 AS too_long
+            FROM (SELECT *, position::BIGINT AS event_id FROM {EVENT_LEAVES})
+        ), s AS ({leaf_sql('(SELECT * FROM e WHERE NOT too_long)', ['source', 'hierarchy_1', 'hierarchy_2'], ['position', 'value'])}
+        ), r AS (
+            SELECT source, hierarchy_1, hierarchy_2, sum((value IS NULL)::INTEGER + too_long::INTEGER)::BIGINT AS n_rejects
+            FROM e WHERE value IS NULL OR too_long GROUP BY ALL
+        )
+        SELECT * FROM s FULL OUTER JOIN r USING (source, hierarchy_1, hierarchy_2)""",
     "typed_cells": f"""
         SELECT event_type, count(reading) AS n_readings, count(*) FILTER (WHERE event_type = 'error') AS n_rejects,
                {rounded('coalesce(sum(reading), 0)', 3)} AS total
@@ -312,5 +323,11 @@ ORACLES = {
         SELECT l_orderkey, l_linenumber, l_partkey, ({POSITIVE} > 1e0 - {POSITIVE})::INTEGER AS prediction,
                {rounded('1e0 - ' + POSITIVE, 9)} AS probability_class_0, {rounded(POSITIVE, 9)} AS probability_class_1
         FROM lineitem""",
+    "forest_predictions_checks": """
+        SELECT count(*) AS n_rows, count(DISTINCT vec_id) AS n_ids, floor(count(*) * 0.8e0)::BIGINT AS n_train,
+               count(*) AS n_sums, count(*) AS n_likeliest FROM embeddings""",
+    "scored_source_checks": """
+        SELECT count(*) AS n_rows, 0::BIGINT AS first_id, count(*) - 1 AS last_id, count(*) AS n_ids,
+               count(DISTINCT vec_id) AS n_groups, count(*) AS n_sums, count(*) AS n_likeliest FROM embeddings""",
     "incremental_stats": leaf_sql("(SELECT user_id, value, event_id::DOUBLE AS position FROM events)", ["user_id"], ["value", "position"]),
 }

@@ -138,6 +138,35 @@ def leaf_csv_scan(spark, folder):
     return flat_summary(statistics.leaf_statistics(leaves.accepted(cells), keys), *keys)
 
 
+def leaf_csv_mixed(spark, folder):
+    """Leaf files of two column orders, one with an extra column, bad cells and too long rows; sources ``01`` and ``1``.
+
+    Statistics of the good cells, and how many cells and rows of a leaf were rejected.
+    """
+    root = scratch_path(spark, "mixed-files")
+    rows = event_leaves(spark, folder).select(
+        F.when(F.col("position") % 2 == 0, "01").otherwise("1").alias("source"), "hierarchy_1", "hierarchy_2",
+        F.when(F.col("position") % 10 == 3, "oops").otherwise(F.col("value").cast("string")).alias("value"),
+        F.when(F.col("position") % 100 == 7, F.concat(F.col("position").cast("string"), F.lit(",999")))
+        .otherwise(F.col("position").cast("string")).alias("position"),
+    )
+    keys = ["source", "hierarchy_1", "hierarchy_2"]
+    orders = {"01": ["value", "position"], "1": ["note", "value", "position"]}
+    for source, columns in orders.items():
+        # Written as text, so that a row can have more cells than its header.
+        header = F.lit(",".join(columns))
+        lines = rows.where(F.col("source") == source).withColumn("note", F.lit('"a, b"'))
+        grouped = lines.select("hierarchy_1", "hierarchy_2", F.concat_ws(",", *columns).alias("line"))
+        files = grouped.groupBy("hierarchy_1", "hierarchy_2", F.pmod(F.xxhash64("line"), F.lit(16)).alias("piece")).agg(F.collect_list("line").alias("lines"))
+        text = files.select("hierarchy_1", "hierarchy_2", F.concat_ws("\n", header, "lines").alias("value"))
+        text.repartition("hierarchy_1", "hierarchy_2").write.option("maxRecordsPerFile", 1).partitionBy("hierarchy_1", "hierarchy_2").text(f"{root}/{source}")
+    schema = T.StructType.fromDDL("position double, value double")
+    cells = staged(leaves.read_leaves(spark, root, schema, file_name="*.txt"), "mixed")
+    found = flat_summary(statistics.leaf_statistics(leaves.accepted(cells), keys), *keys)
+    rejected = leaves.rejects(cells).groupBy(*keys).agg(F.sum(F.size(leaves.BAD_CELLS)).alias("n_rejects"))
+    return arrange.merge_feature_types([found, rejected], keys)
+
+
 def typed_cells(spark, folder):
     """Text cells to types: missing texts become null, cells that do not fit are listed."""
     text = table(spark, folder, "events").select(
@@ -500,13 +529,16 @@ def custom_model(spark, folder):
 
 
 def incremental_stats(spark, folder):
-    """The events file as a stream that ends when drained; statistics per user."""
-    schema = table(spark, folder, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(folder)
-    rows = stream.select("user_id", "value", F.col("event_id").cast("double").alias("position"))
-    output, checkpoint = scratch_path(spark, "incremental"), scratch_path(spark, "incremental-state")
-    incremental.preprocess_new(rows, output, checkpoint, ["user_id"], n_features=2, seed=SEED)
-    return flat_summary(incremental.latest(spark, f"{output}/statistics", ["user_id"]), "user_id")
+    """The events table, cut into files that arrive three at a time, as a stream; statistics per user.
+
+    Users span files and batches, so their moments are merged.
+    """
+    landing, output, checkpoint = (scratch_path(spark, f"incremental-{n}") for n in ("files", "out", "state"))
+    events = table(spark, folder, "events").select("user_id", "value", F.col("event_id").cast("double").alias("position"))
+    events.repartition(8).write.parquet(landing)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 3).parquet(landing)
+    incremental.preprocess_new(stream, output, checkpoint, ["user_id"], ["value", "position"], 2, SEED, incremental.MERGE)
+    return flat_summary(incremental.merged(spark, output, ["user_id"], ["value", "position"]), "user_id")
 
 
 def _embedding_set(spark, folder) -> DataFrame:
@@ -549,6 +581,32 @@ def scored_source(spark, folder):
     return spark.read.parquet(path)
 
 
+def _probability_checks(rows: DataFrame) -> list[Column]:
+    """How many rows have probabilities that sum to one, and a prediction that is the most likely class."""
+    names = sorted((c for c in rows.columns if c.startswith("probability_class_")), key=lambda c: int(c.rsplit("_", 1)[1]))
+    values = F.array(*[F.col(c) for c in names])
+    total = F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
+    best = F.get(values, F.col("prediction").cast("int")) == F.array_max(values)
+    return [F.count_if(F.abs(total - 1) < 1e-9).alias("n_sums"), F.count_if(best).alias("n_likeliest")]
+
+
+def forest_predictions_checks(spark, folder):
+    """What holds for a forest's predictions whatever its trees: all rows, exact training share, sound probabilities."""
+    rows = forest_predictions(spark, folder)
+    return rows.agg(
+        F.count("*").alias("n_rows"), F.count_distinct("vec_id").alias("n_ids"), F.count_if("is_train").alias("n_train"), *_probability_checks(rows)
+    )
+
+
+def scored_source_checks(spark, folder):
+    """What holds for a written scoring run: contiguous ids, every group once, sound probabilities."""
+    rows = scored_source(spark, folder)
+    return rows.agg(
+        F.count("*").alias("n_rows"), F.min("sample_id").alias("first_id"), F.max("sample_id").alias("last_id"),
+        F.count_distinct("sample_id").alias("n_ids"), F.count_distinct("group").alias("n_groups"), *_probability_checks(rows),
+    )
+
+
 QUERIES = {
     "leaf_statistics": leaf_statistics,
     "leaf_statistics_all_numeric": leaf_statistics_all_numeric,
@@ -561,6 +619,7 @@ QUERIES = {
     "sample_select": sample_select,
     "artifact_semi_join": artifact_semi_join,
     "leaf_csv_scan": leaf_csv_scan,
+    "leaf_csv_mixed": leaf_csv_mixed,
     "typed_cells": typed_cells,
     "artifact_roundtrip": artifact_roundtrip,
     "feature_roundtrip": feature_roundtrip,
@@ -603,6 +662,8 @@ QUERIES = {
     "custom_model": custom_model,
     "incremental_stats": incremental_stats,
     "forest_predictions": forest_predictions,
+    "forest_predictions_checks": forest_predictions_checks,
     "forest_search": forest_search,
     "scored_source": scored_source,
+    "scored_source_checks": scored_source_checks,
 }

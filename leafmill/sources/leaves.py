@@ -5,8 +5,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from leafmill import DEFAULT_KEYS
-from leafmill.functions.columns import other_columns
+from leafmill.functions.columns import other_columns, quoted
 from leafmill.operators.arrange import union_sources
+from leafmill.sources.headers import CORRUPT, Headers
 from leafmill.sources.paths import literal, subfolders, with_path_keys
 
 # Texts that stand for a missing value in a CSV cell.
@@ -40,30 +41,58 @@ def read_leaf_text(
     """All leaf files of the sources as one table of text columns, keys first.
 
     Only folders of the asked sources are listed. Absent sources are skipped
-    (``present_sources`` reports them). Without ``columns`` the header of each source's files
-    gives its columns, and a column that another source lacks is null there.
+    (``present_sources`` reports them). Every file is read by its own header: a column that it lacks is
+    null there, others than the asked ``columns`` are left out, and their order does not matter. Files
+    without any asked column, or with a column named twice, are left out (``bad_leaf_files`` lists them).
+    Without ``columns`` all columns of all files are read. ``_corrupt_row`` holds the text of a row with
+    more cells than its header.
     """
+    headers = _headers(spark, root, sources, keys, file_name)
+    wanted = headers.columns() if columns is None else list(columns)
+    tables = []
+    for header, (names, _) in headers.variants.items():
+        if set(wanted) & set(names):
+            cells = [F.col(quoted(c)) if c in names else F.lit(None).cast("string").alias(c) for c in wanted]
+            rows = with_path_keys(headers.rows(header), keys)
+            # Quoted commas do not make a row longer than its header.
+            n_cells = F.size(F.split(F.regexp_replace(CORRUPT, '"(?:[^"]|"")*"', ""), ","))
+            tables.append(rows.select(*keys, *cells, F.when(n_cells > len(names), F.col(CORRUPT)).alias(CORRUPT)))
+    if not tables:
+        raise ValueError(f"no leaf file below {root} has any of the columns {wanted}")
+    return union_sources(tables)
+
+
+def bad_leaf_files(
+    spark: SparkSession,
+    root: str,
+    columns: Sequence[str],
+    sources: Sequence[str] | None = None,
+    keys: Sequence[str] = DEFAULT_KEYS,
+    file_name: str = "data.csv",
+) -> DataFrame:
+    """(_file, header) of leaf files that ``read_leaf_text`` leaves out."""
+    return _headers(spark, root, sources, keys, file_name).bad_files(columns)
+
+
+def _headers(spark: SparkSession, root: str, sources: Sequence[str] | None, keys: Sequence[str], file_name: str) -> Headers:
     found, _ = present_sources(spark, root, subfolders(spark, root) if sources is None else sources)
     if not found:
         raise ValueError(f"no leaf files for any of {sources or 'the sources'} below {root}")
-    reader = spark.read.option("header", True).option("enforceSchema", False)
-    if columns is not None:
-        schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-        return with_path_keys(reader.schema(schema).csv(leaf_pattern(root, found, keys, file_name)), keys)
-    return union_sources(
-        [with_path_keys(reader.csv(leaf_pattern(root, [s], keys, file_name)), keys) for s in found]
-    )
+    return Headers(spark, leaf_pattern(root, found, keys, file_name))
 
 
 def typed_cells(text: DataFrame, schema: T.StructType, keys: Sequence[str] = DEFAULT_KEYS) -> DataFrame:
     """Cast text cells to the declared types.
 
     Missing-value texts become null. A cell that cannot be cast becomes null too, and its
-    column name is listed in ``bad_cells``.
+    column name is listed in ``bad_cells``. So is ``_corrupt_row`` for a row with too many cells; a row
+    with too few has nulls at its end.
     """
     cells, bad = [], []
+    if CORRUPT in text.columns:
+        bad.append(F.when(F.col(CORRUPT).isNotNull(), F.lit(CORRUPT)))
     for field in schema:
-        cell = F.when(~F.trim(field.name).isin(*MISSING_TEXTS), F.col(field.name))
+        cell = F.when(~F.trim(quoted(field.name)).isin(*MISSING_TEXTS), F.col(quoted(field.name)))
         value = cell.try_cast(field.dataType) if not isinstance(field.dataType, T.StringType) else cell
         cells.append(value.alias(field.name))
         bad.append(F.when(cell.isNotNull() & value.isNull(), F.lit(field.name)))
@@ -84,12 +113,12 @@ def read_leaves(
 
 
 def accepted(cells: DataFrame) -> DataFrame:
-    """Rows whose cells all had their type."""
-    return cells.where(F.size(BAD_CELLS) == 0).drop(BAD_CELLS)
+    """Rows for statistics: bad cells are null in them, rows with too many cells are left out."""
+    return cells.where(~F.array_contains(BAD_CELLS, CORRUPT)).drop(BAD_CELLS)
 
 
 def rejects(cells: DataFrame) -> DataFrame:
-    """Rows with at least one bad cell, for a table of their own."""
+    """Rows with at least one bad cell or too many cells, for a table of their own."""
     return cells.where(F.size(BAD_CELLS) > 0)
 
 
@@ -98,10 +127,10 @@ def measured_schema(text: DataFrame, keys: Sequence[str] = DEFAULT_KEYS) -> T.St
 
     One aggregation over the whole table, so every leaf gets the same types.
     """
-    names = other_columns(text, keys)
+    names = other_columns(text, keys, [CORRUPT])
     checks = []
     for i, name in enumerate(names):
-        cell = F.when(~F.trim(name).isin(*MISSING_TEXTS), F.col(name))
+        cell = F.when(~F.trim(quoted(name)).isin(*MISSING_TEXTS), F.col(quoted(name)))
         checks.append(F.count(F.when(cell.isNotNull() & cell.try_cast("double").isNull(), 1)).alias(str(i)))
     misfits = text.agg(*checks).first()
     return T.StructType(

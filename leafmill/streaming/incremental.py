@@ -5,12 +5,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from leafmill import DEFAULT_KEYS
-from leafmill.operators.statistics import leaf_statistics
+from leafmill.functions.columns import numeric_columns
+from leafmill.operators.statistics import leaf_moments, leaf_statistics, merge_moments, summarise_moments
 from leafmill.plans.preprocess import random_features
 from leafmill.sources.leaves import accepted, leaf_pattern, typed_cells
-from leafmill.sources.paths import with_path_keys
+from leafmill.sources.paths import exists, with_path_keys
 
 BATCH = "batch_id"
+REPLACE, MERGE = "replace", "merge"
 
 
 def leaf_stream(
@@ -21,9 +23,13 @@ def leaf_stream(
     file_name: str = "data.csv",
     max_files: int | None = None,
 ) -> DataFrame:
-    """Leaf files as a stream of typed rows. A leaf is one file, so it arrives whole."""
+    """Leaf files as a stream of typed rows. A leaf is one file, so it arrives whole.
+
+    All files must have the header that ``schema`` names, in its order: one that differs stops the
+    stream with an error (``read_leaves`` maps columns by each file's header).
+    """
     text = T.StructType([T.StructField(c, T.StringType()) for c in schema.names])
-    reader = spark.readStream.schema(text).option("header", True)
+    reader = spark.readStream.schema(text).option("header", True).option("enforceSchema", False)
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
     rows = with_path_keys(reader.csv(leaf_pattern(root, None, keys, file_name)), keys)
@@ -38,16 +44,32 @@ def preprocess_new(
     measures: Sequence[str] | None = None,
     n_features: int = 10,
     seed: int = 42,
+    mode: str = REPLACE,
 ) -> None:
     """Process everything that has arrived since the last run with this checkpoint, then stop.
 
     Each micro-batch replaces its own folder, so a batch that is repeated after a failure
-    leaves no doubles.
+    leaves no doubles. ``mode`` says what a key in several batches means. ``replace``: a leaf is
+    delivered whole, and again when it has changed; read ``latest``. ``merge``: every batch brings
+    more rows of its keys; the batch keeps mergeable moments, and ``merged`` gives the statistics
+    of all rows, however they were spread over files and batches.
     """
+    if mode not in (REPLACE, MERGE):
+        raise ValueError(f"mode: {REPLACE} or {MERGE}, not {mode}")
     keys = list(keys)
+    names = numeric_columns(rows, keys) if measures is None else list(measures)
+    if mode == MERGE and not names:
+        raise ValueError("nothing to merge: no numeric column")
 
     def one_batch(batch: DataFrame, batch_id: int) -> None:
-        statistics = leaf_statistics(batch, keys, measures)
+        if mode == MERGE:
+            moments = leaf_moments(batch, keys, names)
+            moments.write.mode("overwrite").parquet(f"{output}/moments/{BATCH}={batch_id}")
+            written = batch.sparkSession.read.parquet(f"{output}/moments/{BATCH}={batch_id}")
+            features = random_features(written, keys, n_features, seed)
+            features.write.mode("overwrite").parquet(f"{output}/features/{BATCH}={batch_id}")
+            return
+        statistics = leaf_statistics(batch, keys, names)
         statistics.write.mode("overwrite").parquet(f"{output}/statistics/{BATCH}={batch_id}")
         written = batch.sparkSession.read.parquet(f"{output}/statistics/{BATCH}={batch_id}")
         features = random_features(written, keys, n_features, seed)
@@ -62,6 +84,16 @@ def preprocess_new(
     query.awaitTermination()
 
 
+def merged(spark: SparkSession, output: str, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
+    """Statistics over all batches of a ``merge`` run. Measures are those of the run, in its order."""
+    keys, n = list(keys), len(measures)
+    path = f"{output}/moments"
+    if not exists(spark, path):
+        raise FileNotFoundError(f"no batch has arrived yet: {path}")
+    moments = spark.read.parquet(path).drop(BATCH)
+    return summarise_moments(merge_moments(moments, keys, n), keys, n)
+
+
 def latest(spark: SparkSession, path: str, keys: Sequence[str] = DEFAULT_KEYS) -> DataFrame:
     """The newest row of each leaf: a leaf that was delivered again replaces its old row."""
     table = spark.read.parquet(path)

@@ -224,3 +224,35 @@ def test_incremental_leaves(spark, tmp_path, new_folder):
     features = incremental.latest(spark, f"{new_folder}/out/features")
     assert features.count() == 3 and features.columns == [*KEYS, "random_feature_1", "random_feature_2"]
     assert run() == {("A", "1"): 4.0, ("A", "02"): 101.0, ("B c", "1"): 10.0}
+
+
+@pytest.mark.parametrize("files", [1, 8])
+def test_keys_that_span_files_and_batches_are_merged(spark, new_folder, files):
+    rows = [(i % 3, float(i), None if i % 5 else 1e6 + i) for i in range(90)]
+    df = spark.createDataFrame(rows, "k long, x double, y double")
+    schema, names = df.schema, ["x", "y"]
+
+    def run():
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(f"{new_folder}/in")
+        incremental.preprocess_new(stream, f"{new_folder}/out", f"{new_folder}/state", ["k"], names, 2, mode=incremental.MERGE)
+        found = incremental.merged(spark, f"{new_folder}/out", ["k"], names).collect()
+        return {r["k"]: r["summary_features"].asDict() for r in found}
+
+    def whole(table):
+        return {r["k"]: {n: pytest.approx(v, rel=1e-9) for n, v in r["summary_features"].asDict().items()} for r in leaf_statistics(table, ["k"]).collect()}
+
+    first = df.where("x < 60")
+    first.repartition(files).write.parquet(f"{new_folder}/in")
+    assert run() == whole(first)
+    df.where("x >= 60").repartition(files).write.mode("append").parquet(f"{new_folder}/in")
+    assert run() == whole(df)
+    assert run() == whole(df)
+
+
+def test_a_stream_stops_at_another_header(spark, tmp_path, new_folder):
+    for name, text in (("1", "x,y\n1,2\n"), ("2", "y,x\n20,10\n")):
+        (tmp_path / "raw" / "A" / "1" / name).mkdir(parents=True)
+        (tmp_path / "raw" / "A" / "1" / name / "data.csv").write_text(text)
+    rows = incremental.leaf_stream(spark, str(tmp_path / "raw"), T.StructType.fromDDL("x double, y double"))
+    with pytest.raises(Exception, match="(?i)header"):
+        incremental.preprocess_new(rows, f"{new_folder}/out", f"{new_folder}/state", n_features=2)

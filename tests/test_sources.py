@@ -61,10 +61,38 @@ def test_missing_texts_and_bad_cells(spark, root):
     rows = cells.orderBy("timestamp").collect()
     assert [(r["a"], r["b"], r["status_flag"]) for r in rows] == [(1.5, None, "normal"), (2.5, None, "alert"), (None, 4.0, None)]
     assert [r["bad_cells"] for r in rows] == [[], [], ["a"]]
-    assert leaves.accepted(cells).count() == 2 and leaves.rejects(cells).count() == 1
+    assert leaves.accepted(cells).count() == 3 and leaves.rejects(cells).count() == 1
     assert "bad_cells" not in leaves.accepted(cells).columns
 
 
+def test_every_file_is_read_by_its_own_header(spark, tmp_path):
+    folder = str(tmp_path)
+    write(folder, "01/1/1/data.csv", "x,y\n1,2\n3,oops\n5,6,999\n7\n")
+    write(folder, "1/1/1/data.csv", 'extra,y,x\n"a, b",20,10\n')
+    write(folder, "1/1/2/data.csv", "y\n40\n")
+    write(folder, "1/1/3/data.csv", "p,q\n1,2\n")
+    write(folder, "1/1/4/data.csv", "x,x\n1,2\n")
+    write(folder, "1/1/5/data.csv", "")
+    schema = T.StructType.fromDDL("x double, y double")
+    cells = leaves.read_leaves(spark, folder, schema)
+    good = {tuple(r) for r in leaves.accepted(cells).select("source", "hierarchy_2", "x", "y").collect()}
+    assert good == {("01", "1", 1.0, 2.0), ("01", "1", 3.0, None), ("01", "1", 7.0, None), ("1", "1", 10.0, 20.0), ("1", "2", None, 40.0)}
+    assert sorted(tuple(r["bad_cells"]) for r in leaves.rejects(cells).collect()) == [("_corrupt_row",), ("y",)]
+    bad = leaves.bad_leaf_files(spark, folder, schema.names)
+    assert {r["_file"].split("/")[-2] for r in bad.collect()} == {"3", "4"}
+
+
+@pytest.mark.parametrize("listed", [0, 1000])
+def test_headers_of_many_files(spark, tmp_path, monkeypatch, listed):
+    from leafmill.sources import headers
+
+    monkeypatch.setattr(headers, "LISTED_FILES", listed)
+    for i in range(6):
+        write(str(tmp_path), f"s {i % 2}/1/{i}/data.csv", f"a,b\n{i},1\n" if i % 3 else f"b,a\n1,{i}\n")
+    rows = leaves.read_leaves(spark, str(tmp_path), T.StructType.fromDDL("a double, b double")).collect()
+    assert sorted((r["hierarchy_2"], r["a"], r["b"]) for r in rows) == [(str(i), float(i), 1.0) for i in range(6)]
+
+
 def test_unknown_columns_are_inferred_for_all_leaves(spark, tmp_path):
     folder = str(tmp_path)
     write(folder, "A/1/1/data.csv", "x,y\n1,2\n3,n/a\n")
