@@ -4,9 +4,11 @@ The shuffle carries one partial row per (task, leaf), never raw rows, so a leaf
 third of the table costs no more than any other.
 """
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from leafmill.functions.columns import mean_of, nan_to_null, numeric_columns, quoted, quoted_all, sample_std_of, sum_of
 from leafmill.session import staged
@@ -18,6 +20,9 @@ SUMMARY_TYPE = (
 # Beyond this many measures the aggregate runs over (key, measure, value) rows: six aggregates
 # times hundreds of columns would not fit a generated method.
 WIDE_MEASURES = 40
+# Beyond this many measures correlations are summed by matrix products.
+WIDE_PAIRS = 12
+PAIR_SUMS = ["n", "sum_a", "sum_b", "square_a", "square_b", "product"]
 
 
 def leaf_statistics(
@@ -177,16 +182,19 @@ def hierarchy_statistics(
 
 
 def correlation_matrix(
-    df: DataFrame, keys: Sequence[str], measures: Sequence[str] | None = None
+    df: DataFrame, keys: Sequence[str], measures: Sequence[str] | None = None, wide_over: int = WIDE_PAIRS
 ) -> DataFrame:
     """Pearson matrix per leaf as rows (keys, measure_a, measure_b, correlation), upper half.
 
     Each pair uses the rows where both values are present. A column that is constant on those
-    rows has no correlation: the value is 0, as in the trace.
+    rows has no correlation: the value is 0, as in the trace. Beyond ``wide_over`` measures the
+    sums of all pairs come from matrix products over batches of rows.
     """
     keys = list(keys)
     names = numeric_columns(df, keys) if measures is None else list(measures)
     n = len(names)
+    if n > wide_over:
+        return _wide_correlations(df, keys, names)
     pairs = [(i, j) for i in range(n) for j in range(i + 1, n)]
     aggregates = [F.var_pop(f"_x_{i}").alias(f"_v_{i}") for i in range(n)]
     for i, j in pairs:
@@ -209,5 +217,52 @@ def correlation_matrix(
     return base.select(*quoted_all(keys), F.explode(F.array(*cells)).alias("_cell")).select(*quoted_all(keys), "_cell.*")
 
 
+def _wide_correlations(df: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    """One row per leaf and measure and batch with arrays of sums, then added up pair by pair.
+
+    Values are taken from the mean of their measure, so that large ones lose no digits.
+    """
+    n = len(names)
+    values = _values(df, keys, names)
+    means = [v or 0.0 for v in values.agg(*[F.avg(f"_x_{i}") for i in range(n)]).first()]
+    shifted = F.array(*[F.coalesce(F.col(f"_x_{i}") - m, F.lit(float("nan"))) for i, m in enumerate(means)])
+    key_type = T.StructType([df.schema[k] for k in keys])
+    leaf = F.to_json(F.struct(*quoted_all(keys)), {"ignoreNullFields": "false"})
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for name, rows in batch.groupby("leaf", sort=False)["v"]:
+                x = np.vstack(rows.to_numpy())
+                there = (~np.isnan(x)).astype(float)
+                x = np.nan_to_num(x)
+                count, total, square, product = there.T @ there, x.T @ there, (x * x).T @ there, x.T @ x
+                for i in range(n):
+                    parts = (count[i], total[i], total[:, i], square[i], square[:, i], product[i])
+                    out.append((name, i, *[p[i:] for p in parts]))
+            yield pd.DataFrame(out, columns=["leaf", "i", *PAIR_SUMS])
+
+    arrays = ", ".join(f"{name} array<double>" for name in PAIR_SUMS)
+    partial = values.select(leaf.alias("leaf"), shifted.alias("v")).mapInPandas(sums, f"leaf string, i int, {arrays}")
+    flat = partial.select("leaf", "i", F.posexplode(F.arrays_zip(*PAIR_SUMS)).alias("apart", "s"))
+    pairs = flat.groupBy("leaf", "i", "apart").agg(*[F.sum(f"s.{name}").alias(name) for name in PAIR_SUMS])
+
+    def spread(total: str, square: str) -> Column:
+        left = F.col(square) - F.col(total) * F.col(total) / F.col("n")
+        # What rounding leaves of a constant column is no spread.
+        return F.when(left > 1e-13 * F.col(square), left).otherwise(0.0)
+
+    both = F.sqrt(spread("sum_a", "square_a")) * F.sqrt(spread("sum_b", "square_b"))
+    together = F.col("product") - F.col("sum_a") * F.col("sum_b") / F.col("n")
+    value = F.when(both > 0, F.when(F.col("apart") == 0, 1.0).otherwise(clip_unit(together / both))).otherwise(0.0)
+    listed = F.array(*[F.lit(name) for name in names])
+    return pairs.select(
+        F.from_json("leaf", key_type).alias("k"),
+        F.get(listed, F.col("i")).alias("measure_a"),
+        F.get(listed, F.col("i") + F.col("apart")).alias("measure_b"),
+        value.alias("correlation"),
+    ).select("k.*", "measure_a", "measure_b", "correlation")
+
+
 def clip_unit(value: Column) -> Column:
     return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), value))

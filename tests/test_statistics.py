@@ -3,6 +3,7 @@ import random
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from leafmill.operators import statistics
 
@@ -117,3 +118,28 @@ def test_correlation_matrix(spark):
     for row in statistics.correlation_matrix(df, ["leaf"]).collect():
         wanted = frame[frame.leaf == row["leaf"]][["a", "b", "c", "same"]].astype(float).corr().fillna(0)
         assert row["correlation"] == pytest.approx(wanted.loc[row["measure_a"], row["measure_b"]], abs=1e-9)
+
+
+@pytest.mark.parametrize("wide_over", [0, 100])
+def test_correlations_of_both_forms(spark, wide_over):
+
+    rng = random.Random(8)
+    rows = []
+    for i in range(300):
+        a = rng.gauss(1e6, 1)
+        rows.append((None if i % 3 == 0 else f"k{i % 2}", i % 2, a, a * 2 + rng.gauss(0, 1), None if i % 7 == 0 else rng.random(), 5.0))
+    df = spark.createDataFrame(rows, "s string, j int, a double, b double, c double, d double")
+    found = {tuple(r)[:4]: r["correlation"] for r in statistics.correlation_matrix(df, ["s", "j"], wide_over=wide_over).collect()}
+    frame = df.toPandas()
+    assert len(found) == 4 * 10
+    for (s, j, a, b), value in found.items():
+        part = frame[(frame.s.isna() if s is None else frame.s == s) & (frame.j == j)][list(dict.fromkeys([a, b]))].dropna()
+        expected = 0.0 if part[a].nunique() < 2 or part[b].nunique() < 2 else 1.0 if a == b else part[a].corr(part[b])
+        assert value == pytest.approx(expected, abs=1e-6), (s, j, a, b)
+
+
+def test_correlations_of_many_measures(spark):
+    wide = spark.range(2000).select((F.col("id") % 3).alias("k"), *[F.rand(i).alias(f"m{i}") for i in range(200)])
+    rows = statistics.correlation_matrix(wide, ["k"])
+    assert rows.count() == 3 * 200 * 201 // 2
+    assert rows.where("measure_a = measure_b").agg(F.min("correlation")).first()[0] == 1.0
