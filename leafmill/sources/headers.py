@@ -41,7 +41,8 @@ class Headers:
         self.variants: dict[str, tuple[list[str], int]] = {}
         self.unusable: list[str] = []
         for row in counts:
-            names = next(csv.reader([row["header"]]), [])
+            # A column without a name is called by its place, as Spark's reader does.
+            names = [name or f"_c{i}" for i, name in enumerate(next(csv.reader([row["header"]]), []))]
             if not names or len(set(names)) < len(names):
                 self.unusable.append(row["header"])
             else:

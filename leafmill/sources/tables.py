@@ -6,11 +6,13 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from leafmill import DEFAULT_KEYS
-from leafmill.functions.columns import prefixed
+from leafmill.functions.columns import prefixed, quoted_all
 from leafmill.operators.arrange import HAS_LABEL, label_keys, merge_feature_types, union_sources
 from leafmill.operators.checks import require_columns
 from leafmill.operators.ranking import positional_join
 from leafmill.operators.statistics import SUMMARY_TYPE
+from leafmill.sources.headers import Headers
+from leafmill.sources.leaves import BAD_CELLS, measured_schema, typed_cells
 from leafmill.sources.paths import exists, literal, matching, path_part, with_text_partitions
 
 
@@ -37,22 +39,28 @@ def read_feature_files(
 
     Keys come from the file name. Files with fewer than the needed name parts are left out, a
     leading index column is dropped, and only the first row of a file counts. That row is
-    found with a partial aggregate, so one very long file does not land in one task.
+    found with a partial aggregate, so one very long file does not land in one task. Every file is
+    read by its own header: columns that it lacks are null, and their order does not matter. A
+    column is a number when all its cells are.
     """
-    scan = spark.read.option("header", True).option("inferSchema", True).option("pathGlobFilter", "*.csv").csv(folder)
-    names = scan.columns[1:] if scan.columns and is_index_column(scan.columns[0]) else scan.columns
+    headers = Headers(spark, folder, pathGlobFilter="*.csv")
     parts = F.split(F.regexp_replace(path_part(1), r"\.csv$", ""), "_")
-    lower = list(keys[1:])
-    rows = scan.select(
-        F.lit(source).alias(keys[0]),
-        *[F.get(parts, F.lit(i)).alias(k) for i, k in enumerate(lower)],
-        F.struct(*names).alias("_row"),
-        F.col("_metadata.file_path").alias("_file"),
-        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("_place"),
-        F.size(parts).alias("_parts"),
-    ).where(F.col("_parts") >= len(lower))
-    first = rows.groupBy("_file", *keys).agg(F.min_by("_row", "_place").alias("_row"))
-    return prefixed(first.select(*keys, "_row.*"), feature_type, keys)
+    lower, tables = list(keys[1:]), []
+    for header, (names, _) in headers.variants.items():
+        kept = names[1:] if is_index_column(names[0]) else names
+        rows = headers.rows(header).select(
+            F.lit(source).alias(keys[0]),
+            *[F.get(parts, F.lit(i)).alias(k) for i, k in enumerate(lower)],
+            F.struct(*quoted_all(kept)).alias("_row"),
+            F.col("_metadata.file_path").alias("_file"),
+            F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("_place"),
+            F.size(parts).alias("_parts"),
+        ).where(F.col("_parts") >= len(lower))
+        first = rows.groupBy("_file", *keys).agg(F.min_by("_row", "_place").alias("_row"))
+        tables.append(first.select(*keys, "_row.*"))
+    text = union_sources(tables)
+    typed = typed_cells(text, measured_schema(text, keys), keys).drop(BAD_CELLS)
+    return prefixed(typed, feature_type, keys)
 
 
 def read_source_features(

@@ -133,6 +133,16 @@ def test_feature_files(spark, tmp_path):
     assert rows[0].asDict().keys() == {*DEFAULT_KEYS, "kind_x", "kind_y"}
 
 
+def test_feature_files_are_read_by_name(spark, tmp_path):
+    folder = str(tmp_path / "A" / "kind")
+    write(folder, "1_1_kind.csv", ",p,q\n0,2,200\n")
+    write(folder, "1_2_kind.csv", "q,p\n100,1\n")
+    write(folder, "01_2_kind.csv", "p,r\n3,text\n4,more\n")
+    rows = tables.read_feature_files(spark, folder, "A", "kind").collect()
+    found = {(r["hierarchy_1"], r["hierarchy_2"]): (r["kind_p"], r["kind_q"], r["kind_r"]) for r in rows}
+    assert found == {("1", "1"): (2.0, 200.0, None), ("1", "2"): (1.0, 100.0, None), ("01", "2"): (3.0, None, "text")}
+
+
 def test_features_of_all_sources(spark, tmp_path):
     base = str(tmp_path)
     write(base, "A/one/1_1_one.csv", "x\n1.0\n")
