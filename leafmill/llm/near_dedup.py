@@ -5,9 +5,12 @@ one hash and keeps them in text order, so that two texts share it when they shar
 ``SKETCHES`` hashes give as many chances. Copies of one word sequence count as one text from here on.
 
 Texts that share a sketch and whose lengths allow the similarity form a bucket. A bucket is not paired out:
-all its texts are aligned with one pivot, those that match leave with it, the others choose a new pivot, until
-none is left. Pivots follow four orders, so that a text meets different pivots in its buckets. Links that
-hold up are joined into classes.
+its texts are compared with up to ``PIVOTS`` of them, those whose sketches are the most shared, so that the
+edited copies of one text meet the copies with the fewest edits. This is one comparison a text and pivot
+whatever the size of the bucket. Texts that match no pivot of their bucket are compared with each other by
+``BINS`` bytes per text (the smallest k-mer in each bin of one hash, an estimate of the Jaccard index) inside
+tasks, in blocks of bounded size; only pairs within four deviations of the similarity come out. Both kinds of
+pairs pass that estimate before they are aligned. Links that hold up are joined into classes.
 
 Similarity: common k-mers of the best alignment over all k-mers of both texts (the order-respecting Jaccard
 index of occurrence-labelled shingles). A match of ``s`` needs few insertions and deletions, which bounds how
@@ -22,7 +25,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leafmill.llm.common import documents, staged
+from leafmill.llm.common import documents, partitions, staged
 from leafmill.llm.components import components
 from leafmill.llm.substring import mix, powers, rolled, word_hashes
 
@@ -30,7 +33,10 @@ K = 5
 TAKE = 3
 SKETCHES = 16
 SIMILARITY = 0.8
-ORDERS = 4
+PIVOTS = 4
+BINS = 128
+#: Texts compared with each other in one go.
+BLOCK = 2048
 _SALTS = np.random.Generator(np.random.PCG64(577)).integers(1, 1 << 63, size=256, dtype=np.uint64)
 
 
@@ -45,9 +51,23 @@ def occurrences(kmers: np.ndarray) -> np.ndarray:
     return out
 
 
-def order_minhash(kmers: np.ndarray, sketches: int = SKETCHES, take: int = TAKE) -> np.ndarray:
+def labelled_kmers(kmers: np.ndarray) -> np.ndarray:
+    """K-mers told apart by the number of their occurrence."""
+    return mix(kmers + occurrences(kmers) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def binned(labelled: np.ndarray, bins: int = BINS) -> bytes:
+    """A byte of the smallest k-mer in each bin; 0 for an empty one."""
+    out = np.zeros(bins, dtype=np.uint8)
+    ordered = np.sort(labelled)
+    at = (ordered >> np.uint64(64 - bins.bit_length() + 1)).astype(np.int64)
+    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+    out[at[first]] = 1 + mix(ordered[first]) % np.uint64(255)
+    return out.tobytes()
+
+
+def order_minhash(labelled: np.ndarray, sketches: int = SKETCHES, take: int = TAKE) -> np.ndarray:
     """One number per sketch: the smallest occurrence-labelled k-mers under its hash, in text order."""
-    labelled = mix(kmers + occurrences(kmers) * np.uint64(0x9E3779B97F4A7C15))
     take = min(take, len(labelled))
     step = max(1, (1 << 21) // max(1, len(labelled)))
     keys = np.zeros(sketches, dtype=np.uint64)
@@ -83,11 +103,13 @@ def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         out = []
         for row, key, text in zip(batch["row"], batch["id"], batch["text"]):
-            _, hashes = word_hashes((text or "").encode("utf-8", "surrogatepass"))
-            kmers = kmers_of(hashes)
-            sketch = order_minhash(kmers).view(np.int64) if len(kmers) else np.zeros(0, dtype=np.int64)
-            out.append((row, key, *sequence_digest(hashes), len(kmers), sketch))
-        yield pd.DataFrame(out, columns=["row", "id", "d1", "d2", "n", "sketch"]).astype({"id": "Int64"})
+            data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)
+            _, hashes = word_hashes(data, np.array([0, len(data)]))
+            labelled = labelled_kmers(kmers_of(hashes)) if len(hashes) else hashes
+            sketch = order_minhash(labelled).view(np.int64) if len(labelled) else np.zeros(0, dtype=np.int64)
+            bins = binned(labelled) if len(labelled) else None
+            out.append((row, key, *sequence_digest(hashes), len(labelled), sketch, bins))
+        yield pd.DataFrame(out, columns=["row", "id", "d1", "d2", "n", "sketch", "bins"]).astype({"id": "Int64"})
 
 
 def common(a: list, b: list, band: int) -> int:
@@ -136,6 +158,69 @@ def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
     return common(x, y, both - 2 * need) >= need
 
 
+def limits(filled: np.ndarray, sizes: np.ndarray, least: float) -> np.ndarray:
+    """Common bins that a pair with so many filled ones needs: four deviations below the similarity.
+
+    ``sizes``: k-mers of both texts together. The filled bins are a draw without repetition from the k-mers
+    of both, of which a pair just similar enough has ``sizes / (1 + least)``.
+    """
+    union = np.maximum(sizes / (1 + least), 2.0)
+    drawn = np.clip((union - filled) / (union - 1), 0.0, 1.0)
+    return least * filled - 4 * np.sqrt(least * (1 - least) * filled * drawn) - 1.0
+
+
+def plausible(batches: Iterator[pd.DataFrame], least: float) -> Iterator[pd.DataFrame]:
+    """Pairs whose estimate allows the similarity."""
+    for batch in batches:
+        if len(batch):
+            a, b = (np.frombuffer(b"".join(batch[c]), dtype=np.uint8).reshape(-1, BINS) for c in ("bins_u", "bins_v"))
+            filled = ((a > 0) | (b > 0)).sum(axis=1)
+            need = limits(filled, (batch["n_u"] + batch["n_v"]).to_numpy(), least)
+            yield batch.loc[((a == b) & (a > 0)).sum(axis=1) >= need, ["u", "v"]]
+
+
+def groups_of(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """Whole groups of neighbouring rows with equal keys, across batches."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        values = batch[keys].to_numpy()
+        cuts = np.flatnonzero((values[1:] != values[:-1]).any(axis=1)) + 1
+        if held and (held[-1][keys].iloc[-1].to_numpy() != values[0]).any():
+            yield pd.concat(held)
+            held = []
+        edges = [0, *cuts.tolist(), len(batch)]
+        for a, b in zip(edges, edges[1:]):
+            if held and a > 0:
+                yield pd.concat(held)
+                held = []
+            held.append(batch.iloc[a:b])
+    if held:
+        yield pd.concat(held)
+
+
+def block_pairs(batches: Iterator[pd.DataFrame], least: float) -> Iterator[pd.DataFrame]:
+    """Plausible pairs of one block, or between two, from rows sorted by bucket and blocks."""
+    for group in groups_of(batches, ["bucket", "low", "high"]):
+        rows, n, own = group["row"].to_numpy(), group["n"].to_numpy(), group["block"].to_numpy()
+        bins = np.frombuffer(b"".join(group["bins"]), dtype=np.uint8).reshape(-1, BINS)
+        within = group["low"].iloc[0] == group["high"].iloc[0]
+        us, vs = [], []
+        for k in range(len(rows) - 1):
+            others = np.arange(k + 1, len(rows))
+            fits = np.minimum(n[k], n[others]) >= least * np.maximum(n[k], n[others])
+            others = others[fits if within else fits & (own[others] != own[k])]
+            if len(others):
+                theirs = bins[others]
+                filled = ((theirs > 0) | (bins[k] > 0)).sum(axis=1)
+                others = others[((theirs == bins[k]) & (theirs > 0)).sum(axis=1) >= limits(filled, n[k] + n[others], least)]
+                us.append(np.minimum(rows[k], rows[others]))
+                vs.append(np.maximum(rows[k], rows[others]))
+        if us:
+            yield pd.DataFrame({"u": np.concatenate(us), "v": np.concatenate(vs)})
+
+
 def verified(batches: Iterator[pd.DataFrame], least: float) -> Iterator[pd.DataFrame]:
     for batch in batches:
         held = [similar(a or "", b or "", least) for a, b in zip(batch["text_u"], batch["text_v"])]
@@ -148,16 +233,56 @@ def size_class(least: float):
 
 
 def bucket_members(texts: DataFrame, least: float) -> DataFrame:
-    """(bucket, row, n) where two texts or more share a sketch and may be long enough for each other."""
+    """(bucket, row, n, shared) where two texts or more share a sketch and may be long enough for each other.
+
+    ``shared``: how many texts have the sketches of a text, added up.
+    """
     keys = texts.where("n > 0").select("row", "n", F.explode("sketch").alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    counts = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    met = staged(keys.join(counts, "key"), "shared-sketches")
+    shared = met.groupBy("row").agg(F.sum("c").alias("shared"))
     near = F.explode(F.array(size_class(least), size_class(least) + 1))
-    spread = keys.join(shared, "key").select("row", "n", "key", near.alias("c"))
-    spread = spread.select(F.xxhash64("key", "c").alias("bucket"), "row", "n")
+    spread = met.join(shared, "row").select("row", "n", "shared", "key", near.alias("c"))
+    spread = spread.select(F.xxhash64("key", "c").alias("bucket"), "row", "n", "shared")
     again = spread.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
     return spread.join(again, "bucket")
 
 
+def pivot_pairs(members: DataFrame, least: float) -> DataFrame:
+    """Each member of a bucket with each of its pivots: bucket, row, pivot, u, v, fits.
+
+    The first pivot has the most shared sketches; the others too, after a change of up to a fifth by a hash.
+    """
+
+    def score(i: int):
+        noise = F.pmod(F.xxhash64("row", F.lit(i)), F.lit(1000)) / 5000.0
+        return F.struct((F.col("shared") * (1 - noise if i else F.lit(1.0))).alias("score"), F.col("row"), F.col("n"))
+
+    best = members.groupBy("bucket").agg(*[F.max(score(i)).alias(f"p{i}") for i in range(PIVOTS)])
+    chosen = F.array_distinct(F.array(*[F.struct(F.col(f"p{i}.row").alias("row"), F.col(f"p{i}.n").alias("n")) for i in range(PIVOTS)]))
+    met = members.join(best.select("bucket", chosen.alias("pivots")), "bucket")
+    met = met.select("bucket", "row", "n", F.explode("pivots").alias("p"))
+    return met.select(
+        "bucket", "row", F.col("p.row").alias("pivot"), F.least("row", "p.row").alias("u"), F.greatest("row", "p.row").alias("v"),
+        ((F.col("row") != F.col("p.row")) & (F.least("n", "p.n") >= F.lit(least) * F.greatest("n", "p.n"))).alias("fits"),
+    )
+
+
+def near_pairs(rest: DataFrame, bins: DataFrame, least: float) -> DataFrame:
+    """Plausible pairs among the members of each bucket, compared inside tasks in blocks of ``BLOCK`` texts."""
+    counts = rest.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.count("*").alias("c")).where("c > 1")
+    sized = rest.join(counts.select("bucket", "blocks"), "bucket").join(bins, "row")
+    sized = sized.withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")))
+    # A block meets every block of its bucket once: (low, high) names the meeting.
+    meets = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
+    dealt = sized.select("bucket", "row", "n", "bins", "block", meets).select(
+        "bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "row", "n", "bins", "block"
+    )
+    n = partitions(rest.sparkSession)
+    ordered = dealt.repartition(n, "bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
+    return ordered.mapInPandas(lambda batches: block_pairs(batches, least), "u long, v long")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
     """Columns id, row, class_row, class_id, class_size, kept: one row per row of ``docs``.
 
@@ -169,37 +294,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     numbered = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")
     )
-    signatures = staged(numbered.mapInPandas(signed, "row long, id long, d1 long, d2 long, n int, sketch array<long>"), "sketches")
+    schema = "row long, id long, d1 long, d2 long, n int, sketch array<long>, bins binary"
+    signatures = staged(numbered.mapInPandas(signed, schema), "sketches")
     texts = signatures.groupBy("d1", "d2").agg(F.min("row").alias("first"))
     copies = staged(signatures.join(texts, ["d1", "d2"]).select("row", "id", "n", "first"), "copies")
     once = signatures.join(copies.where("row = first").select("row"), "row", "left_semi")
     members = staged(bucket_members(once, least), "buckets")
-    found = None
-    while True:
-        order = F.struct(F.xxhash64("row", F.pmod("bucket", F.lit(ORDERS))).alias("o"), F.col("row"), F.col("n"))
-        pivots = members.groupBy("bucket").agg(F.min(order).alias("p"))
-        starred = members.join(pivots, "bucket").select("bucket", "row", "n", F.col("p.row").alias("pivot"), F.col("p.n").alias("pivot_n"))
-        starred = starred.where("row != pivot").select(
-            "bucket", "row", "n", F.least("row", "pivot").alias("u"), F.greatest("row", "pivot").alias("v"),
-            (F.least("n", "pivot_n") >= F.lit(least) * F.greatest("n", "pivot_n")).alias("fits"),
+    own, bins = numbered.select("row", "text"), signatures.select("row", "bins", "n")
+
+    def estimated(pairs: DataFrame) -> DataFrame:
+        """Pairs (u, v) whose estimate allows the similarity."""
+        both = pairs.join(bins.withColumnsRenamed({"row": "u", "bins": "bins_u", "n": "n_u"}), "u").join(
+            bins.withColumnsRenamed({"row": "v", "bins": "bins_v", "n": "n_v"}), "v"
         )
-        starred = staged(starred, "stars")
-        asked = starred.where("fits").select("u", "v").distinct()
-        if found is not None:
-            asked = asked.join(found, ["u", "v"], "left_anti")
-        own = numbered.select("row", "text")
-        checked = (
-            asked.join(own.select(F.col("row").alias("u"), F.col("text").alias("text_u")), "u")
-            .join(own.select(F.col("row").alias("v"), F.col("text").alias("text_v")), "v")
+        return both.mapInPandas(lambda batches: plausible(batches, least), "u long, v long")
+
+    def links(likely: DataFrame) -> DataFrame:
+        """Pairs (u, v) whose texts are similar by their alignment."""
+        aligned = (
+            likely.join(own.withColumnsRenamed({"row": "u", "text": "text_u"}), "u")
+            .join(own.withColumnsRenamed({"row": "v", "text": "text_v"}), "v")
             .mapInPandas(lambda batches: verified(batches, least), "u long, v long")
         )
-        new = staged(checked, "links")
-        found = new if found is None else found.unionByName(new)
-        rest = starred.join(found, ["u", "v"], "left_anti").select("bucket", "row", "n")
-        again = rest.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
-        members = staged(rest.join(again, "bucket"), "buckets")
-        if members.isEmpty():
-            break
+        return staged(aligned, "links")
+
+    pairs = staged(pivot_pairs(members, least), "pairs")
+    asked = staged(pairs.where("fits").select("u", "v").distinct(), "asked")
+    found = links(staged(estimated(asked), "likely"))
+    matched = pairs.join(found, ["u", "v"]).select("bucket", "row")
+    settled = pairs.select("bucket", F.col("pivot").alias("row")).unionByName(matched).distinct()
+    rest = staged(members.join(settled, ["bucket", "row"], "left_anti").select("bucket", "row", "n"), "unmatched")
+    more = near_pairs(rest, bins.drop("n"), least).distinct().join(asked, ["u", "v"], "left_anti")
+    found = found.unionByName(links(staged(more, "likely")))
     joined = components(found)
     classes = staged(
         copies.join(joined.select(F.col("node").alias("first"), "component"), "first", "left").select(
