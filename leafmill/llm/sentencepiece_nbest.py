@@ -6,9 +6,10 @@ remaining cost of a search that runs backwards from the end, so an A-star search
 belongs to the N best paths and yields them best first.
 
 Where no piece holds two neighbouring characters, every path has a border between them. The lattice falls
-into parts there (at the ends of words and lines and at ASCII punctuation), and each part's N best are
-remembered (a bounded cache per worker). The N best of a text differ from its best in the few parts whose
-second best costs least: all but ``N - 1`` parts keep their best, and a best-first search runs over those.
+into parts there (at the ends of words and lines and at ASCII punctuation). A part's best and the cost of its
+second best are remembered (a bounded cache per worker). The N best of a text differ from its best in the few
+parts whose second best costs least: all but ``N - 1`` parts keep their best, and a best-first search runs
+over the N best of those.
 
 Encoding follows the model file: a blank becomes U+2581, one is put in front, nothing else is normalised; a
 character without a piece is spelled in bytes, at the model's lowest score less ``UNKNOWN``.
@@ -37,7 +38,7 @@ UNKNOWN = 10.0
 BEST = 3
 NEVER = float("inf")
 #: Parts remembered by a worker in each of two generations; the older one is dropped when the younger is full.
-REMEMBERED = 200_000
+REMEMBERED = 600_000
 
 #: Cuts that no piece crosses: before blanks, around line ends, and around runs of punctuation after other characters.
 _MARKS = re.escape(string.punctuation)
@@ -71,7 +72,7 @@ class Pieces:
         if self.automaton is None:
             automaton = ahocorasick.Automaton()
             for piece, (i, score) in self.known.items():
-                automaton.add_word(piece, (len(piece), (i,), score))
+                automaton.add_word(piece, (len(piece), array("i", [i]).tobytes(), score))
             automaton.make_automaton()
             self.automaton = automaton
             self.alone = frozenset(p for p in self.known if len(p) == 1)
@@ -104,7 +105,7 @@ def load(model: str = MODEL) -> Pieces:
 
 
 def lattice(part: str, pieces: Pieces) -> tuple[list[list[tuple]], list[float]]:
-    """Edges into every place as (start, ids, score), and the best score from the start to every place (Viterbi)."""
+    """Edges into every place as (start, packed ids, score), and the best score from the start to every place (Viterbi)."""
     n = len(part)
     reach = [-1e300] * (n + 1)
     reach[0] = 0.0
@@ -122,17 +123,17 @@ def lattice(part: str, pieces: Pieces) -> tuple[list[list[tuple]], list[float]]:
         into[last + 1].append((last + 1 - size, ids, score))
     for at, character in enumerate(part):
         if character not in pieces.alone:
-            spelled = tuple(pieces.byte_ids[b] for b in character.encode("utf-8", "surrogatepass"))
+            spelled = array("i", [pieces.byte_ids[b] for b in character.encode("utf-8", "surrogatepass")]).tobytes()
             into[at + 1].append((at, spelled, pieces.unknown))
         reach[at + 1] = max(reach[start] + score for start, _, score in into[at + 1])
     return into, reach
 
 
-def search(part: str, pieces: Pieces, best: int) -> list[tuple[float, tuple[int, ...]]]:
-    """The N best segmentations of ``part``, best first, as (score, ids)."""
+def search(part: str, pieces: Pieces, best: int) -> list[tuple[float, bytes]]:
+    """The N best segmentations of ``part``, best first, as (score, packed ids)."""
     into, reach = lattice(part, pieces)
     at = len(part)
-    found: list[tuple[float, tuple[int, ...]]] = []
+    found: list[tuple[float, bytes]] = []
     # Open paths by cost, best first. Each ends in a whole path of exactly its cost, all of them different:
     # beyond as many as are still wanted, an open path can be let go.
     paths: list[tuple] = [(-reach[at], 0, at, 0.0, ())]
@@ -140,11 +141,11 @@ def search(part: str, pieces: Pieces, best: int) -> list[tuple[float, tuple[int,
     while paths:
         _, _, at, score, tail = paths.pop(0)
         if at == 0:
-            ids: list[int] = []
+            ids: list[bytes] = []
             while tail:
-                ids.extend(tail[0])
+                ids.append(tail[0])
                 tail = tail[1]
-            found.append((score, tuple(ids)))
+            found.append((score, b"".join(ids)))
             if len(found) == best:
                 break
             continue
@@ -179,14 +180,13 @@ def combined(lists: list[list[tuple]], best: int) -> list[tuple[float, tuple[int
     return found
 
 
-def n_best_of_part(part: str, pieces: Pieces, best: int) -> tuple:
-    """(cost of the second best, packed ids of the best, its score, all of the N best) of a part; remembers it."""
+def best_of_part(part: str, pieces: Pieces, best: int) -> tuple[float, bytes, float]:
+    """(cost of the second best, packed ids of the best, its score) of a part; remembers it."""
     entry = pieces.old.get(part)
     if entry is None:
-        found = search(part, pieces, best)
-        packed = tuple((score, array("i", ids).tobytes()) for score, ids in found)
+        found = search(part, pieces, min(best, 2))
         cost = found[0][0] - found[1][0] if len(found) > 1 else NEVER
-        entry = (cost, packed[0][1], packed[0][0], packed)
+        entry = (cost, found[0][1], found[0][0])
     if len(pieces.young) >= REMEMBERED:
         pieces.old, pieces.young = pieces.young, {}
     pieces.young[part] = entry
@@ -201,7 +201,8 @@ def encode(text: str, pieces: Pieces, best: int = BEST) -> list[tuple[float, byt
     plain = text.isascii() and "\r" not in text and pieces.plain
     cuts = _PARTS if plain or not any(map(normal.__contains__, pieces.crossing)) else _WORDS
     get = pieces.young.get
-    parts = [get(p) or n_best_of_part(p, pieces, best) for p in cuts.findall(normal)]
+    texts = cuts.findall(normal)
+    parts = [get(p) or best_of_part(p, pieces, best) for p in texts]
     packed = [p[1] for p in parts]
     score = sum([p[2] for p in parts])
     found = [(score, b"".join(packed))]
@@ -210,13 +211,12 @@ def encode(text: str, pieces: Pieces, best: int = BEST) -> list[tuple[float, byt
     costs = np.array([p[0] for p in parts])
     near = _smallest(costs, best - 1) if len(costs) >= best else np.arange(len(costs))
     open_parts = sorted(int(i) for i in near if costs[i] < NEVER)
-    base = sum(parts[i][2] for i in open_parts)
-    for total, at in combined([parts[i][3] for i in open_parts], best)[1:]:
-        for i, k in zip(open_parts, at):
-            packed[i] = parts[i][3][k][1]
+    choices = [search(texts[i], pieces, best) for i in open_parts]
+    base = sum(c[0][0] for c in choices)
+    for total, at in combined(choices, best)[1:]:
+        for i, entries, k in zip(open_parts, choices, at):
+            packed[i] = entries[k][1]
         found.append((score + (total - base), b"".join(packed)))
-        for i in open_parts:
-            packed[i] = parts[i][1]
     return found
 
 
