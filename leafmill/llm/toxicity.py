@@ -8,6 +8,7 @@ entries and is broadcast.
 
 import math
 import re
+import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,7 @@ SECOND = frozenset("you your yours yourself u ur du dich dir dein deine deinen d
 #: Characters that stand for letters in words written to get past filters.
 LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "*": None, ".": None, "_": None, "-": None})
 NEAR = 6
+REMEMBERED = 300_000
 FEATURES = [
     "word_density", "word_hits", "word_weight", "stem_density", "stem_hits", "stem_weight", "second_person",
     "second_near", "capitals", "shouted", "punctuation", "exclaimed", "obfuscated", "length",
@@ -37,7 +39,6 @@ FEATURES = [
 
 _EDGE = ".,;:!?\"'()[]{}<>|#*$%&«»„“”-"
 _OBFUSCATED = re.compile(r"[a-z][0-9@$!*_.-]+[a-z]")
-_MARK = re.compile(r"[^\w\s]")
 _CAPITAL = re.compile(r"[A-ZÀ-ÖØ-Þ]")
 _SHOUT = re.compile(r"\b[A-ZÀ-ÖØ-Þ]{3,}\b")
 
@@ -89,66 +90,75 @@ def learn_lexicon(labelled: DataFrame, entries: int = ENTRIES) -> dict[str, floa
     return {r["entry"]: r["weight"] for r in best}
 
 
-def dense(text: str, words_of: dict[str, float], stems_of: dict[int, dict[str, float]]) -> tuple:
-    words = plain_words(text)
-    n = len(words)
+class Weighed(dict):
+    """What a word as written says: (weight of the word, weight of its beginning, second person, obfuscated).
+
+    Worked out once per word and worker; emptied when ``REMEMBERED`` words are held.
+    """
+
+    def __init__(self, lexicon: dict[str, float]):
+        super().__init__()
+        self.words = {e: w for e, w in lexicon.items() if not e.endswith("-")}
+        self.stems = {e[:-1]: w for e, w in lexicon.items() if e.endswith("-")}
+
+    def __missing__(self, raw: str) -> tuple[float, float, bool, bool] | None:
+        word = raw.strip(_EDGE)
+        obfuscated = _OBFUSCATED.search(raw) is not None
+        weight = self.words.get(word, 0.0)
+        if obfuscated and not weight:
+            weight = self.words.get(word.translate(LEET), 0.0)
+        stem = max([self.stems.get(word[:n], 0.0) for n in STEMS if len(word) >= n], default=0.0)
+        entry = (weight, stem, word in SECOND, obfuscated)
+        entry = entry if any(entry) else None
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[raw] = entry
+        return entry
+
+
+def dense(text: str, weighed: Weighed) -> tuple:
+    """The features of a text, in the order of ``FEATURES``; all 0 without words."""
+    words = text.lower().split()
+    n, size = len(words), len(text)
     if not n:
         return (0.0,) * len(FEATURES)
-    distinct = set(words)
-    hits = {w: words_of[w] for w in distinct & words_of.keys()}
-    stems: dict[str, float] = {}
-    for size, known in stems_of.items():
-        if not known.keys().isdisjoint({w[:size] for w in distinct}):
-            for w in distinct:
-                weight = known.get(w[:size]) if len(w) >= size else None
-                if weight is not None and weight > stems.get(w, 0.0):
-                    stems[w] = weight
-    obfuscated = 0
-    if _OBFUSCATED.search(text.lower()):
-        for w in distinct:
-            if _OBFUSCATED.search(w):
-                obfuscated += 1
-                clear = w.translate(LEET)
-                if clear in words_of:
-                    hits[w] = words_of[clear]
-    n_hits = sum(map(words.count, hits)) if hits else 0
-    n_stems = sum(map(words.count, stems)) if stems else 0
-    second = distinct & SECOND
+    told = [(i, e) for i, e in enumerate(map(weighed.__getitem__, words)) if e is not None]
+    hits = [e[0] for _, e in told if e[0]]
+    stems = [e[1] for _, e in told if e[1]]
+    second = [i for i, e in told if e[2]]
     near = 0
-    if second and (hits or stems):
-        at = [i for i, w in enumerate(words) if w in second]
-        struck = [i for i, w in enumerate(words) if w in hits or w in stems]
-        places = np.asarray(at)
-        near = sum(1 for i in struck if np.abs(places - i).min() <= NEAR)
-    size = len(text)
+    if second:
+        struck = np.array([i for i, e in told if e[0] or e[1]])
+        at = np.searchsorted(second, struck) if len(struck) else struck
+        edges = np.array([-NEAR - n, *second, 2 * n + NEAR])
+        near = int((np.minimum(struck - edges[at], edges[at + 1] - struck) <= NEAR).sum()) if len(struck) else 0
     return (
-        n_hits / n,
-        math.log1p(n_hits),
-        max(hits.values(), default=0.0),
-        n_stems / n,
-        math.log1p(n_stems),
-        max(stems.values(), default=0.0),
-        sum(map(words.count, second)) / n if second else 0.0,
+        len(hits) / n,
+        math.log1p(len(hits)),
+        max(hits, default=0.0),
+        len(stems) / n,
+        math.log1p(len(stems)),
+        max(stems, default=0.0),
+        len(second) / n,
         math.log1p(near),
         len(_CAPITAL.findall(text)) / size,
         len(_SHOUT.findall(text)) / n,
-        len(_MARK.findall(text)) / size,
+        sum(map(text.count, string.punctuation)) / size,
         (text.count("!") + text.count("?")) / n,
-        obfuscated / n,
+        sum(e[3] for _, e in told) / n,
         math.log1p(n),
     )
 
 
 def with_features(docs: DataFrame, lexicon: dict[str, float]) -> DataFrame:
     """``docs`` (with a column ``text``) and its features; no row is moved."""
-    words_of = {e: w for e, w in lexicon.items() if not e.endswith("-")}
-    stems_of = {n: {e[:-1]: w for e, w in lexicon.items() if e.endswith("-") and len(e) == n + 1} for n in STEMS}
-    stems_of = {n: known for n, known in stems_of.items() if known}
+    # Sent to the tasks with its lexicon; each worker fills its own.
+    weighed = Weighed(lexicon)
 
     @F.pandas_udf(", ".join(f"{f} double" for f in FEATURES))
     def features(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            yield pd.DataFrame([dense(t or "", words_of, stems_of) for t in texts], columns=FEATURES)
+            yield pd.DataFrame([dense(t or "", weighed) for t in texts], columns=FEATURES)
 
     return docs.withColumn("f", features("text")).drop("text").select("*", "f.*").drop("f")
 
