@@ -26,8 +26,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as many times as their rates say: none, once, or more."""
-    return remixed(docs, read_table(spark, sf_dir, "labels"))
+    """Documents as many times as their rates say: none, once, or more. Poor and toxic ones are never raised."""
+    return remixed(docs, read_table(spark, sf_dir, "labels"), rest="good")
 
 
 def segment(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
