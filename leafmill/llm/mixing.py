@@ -143,11 +143,13 @@ def solved(table: DataFrame, targets: dict[str, float], steps: int = STEPS) -> D
 
 
 def mixed(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: dict[str, float] = TARGETS, size: float = 1.0
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: dict[str, float] = TARGETS, size: float = 1.0,
+    rest: str | None = None,
 ) -> DataFrame:
     """Columns id, row, tokens, p_good, p_poor, p_toxic, rate, copies: one row per row of ``docs``.
 
-    ``targets``: shares of ``size`` times the tokens of ``docs``. ``copies`` is the rate rounded up or down by
+    ``targets``: shares of ``size`` times the tokens of ``docs``. With ``rest``, the shares of the other
+    domains are upper bounds: none is raised above what it has now, and ``rest`` gets what is left. ``copies`` is the rate rounded up or down by
     a hash of the id, so that copies add up to rates: 0 drops a document, 2 doubles it. Ids may be null or
     repeated. Texts without words have rates like any other. Without labels all domains are equally likely.
     An empty table gives an empty result. ``row`` is the position of a row in ``docs``, a table as read.
@@ -156,6 +158,10 @@ def mixed(
     soft = posteriors(table, fitted(table, labels)).select("id", "row", "tokens", *[F.col("p")[d].alias(f"p{d}") for d in range(len(DOMAINS))])
     soft = staged(soft, "posteriors")
     tokens = soft.agg(F.sum("tokens")).first()[0] or 0
+    if rest is not None and tokens:
+        now = soft.agg(*[F.sum(F.col("tokens") * F.col(f"p{d}")) for d in range(len(DOMAINS))]).first()
+        targets = {d: min(targets[d], now[i] / tokens) for i, d in enumerate(DOMAINS) if d != rest}
+        targets[rest] = 1 - sum(targets.values())
     goal = {d: targets[d] * size * tokens for d in DOMAINS}
     u = F.pmod(F.xxhash64(F.lit("mix"), "id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     rated = solved(soft, goal).withColumn("rate", F.round("rate", 6))
