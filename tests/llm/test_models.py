@@ -1,5 +1,6 @@
 """Quality bands, toxicity, mixing, segmentation and the pipeline."""
 
+import base64
 import random
 
 import numpy as np
@@ -61,6 +62,16 @@ def test_bands(spark):
     assert quality.compression_bands(table(spark, [])).count() == 0
 
 
+def test_noisy_part_of_a_long_text():
+    rng = random.Random(12)
+    words = [prose(rng, 1) for _ in range(600)]
+    clean = " ".join(rng.choice(words) for _ in range(4000))
+    for size in (5_000, 8_192):
+        noise = base64.b64encode(rng.randbytes(size)).decode()[:size]
+        texts = pd.Series([clean[: 2 * size], clean[:size] + noise, noise + clean[:size], clean[: size - 900] + noise[:1_900]])
+        assert quality.judged(texts).kept.tolist() == [True, False, False, False]
+
+
 def auc(scores, labels):
     rank = pd.Series(scores).rank().to_numpy()
     yes = np.asarray(labels) == 1
