@@ -1,8 +1,9 @@
 """Secrets: base patterns, and tokens that pass a battery of randomness tests.
 
-Every token of ``LEAST`` or more characters of ``[A-Za-z0-9+/_=-]`` with a digit and a letter is read in the
-smallest encoding that its characters allow (hexadecimal, base 32, lower-case letters and digits, base 62,
-base 64). Three tests ask whether it could be uniform random text of that encoding: chi-squared over the
+Every token of ``LEAST`` or more characters of ``[A-Za-z0-9+/_-]``, padding included, is read in the smallest
+encoding that its characters allow (hexadecimal, base 32, lower-case letters and digits, base 62, base 64). An
+``=`` with more behind it ends a token, so that NAME=VALUE is two. What no encoding holds is cut at ``/``, and a
+part that still has both ``+`` and one of ``-_`` at ``+``. Three tests ask whether it could be uniform random text of that encoding: chi-squared over the
 alphabet, runs above and below the middle of the alphabet, and serial correlation of neighbours. The
 smallest p, times three, is the token's p.
 
@@ -26,11 +27,19 @@ BINS = 20
 
 _ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?+\x20*+[:=]\x20*+["']?+[A-Za-z0-9+/_.=-]++"""
 _ASSIGN_VALUE = r"""(?i:password|passwd|secret|token|api_?key)["']?+\x20*+[:=]\x20*+["']?+([A-Za-z0-9+/_.=-]++)"""
+#: A run of token characters in one alphabet; else a part between slashes; else one between plus signs. Then
+#: padding at the end, which is up to two of ``LEAST`` characters in base 64.
+_RANDOM = (
+    rf"(?:(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/]{{{LEAST - 2},}}+(?![_-])"
+    rf"|(?<![A-Za-z0-9+_-])[A-Za-z0-9+]{{{LEAST - 2},}}+(?![_-])"
+    rf"|(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{{{LEAST - 2},}}+)"
+    r"(?:=++(?![A-Za-z0-9+/_-]))?+"
+)
 PATTERNS = {
     "assign": _ASSIGN,
     "access": r"AKIA[A-Z0-9]{16,}+",
     "hex": r"(?<![0-9a-f])[0-9a-f]{24,}+",
-    "random": rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{LEAST},}}+",
+    "random": _RANDOM,
 }
 
 #: Alphabets by encoding, smallest first; padding is cut off before.
@@ -169,8 +178,7 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind, value = F.col("kind"), F.col("value")
     strong = (kind != "assign") | (F.length(F.regexp_extract(value, _ASSIGN_VALUE, 1)) >= 6)
     base = spans.where(kind.isin(BASE) & strong).select("row", "kind", "start", "end", "value", F.lit(True).alias("base"), F.lit(1.0).alias("p"))
-    mixed = value.rlike("[0-9]") & value.rlike("[A-Za-z]")
-    tested = staged(battery(spans.where((kind == "random") & mixed)).withColumn("stratum", stratum()), "secret-tokens")
+    tested = staged(battery(spans.where((kind == "random") & (F.length(value) >= LEAST))).withColumn("stratum", stratum()), "secret-tokens")
     # At most encodings x lengths x bins counts.
     counts = tested.groupBy("stratum", F.floor(F.col("p") * BINS).cast("int").alias("bin")).agg(F.count("*").alias("n")).collect()
     least = thresholds([tuple(r) for r in counts], rate)

@@ -108,6 +108,35 @@ def test_random_tokens_against_words(spark):
     assert sum(v not in true for v in found) <= 0.05 * len(found)
 
 
+def test_random_values_behind_names_and_paths(spark):
+    rng = random.Random(3)
+    base62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    draw = lambda alphabet: "".join(rng.choice(alphabet) for _ in range(40))
+    made = {
+        "session": ("SESSION_KEY={} and", base62), "sig": ("?id=7&sig={}&x=1", base62), "padded": ("AUTH={}== end", base62 + "+/"),
+        "path": ("/srv/a+b/{}", base62 + "-_"), "letters": ("é {}.", base62[10:]),
+    }
+    texts, true = [], {}
+    for k, (name, (form, alphabet)) in enumerate(made.items()):
+        for i in range(120):
+            value = draw(alphabet)
+            while name == "path" and not set(value) & set("-_"):  # else all of it is base 64
+                value = draw(alphabet)
+            at = form.index("{}")
+            texts.append((1000 * k + i, form.format(value)))
+            true[1000 * k + i] = (value, at)
+    docs = table(spark, texts)
+    found, spans = secrets.secret_spans(docs)
+    at = {r["row"]: r["id"] for r in found.collect()}
+    hit = set()
+    for r in spans.where("kind = 'random'").collect():
+        value, start = true[at[r["row"]]]
+        if r["start"] == start and r["value"].rstrip("=") == value:
+            hit.add(at[r["row"]])
+    for k, name in enumerate(made):
+        assert sum(i // 1000 == k for i in hit) >= 0.8 * 120, name
+
+
 def test_thresholds_by_stratum():
     even = [("long", b, 50) for b in range(20)] + [("long", 0, 900)]
     crowded = [("short", b, 30 - b) for b in range(20)] + [("short", 0, 50_000)]
