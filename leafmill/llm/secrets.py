@@ -8,8 +8,9 @@ alphabet, runs above and below the middle of the alphabet, and serial correlatio
 smallest p, times three, is the token's p.
 
 Random tokens spread their p evenly over (0, 1), words and paths crowd near 0. In each stratum of encoding
-and length the tokens with p over one half tell how many random ones there are; the threshold is the lowest
-p above which the others make up at most ``RATE`` of what is reported. Long tokens separate well and get a
+and length the different tokens with p over one half tell how many random ones there are; the threshold is the
+lowest p above which the others make up at most ``RATE`` of what is reported. Copies of a token count once for
+the threshold, which then holds for all of them. Long tokens separate well and get a
 low threshold; a stratum of short ones that does not separate reports few or none.
 """
 
@@ -166,6 +167,13 @@ def thresholds(counts: list[tuple[str, int, int]], rate: float = RATE, bins: int
     return chosen
 
 
+def distinct_counts(tested: DataFrame, bins: int = BINS) -> DataFrame:
+    """(stratum, bin, n): different tokens by stratum and bin of p; equal values have equal p."""
+    token = F.sha2(F.regexp_replace("value", "=+$", ""), 256).alias("token")
+    once = tested.select("stratum", token, F.floor(F.col("p") * bins).cast("int").alias("bin")).distinct()
+    return once.groupBy("stratum", "bin").agg(F.count("*").alias("n"))
+
+
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = RATE) -> tuple[DataFrame, DataFrame]:
     """(documents, spans): rows (id, row) of all documents, and one row per secret.
 
@@ -180,7 +188,7 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     base = spans.where(kind.isin(BASE) & strong).select("row", "kind", "start", "end", "value", F.lit(True).alias("base"), F.lit(1.0).alias("p"))
     tested = staged(battery(spans.where((kind == "random") & (F.length(value) >= LEAST))).withColumn("stratum", stratum()), "secret-tokens")
     # At most encodings x lengths x bins counts.
-    counts = tested.groupBy("stratum", F.floor(F.col("p") * BINS).cast("int").alias("bin")).agg(F.count("*").alias("n")).collect()
+    counts = distinct_counts(tested).collect()
     least = thresholds([tuple(r) for r in counts], rate)
     limit = F.lit(None).cast("double")
     for name, p in least.items():

@@ -143,3 +143,15 @@ def test_thresholds_by_stratum():
     chosen = secrets.thresholds(even + crowded)
     assert 0 < chosen["long"] <= 0.1
     assert chosen.get("short", 1) >= 0.05
+
+
+def test_copies_of_a_token_do_not_move_the_threshold(spark):
+    rng = random.Random(8)
+    draw = lambda: "".join(rng.choice("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz") for _ in range(40))
+    hidden = spark.createDataFrame([(draw(),) for _ in range(300)], "value string")
+    tested = secrets.battery(hidden).withColumn("stratum", secrets.stratum()).collect()
+    middle = next(r["value"] for r in tested if 0.25 <= r["p"] < 0.45)
+    texts = [(i, f"see {r['value']} here") for i, r in enumerate(tested)] + [(1000 + i, f"build {middle} here") for i in range(600)]
+    _, spans = secrets.secret_spans(table(spark, texts))
+    found = {r["value"] for r in spans.where("kind = 'random'").collect()}
+    assert len(found) >= 0.9 * 300
