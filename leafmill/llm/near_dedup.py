@@ -7,10 +7,14 @@ one hash and keeps them in text order, so that two texts share it when they shar
 Texts that share a sketch and whose lengths allow the similarity form a bucket. A bucket is not paired out:
 its texts are compared with up to ``PIVOTS`` of them, those whose sketches are the most shared, so that the
 edited copies of one text meet the copies with the fewest edits. This is one comparison a text and pivot
-whatever the size of the bucket. Texts that match no pivot of their bucket are compared with each other by
-``BINS`` bytes per text (the smallest k-mer in each bin of one hash, an estimate of the Jaccard index) inside
-tasks, in blocks of bounded size; only pairs within four deviations of the similarity come out. Both kinds of
-pairs pass that estimate before they are aligned. Links that hold up are joined into classes.
+whatever the size of the bucket. These pairs pass an estimate of the Jaccard index first (``BINS`` bytes per
+text, the smallest k-mer in each bin of one hash; four deviations below the similarity are let through), then
+they are aligned. Links that hold up are joined into classes.
+
+Where the other texts of a bucket are still of several classes, each is compared with all those of another
+class inside tasks, in blocks of bounded size: common k-mers are counted, and pairs that have enough of them
+are aligned. A pair is looked at in one of the buckets that it shares. Links join classes at once, so that a
+block gives at most one link a class, and no two texts of a bucket are left apart that are similar.
 
 Similarity: common k-mers of the best alignment over all k-mers of both texts (the order-respecting Jaccard
 index of occurrence-labelled shingles). A match of ``s`` needs few insertions and deletions, which bounds how
@@ -35,8 +39,9 @@ SKETCHES = 16
 SIMILARITY = 0.8
 PIVOTS = 4
 BINS = 128
-#: Texts compared with each other in one go.
+#: Texts compared with each other in one go, and their words.
 BLOCK = 2048
+BLOCK_WORDS = 1 << 20
 _SALTS = np.random.Generator(np.random.PCG64(577)).integers(1, 1 << 63, size=256, dtype=np.uint64)
 
 
@@ -200,25 +205,54 @@ def groups_of(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.D
         yield pd.concat(held)
 
 
-def block_pairs(batches: Iterator[pd.DataFrame], least: float) -> Iterator[pd.DataFrame]:
-    """Plausible pairs of one block, or between two, from rows sorted by bucket and blocks."""
+def common_counts(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, mine: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """How many of the k-mers marked in ``mine`` each of the ``others`` has."""
+    if len(others) * 4 < len(starts):
+        return np.array([mine[ids[starts[o] : starts[o] + sizes[o]]].sum() for o in others], dtype=np.int64)
+    low, high = others[0], others[-1]
+    part = ids[starts[low] : starts[high] + sizes[high]]
+    return np.add.reduceat(mine[part].astype(np.int64), starts[low : high + 1] - starts[low])[others - low]
+
+
+def block_links(batches: Iterator[pd.DataFrame], least: float) -> Iterator[pd.DataFrame]:
+    """Pairs of classes (u, v) with similar texts in one block or two, from rows sorted by bucket and blocks."""
     for group in groups_of(batches, ["bucket", "low", "high"]):
-        rows, n, own = group["row"].to_numpy(), group["n"].to_numpy(), group["block"].to_numpy()
-        bins = np.frombuffer(b"".join(group["bins"]), dtype=np.uint8).reshape(-1, BINS)
+        n, own, size_classes = group["n"].to_numpy(), group["block"].to_numpy(), group["size_class"].to_numpy()
+        classes = group["class"].to_numpy()
+        label, texts = classes.copy(), group["text"].tolist()
+        sketch = np.stack(group["sketch"].to_numpy())
+        at, c = group["at"].iloc[0], group["c"].iloc[0]
         within = group["low"].iloc[0] == group["high"].iloc[0]
+        kmers = []
+        for text in texts:
+            data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)
+            kmers.append(labelled_kmers(kmers_of(word_hashes(data, np.array([0, len(data)]))[1])))
+        sizes = np.array([len(k) for k in kmers])
+        starts = np.cumsum(sizes) - sizes
+        known, ids = np.unique(np.concatenate(kmers), return_inverse=True)
+        mine = np.zeros(len(known), dtype=bool)
         us, vs = [], []
-        for k in range(len(rows) - 1):
-            others = np.arange(k + 1, len(rows))
-            fits = np.minimum(n[k], n[others]) >= least * np.maximum(n[k], n[others])
+        for k in range(len(texts) - 1):
+            others = np.arange(k + 1, len(texts))
+            fits = (label[others] != label[k]) & (np.minimum(n[k], n[others]) >= least * np.maximum(n[k], n[others]))
+            # A pair is looked at for its first common sketch, in the bucket of the larger size class.
+            fits &= np.maximum(size_classes[k], size_classes[others]) == c
             others = others[fits if within else fits & (own[others] != own[k])]
-            if len(others):
-                theirs = bins[others]
-                filled = ((theirs > 0) | (bins[k] > 0)).sum(axis=1)
-                others = others[((theirs == bins[k]) & (theirs > 0)).sum(axis=1) >= limits(filled, n[k] + n[others], least)]
-                us.append(np.minimum(rows[k], rows[others]))
-                vs.append(np.maximum(rows[k], rows[others]))
+            others = others[~(sketch[others, :at] == sketch[k, :at]).any(axis=1)]
+            if not len(others):
+                continue
+            my = ids[starts[k] : starts[k] + sizes[k]]
+            mine[my] = True
+            counts = common_counts(ids, starts, sizes, mine, others)
+            mine[my] = False
+            # Common k-mers in order are not more than common ones.
+            for o in others[counts >= np.ceil(least * (n[k] + n[others]) / (1 + least) - 1e-9)]:
+                if label[o] != label[k] and similar(texts[k] or "", texts[o] or "", least):
+                    us.append(classes[k])
+                    vs.append(classes[o])
+                    label[label == label[o]] = label[k]
         if us:
-            yield pd.DataFrame({"u": np.concatenate(us), "v": np.concatenate(vs)})
+            yield pd.DataFrame({"u": us, "v": vs})
 
 
 def verified(batches: Iterator[pd.DataFrame], least: float) -> Iterator[pd.DataFrame]:
@@ -233,18 +267,19 @@ def size_class(least: float):
 
 
 def bucket_members(texts: DataFrame, least: float) -> DataFrame:
-    """(bucket, row, n, shared) where two texts or more share a sketch and may be long enough for each other.
+    """(bucket, row, n, shared, at, c) where two texts or more share a sketch and may be long enough for each other.
 
-    ``shared``: how many texts have the sketches of a text, added up.
+    ``shared``: how many texts have the sketches of a text, added up. ``at`` and ``c``: which sketch, and the
+    size class of the bucket.
     """
-    keys = texts.where("n > 0").select("row", "n", F.explode("sketch").alias("key"))
+    keys = texts.where("n > 0").select("row", "n", F.posexplode("sketch").alias("at", "key"))
     counts = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     met = staged(keys.join(counts, "key"), "shared-sketches")
     shared = met.groupBy("row").agg(F.sum("c").alias("shared"))
     near = F.explode(F.array(size_class(least), size_class(least) + 1))
-    spread = met.join(shared, "row").select("row", "n", "shared", "key", near.alias("c"))
-    spread = spread.select(F.xxhash64("key", "c").alias("bucket"), "row", "n", "shared")
-    again = spread.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
+    spread = met.join(shared, "row").select("row", "n", "shared", "at", "key", near.alias("c"))
+    spread = spread.select(F.xxhash64("key", "c").alias("bucket"), "row", "n", "shared", "at", "c")
+    again = spread.groupBy("bucket").agg(F.count("*").alias("texts")).where("texts > 1").select("bucket")
     return spread.join(again, "bucket")
 
 
@@ -268,19 +303,33 @@ def pivot_pairs(members: DataFrame, least: float) -> DataFrame:
     )
 
 
-def near_pairs(rest: DataFrame, bins: DataFrame, least: float) -> DataFrame:
-    """Plausible pairs among the members of each bucket, compared inside tasks in blocks of ``BLOCK`` texts."""
-    counts = rest.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.count("*").alias("c")).where("c > 1")
-    sized = rest.join(counts.select("bucket", "blocks"), "bucket").join(bins, "row")
-    sized = sized.withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")))
-    # A block meets every block of its bucket once: (low, high) names the meeting.
-    meets = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
-    dealt = sized.select("bucket", "row", "n", "bins", "block", meets).select(
-        "bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "row", "n", "bins", "block"
+def class_links(rest: DataFrame, signatures: DataFrame, own: DataFrame, least: float) -> DataFrame:
+    """Pairs of classes (u, v) with similar texts in one bucket; ``rest`` has the columns of members and ``class``.
+
+    The texts of a bucket's largest class meet those of the others only, and these meet all.
+    """
+    by_class = rest.groupBy("bucket", "class").agg(F.count("*").alias("texts"), F.sum("n").alias("words"))
+    of = by_class.groupBy("bucket").agg(
+        F.max(F.struct("words", "texts", "class")).alias("largest"), F.sum("texts").alias("texts"), F.sum("words").alias("words"), F.count("*").alias("classes")
+    )
+    blocks = lambda texts, words: F.ceil(F.greatest(texts / BLOCK, words / BLOCK_WORDS))
+    of = of.where("classes > 1").select(
+        "bucket", F.col("largest.class").alias("largest"), blocks(F.col("largest.texts"), F.col("largest.words")).alias("first"),
+        blocks(F.col("texts") - F.col("largest.texts"), F.col("words") - F.col("largest.words")).alias("more"),
     )
+    sized = rest.join(of, "bucket").withColumn("outside", F.col("class") != F.col("largest"))
+    # Blocks of the largest class come first. A meeting of blocks is named (low, high).
+    dealt = F.when(F.col("outside"), F.col("first") + F.pmod(F.xxhash64("row"), F.col("more"))).otherwise(F.pmod(F.xxhash64("row"), F.col("first")))
+    meets = F.sequence(F.when(F.col("outside"), F.lit(0).cast("long")).otherwise(F.col("first")), F.col("first") + F.col("more") - 1)
+    met = sized.withColumn("block", dealt).withColumn("other", F.explode(meets)).select(
+        "bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "row", "n", "class", "at", "c",
+        size_class(least).alias("size_class"),
+    )
+    met = staged(met, "meetings")
+    full = met.join(signatures.select("row", "sketch"), "row").join(own, "row")
     n = partitions(rest.sparkSession)
-    ordered = dealt.repartition(n, "bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
-    return ordered.mapInPandas(lambda batches: block_pairs(batches, least), "u long, v long")
+    ordered = full.repartition(n, "bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
+    return ordered.mapInPandas(lambda batches: block_links(batches, least), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
@@ -321,18 +370,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = staged(pivot_pairs(members, least), "pairs")
     asked = staged(pairs.where("fits").select("u", "v").distinct(), "asked")
     found = links(staged(estimated(asked), "likely"))
-    matched = pairs.join(found, ["u", "v"]).select("bucket", "row")
-    settled = pairs.select("bucket", F.col("pivot").alias("row")).unionByName(matched).distinct()
-    rest = staged(members.join(settled, ["bucket", "row"], "left_anti").select("bucket", "row", "n"), "unmatched")
-    more = near_pairs(rest, bins.drop("n"), least).distinct().join(asked, ["u", "v"], "left_anti")
-    found = found.unionByName(links(staged(more, "likely")))
-    joined = components(found)
-    classes = staged(
-        copies.join(joined.select(F.col("node").alias("first"), "component"), "first", "left").select(
-            "row", "id", F.coalesce("component", "first").alias("class_row")
-        ),
-        "classes",
-    )
+    joined = components(found).withColumnsRenamed({"node": "row", "component": "class"})
+    # All but the hubs of a bucket, which have met everything in it.
+    rest = members.join(pairs.select("bucket", F.col("pivot").alias("row")).distinct(), ["bucket", "row"], "left_anti")
+    rest = staged(rest.join(joined, "row", "left").withColumn("class", F.coalesce("class", "row")), "others")
+    again = components(staged(class_links(rest, signatures, own, least), "links")).withColumnRenamed("node", "class")
+    classes = copies.join(joined.withColumnRenamed("row", "first"), "first", "left").withColumn("class", F.coalesce("class", "first"))
+    classes = staged(classes.join(again, "class", "left").select("row", "id", F.coalesce("component", "class").alias("class_row")), "classes")
     best = F.struct(F.col("id").isNull().alias("a"), F.col("id").alias("id"), F.col("row").alias("row"))
     heads = classes.groupBy("class_row").agg(F.min(best).alias("head"), F.count("*").alias("class_size"))
     return classes.join(heads, "class_row").select(

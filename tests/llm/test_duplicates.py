@@ -240,3 +240,38 @@ def test_star_group_costs_one_comparison_each(spark, new_folder):
     found = near_dedup.near_duplicates(written(spark, rows, new_folder))
     assert found.select("class_id").distinct().count() == 1
     assert found.where(F.col("kept")).count() == 1
+
+
+def replaced(rng, text, changes):
+    words = text.split()
+    for _ in range(changes):
+        words[rng.randrange(len(words))] = f"r{rng.randrange(100_000)}"
+    return " ".join(words)
+
+
+@pytest.mark.parametrize("chain", [True, False])
+def test_edits_of_edits(spark, new_folder, chain):
+    """A family in which few texts are similar to any one text."""
+    rng = random.Random(17)
+    texts = [prose(rng, 200, 5000)]
+    while len(texts) < 250:
+        texts.append(replaced(rng, texts[-1] if chain else rng.choice(texts), rng.choice([1, 2, 3, 5, 7])))
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    found = near_dedup.near_duplicates(written(spark, rows, new_folder)).collect()
+    expected = {k: min(members) for members in brute_classes(rows).values() for k in members}
+    assert {r["id"]: r["class_id"] for r in found} == expected
+
+
+def test_blocks_of_one_bucket(spark, new_folder, monkeypatch):
+    """Many small blocks, of the largest class and of others, find what one block finds."""
+    rng = random.Random(18)
+    texts = [prose(rng, 150, 5000)]
+    while len(texts) < 200:
+        texts.append(replaced(rng, rng.choice(texts), rng.choice([1, 2, 3, 4])))
+    rows = list(enumerate(texts))
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    monkeypatch.setattr(near_dedup, "PIVOTS", 1)
+    found = near_dedup.near_duplicates(written(spark, rows, new_folder)).collect()
+    expected = {k: min(members) for members in brute_classes(rows).values() for k in members}
+    assert {r["id"]: r["class_id"] for r in found} == expected
