@@ -175,11 +175,11 @@ WITH RECURSIVE steps AS (
          CASE WHEN most >= 2 * words.n THEN first.other END AS form, CASE WHEN most >= 2 * words.n THEN most END AS form_n
   FROM words LEFT JOIN best ON words.word = best.word LEFT JOIN first ON words.word = first.word
 ), way AS (
-  SELECT word, word AS at, 0 AS i FROM formed
+  SELECT word, word AS last, 0 AS i FROM formed
   UNION ALL
-  SELECT way.word, formed.form, i + 1 FROM way JOIN formed ON way.at = formed.word WHERE formed.form IS NOT NULL
+  SELECT way.word, formed.form, i + 1 FROM way JOIN formed ON way.last = formed.word WHERE formed.form IS NOT NULL
 ), ends AS (
-  SELECT word, arg_max(at, i) AS root FROM way GROUP BY word
+  SELECT word, arg_max(last, i) AS root FROM way GROUP BY word
 )
 SELECT formed.word, form, root, n, n_near, form_n FROM formed JOIN ends ON formed.word = ends.word
 """
