@@ -201,6 +201,18 @@ def span_sql() -> str:
     return "SELECT event_type, user_id, max(value) - min(value) AS span, count(value) AS n_values FROM events GROUP BY 1, 2"
 
 
+MIXED = f"""
+        WITH e AS (
+            SELECT CASE WHEN event_id % 2 = 0 THEN '01' ELSE '1' END AS source, hierarchy_1, hierarchy_2, position,
+                   CASE WHEN event_id % 10 <> 3 THEN value END AS value, event_id % 100 = 7 AS too_long
+            FROM (SELECT *, position::BIGINT AS event_id FROM {EVENT_LEAVES})
+        ), s AS ({leaf_sql('(SELECT * FROM e WHERE NOT too_long)', ['source', 'hierarchy_1', 'hierarchy_2'], ['position', 'value'])}
+        ), r AS (
+            SELECT source, hierarchy_1, hierarchy_2, sum((value IS NULL)::INTEGER + too_long::INTEGER)::BIGINT AS n_rejects
+            FROM e WHERE value IS NULL OR too_long GROUP BY ALL
+        )
+        SELECT * FROM s FULL OUTER JOIN r USING (source, hierarchy_1, hierarchy_2)"""
+
 POSITIVE = "(1e0 / (1e0 + exp(-(l_quantity - 25e0) / 10e0 - l_discount)))"
 ASKED = ", ".join(f"('{s}')" for s in ASKED_SOURCES)
 
@@ -209,6 +221,7 @@ ORACLES = {
     "leaf_statistics_all_numeric": leaf_sql("lineitem", LEAF_KEYS, ["l_orderkey", "l_partkey", "l_linenumber", *LEAF_MEASURES]),
     "hierarchy_rollup": rollup(),
     "correlation_matrix": correlations(),
+    "correlation_matrix_wide": correlations(),
     "leaf_without_measures": "SELECT lang, source, "
     + ", ".join(f"NULL::DOUBLE AS {n}" for n in SUMMARY_DIGITS)
     + " FROM documents GROUP BY lang, source",
@@ -221,23 +234,22 @@ ORACLES = {
     "artifact_semi_join": """
         SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)""",
     "leaf_csv_scan": leaf_sql(EVENT_LEAVES, ["source", "hierarchy_1", "hierarchy_2"], ["position", "value"]),
-    "leaf_csv_mixed": f"""
-        WITH e AS (
-            SELECT CASE WHEN event_id % 2 = 0 THEN '01' ELSE '1' END AS source, hierarchy_1, hierarchy_2, position,
-                   CASE WHEN event_id % 10 <> 3 THEN value END AS value, event_id % 100 = 7 AS too_long
-            FROM (SELECT *, position::BIGINT AS event_id FROM {EVENT_LEAVES})
-        ), s AS ({leaf_sql('(SELECT * FROM e WHERE NOT too_long)', ['source', 'hierarchy_1', 'hierarchy_2'], ['position', 'value'])}
-        ), r AS (
-            SELECT source, hierarchy_1, hierarchy_2, sum((value IS NULL)::INTEGER + too_long::INTEGER)::BIGINT AS n_rejects
-            FROM e WHERE value IS NULL OR too_long GROUP BY ALL
-        )
-        SELECT * FROM s FULL OUTER JOIN r USING (source, hierarchy_1, hierarchy_2)""",
+    "leaf_csv_mixed": MIXED,
+    "incremental_mixed": MIXED,
     "typed_cells": f"""
         SELECT event_type, count(reading) AS n_readings, count(*) FILTER (WHERE event_type = 'error') AS n_rejects,
                {rounded('coalesce(sum(reading), 0)', 3)} AS total
         FROM (SELECT event_type, CASE WHEN event_type NOT IN ('error', 'signup') THEN value END AS reading FROM events)
         GROUP BY event_type""",
     "artifact_roundtrip": leaf_sql(EVENT_LEAVES, ["source", "hierarchy_1", "hierarchy_2"], ["position", "value"]),
+    "json_artifacts": leaf_sql(EVENT_LEAVES, ["source", "hierarchy_1", "hierarchy_2"], ["position", "value"]),
+    "label_files": """
+        SELECT lang, source, lpad(doc_id::VARCHAR, 12, '0') AS doc_id, quality, toxic / 4e0 AS share
+        FROM documents JOIN labels USING (doc_id)""",
+    "feature_files": """
+        SELECT 'A' AS source, (user_id % 7)::VARCHAR AS hierarchy_1, event_type AS hierarchy_2,
+               CASE WHEN user_id % 7 % 2 = 0 THEN count(*) END::DOUBLE AS shape_n, max(event_id)::DOUBLE AS shape_last
+        FROM events GROUP BY user_id % 7, event_type""",
     "feature_roundtrip": f"SELECT {DOC_KEYS}, n_chars AS length_chars, length(source)::INTEGER AS shape_source FROM documents",
     "split_csv_roundtrip": "SELECT c_custkey::VARCHAR AS c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer",
     "merge_feature_types": f"WITH {TYPES} SELECT * FROM c FULL OUTER JOIN o USING (custkey)",
@@ -303,6 +315,11 @@ ORACLES = {
                {rounded('avg(precision)', 9)} AS precision_macro, {rounded('avg(recall)', 9)} AS recall_macro,
                {rounded('avg(f1)', 9)} AS f1_macro FROM report""",
     "metric_by_name": metric_rows(),
+    "roc_auc_by_group": f"""
+        WITH r AS (SELECT lang, quality, n_chars // 50 AS score FROM documents JOIN labels USING (doc_id) WHERE quality IN (0, 1)),
+        k AS (SELECT lang, quality, rank() OVER (PARTITION BY lang ORDER BY score) + (count(*) OVER (PARTITION BY lang, score) - 1) / 2e0 AS place FROM r),
+        t AS (SELECT lang, sum(place) FILTER (WHERE quality = 1) AS places, sum(quality)::DOUBLE AS p, sum(1 - quality)::DOUBLE AS n FROM k GROUP BY lang)
+        SELECT lang, {rounded('(places - p * (p + 1) / 2e0) / nullif(p * n, 0)', 9)} AS roc_auc FROM t""",
     "threshold_search": f"WITH RECURSIVE {TRIALS} SELECT * FROM trials",
     "best_trial": f"WITH RECURSIVE {TRIALS} SELECT * FROM trials ORDER BY value DESC, number LIMIT 1",
     "normal_features": f"""
@@ -319,6 +336,12 @@ ORACLES = {
                {normal_columns(LEAF_KEYS, 3, 'feature_engineer_random_feature_')}
         FROM ({leaf_sql('lineitem', LEAF_KEYS, LEAF_MEASURES)})""",
     "custom_leaf_stage": span_sql(),
+    "whole_leaf_stream": f"""
+        WITH t AS (
+            SELECT event_type, value, row_number() OVER w - 1 AS i, max(value) OVER w - value AS down
+            FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))
+        SELECT event_type, {rounded('max(down)', 6)} AS fall, arg_max(i, (down, -i)) AS rows_before, count(*) AS n_rows
+        FROM t GROUP BY event_type""",
     "custom_model": f"""
         SELECT l_orderkey, l_linenumber, l_partkey, ({POSITIVE} > 1e0 - {POSITIVE})::INTEGER AS prediction,
                {rounded('1e0 - ' + POSITIVE, 9)} AS probability_class_0, {rounded(POSITIVE, 9)} AS probability_class_1

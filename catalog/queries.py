@@ -1,6 +1,7 @@
 """The registered queries: each runs operators of the package over the whole given tables."""
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -11,7 +12,7 @@ from leafmill.plans import arrangement, inference, preprocess, study
 from leafmill.session import scratch_path, staged
 from leafmill.sinks import writers
 from leafmill.sources import leaves, synthetic, tables
-from leafmill.sources.paths import subfolders
+from leafmill.sources.paths import named_by_folder, subfolders, with_text_partitions
 from leafmill.streaming import incremental
 
 LEAF_KEYS = ["l_returnflag", "l_linestatus", "l_suppkey"]
@@ -72,6 +73,12 @@ def correlation_matrix(spark, folder):
     return matrix.withColumn("correlation", rounded(F.col("correlation"), 8))
 
 
+def correlation_matrix_wide(spark, folder):
+    """The same on the path for very many measures."""
+    matrix = statistics.correlation_matrix(table(spark, folder, "lineitem"), LEAF_KEYS[:2], LEAF_MEASURES, wide_over=1)
+    return matrix.withColumn("correlation", rounded(F.col("correlation"), 8))
+
+
 def leaf_without_measures(spark, folder):
     """A table without numeric columns: every leaf is kept, its summary is null."""
     pages = table(spark, folder, "documents").select("lang", "source", "text")
@@ -138,10 +145,16 @@ def leaf_csv_scan(spark, folder):
     return flat_summary(statistics.leaf_statistics(leaves.accepted(cells), keys), *keys)
 
 
-def leaf_csv_mixed(spark, folder):
+MIXED_KEYS = ["source", "hierarchy_1", "hierarchy_2"]
+MIXED_SCHEMA = "position double, value double"
+# Lines of a file of ``_mixed_files``, about.
+FILE_LINES = 1500
+
+
+def _mixed_files(spark, folder) -> str:
     """Leaf files of two column orders, one with an extra column, bad cells and too long rows; sources ``01`` and ``1``.
 
-    Statistics of the good cells, and how many cells and rows of a leaf were rejected.
+    Written as text, so that a row can have more cells than its header. A leaf has as many files as its lines ask for.
     """
     root = scratch_path(spark, "mixed-files")
     rows = event_leaves(spark, folder).select(
@@ -150,21 +163,78 @@ def leaf_csv_mixed(spark, folder):
         F.when(F.col("position") % 100 == 7, F.concat(F.col("position").cast("string"), F.lit(",999")))
         .otherwise(F.col("position").cast("string")).alias("position"),
     )
-    keys = ["source", "hierarchy_1", "hierarchy_2"]
+    pieces = rows.groupBy(*MIXED_KEYS).agg(F.ceil(F.count("*") / FILE_LINES).alias("pieces"))
     orders = {"01": ["value", "position"], "1": ["note", "value", "position"]}
     for source, columns in orders.items():
-        # Written as text, so that a row can have more cells than its header.
         header = F.lit(",".join(columns))
-        lines = rows.where(F.col("source") == source).withColumn("note", F.lit('"a, b"'))
-        grouped = lines.select("hierarchy_1", "hierarchy_2", F.concat_ws(",", *columns).alias("line"))
-        files = grouped.groupBy("hierarchy_1", "hierarchy_2", F.pmod(F.xxhash64("line"), F.lit(16)).alias("piece")).agg(F.collect_list("line").alias("lines"))
-        text = files.select("hierarchy_1", "hierarchy_2", F.concat_ws("\n", header, "lines").alias("value"))
-        text.repartition("hierarchy_1", "hierarchy_2").write.option("maxRecordsPerFile", 1).partitionBy("hierarchy_1", "hierarchy_2").text(f"{root}/{source}")
-    schema = T.StructType.fromDDL("position double, value double")
-    cells = staged(leaves.read_leaves(spark, root, schema, file_name="*.txt"), "mixed")
-    found = flat_summary(statistics.leaf_statistics(leaves.accepted(cells), keys), *keys)
-    rejected = leaves.rejects(cells).groupBy(*keys).agg(F.sum(F.size(leaves.BAD_CELLS)).alias("n_rejects"))
-    return arrange.merge_feature_types([found, rejected], keys)
+        lines = rows.where(F.col("source") == source).withColumn("note", F.lit('"a, b"')).join(pieces, MIXED_KEYS)
+        line = F.concat_ws(",", *columns)
+        placed = lines.select(*MIXED_KEYS[1:], line.alias("line"), F.pmod(F.xxhash64(line), F.col("pieces")).alias("piece"))
+        files = placed.groupBy(*MIXED_KEYS[1:], "piece").agg(F.collect_list("line").alias("lines"))
+        text = files.select(*MIXED_KEYS[1:], F.concat_ws("\n", header, "lines").alias("value"))
+        text.repartition(*MIXED_KEYS[1:]).write.option("maxRecordsPerFile", 1).partitionBy(*MIXED_KEYS[1:]).text(f"{root}/{source}")
+    return root
+
+
+def _mixed_result(statistics_table: DataFrame, rejected_rows: DataFrame) -> DataFrame:
+    """Statistics of the good cells, and how many cells and rows of a leaf were rejected."""
+    rejected = rejected_rows.groupBy(*MIXED_KEYS).agg(F.sum(F.size(leaves.BAD_CELLS)).alias("n_rejects"))
+    return arrange.merge_feature_types([flat_summary(statistics_table, *MIXED_KEYS), rejected], MIXED_KEYS)
+
+
+def leaf_csv_mixed(spark, folder):
+    """Leaf files whose headers differ, read in one scan."""
+    schema = T.StructType.fromDDL(MIXED_SCHEMA)
+    cells = staged(leaves.read_leaves(spark, _mixed_files(spark, folder), schema, file_name="*.txt"), "mixed")
+    return _mixed_result(statistics.leaf_statistics(leaves.accepted(cells), MIXED_KEYS), leaves.rejects(cells))
+
+
+def incremental_mixed(spark, folder):
+    """The same files as they arrive, some twenty at a time: each by its own header, rejects listed, moments merged and compacted."""
+    root, output, checkpoint = _mixed_files(spark, folder), scratch_path(spark, "mixed-out"), scratch_path(spark, "mixed-state")
+    schema = T.StructType.fromDDL(MIXED_SCHEMA)
+    n_files = len(spark.read.text(f"{root}/*/*/*/*.txt").inputFiles())
+    incremental.preprocess_files(
+        spark, root, schema, output, checkpoint, MIXED_KEYS, "*.txt", n_features=2, seed=SEED, mode=incremental.MERGE,
+        compact_every=2, max_files=max(20, n_files // 4),
+    )
+    found = incremental.merged(spark, output, MIXED_KEYS, schema.names)
+    return _mixed_result(found, with_text_partitions(spark, f"{output}/rejects").drop(incremental.BATCH))
+
+
+def json_artifacts(spark, folder):
+    """Statistics kept as one JSON document per leaf, and read back."""
+    path = scratch_path(spark, "json")
+    found = statistics.leaf_statistics(event_leaves(spark, folder), MIXED_KEYS)
+    found.repartition(8, *MIXED_KEYS).write.option("maxRecordsPerFile", 1).json(path)
+    return flat_summary(tables.read_json_artifacts(spark, f"{path}/*.json", MIXED_KEYS), *MIXED_KEYS)
+
+
+def label_files(spark, folder):
+    """A label table as CSV with zero-padded keys that stay text, and label columns whose types are inferred."""
+    path = scratch_path(spark, "labels")
+    docs = table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id")
+    padded = docs.select("lang", "source", F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("doc_id"), "quality", (F.col("toxic") / 4).alias("share"))
+    padded.write.option("header", True).csv(path)
+    return tables.read_labels(spark, path, keys=DOC_KEYS)
+
+
+def feature_files(spark, folder):
+    """Feature files ``{level_1}_{level_2}_shape.csv`` with an index column, one per leaf: first rows by file name, absent columns null."""
+    path = scratch_path(spark, "feature-files")
+    users = table(spark, folder, "events").groupBy((F.col("user_id") % 7).cast("string").alias("a"), F.col("event_type").alias("b"))
+    rows = users.agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
+    named = F.concat_ws("_", "a", "b", F.lit("shape.csv"))
+    for half, columns in ((0, ["n", "last"]), (1, ["last"])):
+        # Two rows a file: only the first one counts.
+        part = rows.where(F.col("a").cast("int") % 2 == half).withColumn("i", F.explode(F.array(F.lit(0), F.lit(1))))
+        cells = [F.when(F.col("i") == 0, F.col(c)).otherwise(-1).alias(c) for c in columns]
+        written = f"{path}/{half}"
+        part.select(named.alias("name"), F.col("i").alias("0"), *cells).repartition("name").sortWithinPartitions("name", "0").write.partitionBy("name").option(
+            "header", True
+        ).csv(written)
+        named_by_folder(spark, written, "name=", f"{path}/A/shape")
+    return tables.read_feature_files(spark, f"{path}/A/shape", "A", "shape")
 
 
 def typed_cells(spark, folder):
@@ -375,8 +445,9 @@ def positional_join(spark, folder):
     scans = []
     for n, (name, columns) in enumerate(parts.items()):
         path = scratch_path(spark, name)
+        # Part files are in the order of the sort; both sides are cut differently.
         ordered = customers.select(*columns, "c_custkey" if n else F.lit(None).alias("unused"))
-        ordered.coalesce(1).write.option("maxRecordsPerFile", 700 + 613 * n).parquet(path)
+        ordered.write.option("maxRecordsPerFile", 700 + 613 * n).parquet(path)
         scans.append(spark.read.parquet(path).select(*columns))
     return ranking.positional_join(scans)
 
@@ -427,6 +498,13 @@ def metric_by_name(spark, folder):
     return row.unpivot([], names, "metric", "score")
 
 
+def roc_auc_by_group(spark, folder):
+    """How well the length of a document tells good from poor ones, for all languages and sources at once."""
+    rows = table(spark, folder, "documents").select("doc_id", "lang", "n_chars").join(table(spark, folder, "labels"), "doc_id")
+    areas = metrics.roc_auc(rows.withColumn("score", F.floor(F.col("n_chars") / 50)), ["lang"], "quality")
+    return areas.withColumn("roc_auc", rounded(F.col("roc_auc"), 9))
+
+
 def threshold_search(spark, folder):
     joined = table(spark, folder, "documents").select("doc_id", "n_chars", "source").join(
         table(spark, folder, "labels"), "doc_id"
@@ -515,6 +593,26 @@ def custom_leaf_stage(spark, folder):
     )
 
 
+def whole_leaf_stream(spark, folder):
+    """Own Python over each whole leaf in time order: the largest fall below an earlier value, and the rows before it."""
+    events = table(spark, folder, "events").select("event_type", "ts", "event_id", "value")
+
+    def fall(key, batches):
+        top, worst, at, n = -np.inf, 0.0, 0, 0
+        for batch in batches:
+            values = batch.column("value").to_numpy(zero_copy_only=False)
+            tops = np.maximum(np.maximum.accumulate(values), top)
+            falls = tops - values
+            i = int(np.argmax(falls))
+            if falls[i] > worst:
+                worst, at = float(falls[i]), n + i
+            top, n = float(tops[-1]), n + len(values)
+        yield pa.RecordBatch.from_arrays([pa.array([worst]), pa.array([at], pa.int64()), pa.array([n], pa.int64())], names=["fall", "rows_before", "n_rows"])
+
+    found = preprocess.whole_leaves(events, ["event_type"], [F.col("ts"), F.col("event_id")], fall, "fall double, rows_before bigint, n_rows bigint")
+    return found.withColumn("fall", rounded(F.col("fall"), 6))
+
+
 def custom_model(spark, folder):
     """Scoring by a Python function instead of a Spark model."""
     items = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_discount")
@@ -612,6 +710,7 @@ QUERIES = {
     "leaf_statistics_all_numeric": leaf_statistics_all_numeric,
     "hierarchy_rollup": hierarchy_rollup,
     "correlation_matrix": correlation_matrix,
+    "correlation_matrix_wide": correlation_matrix_wide,
     "leaf_without_measures": leaf_without_measures,
     "hierarchy_leaves": hierarchy_leaves,
     "source_filter": source_filter,
@@ -620,8 +719,12 @@ QUERIES = {
     "artifact_semi_join": artifact_semi_join,
     "leaf_csv_scan": leaf_csv_scan,
     "leaf_csv_mixed": leaf_csv_mixed,
+    "incremental_mixed": incremental_mixed,
     "typed_cells": typed_cells,
     "artifact_roundtrip": artifact_roundtrip,
+    "json_artifacts": json_artifacts,
+    "label_files": label_files,
+    "feature_files": feature_files,
     "feature_roundtrip": feature_roundtrip,
     "split_csv_roundtrip": split_csv_roundtrip,
     "merge_feature_types": merge_feature_types,
@@ -652,6 +755,7 @@ QUERIES = {
     "class_report": class_report,
     "classification_report": classification_report,
     "metric_by_name": metric_by_name,
+    "roc_auc_by_group": roc_auc_by_group,
     "threshold_search": threshold_search,
     "best_trial": best_trial,
     "normal_features": normal_features_query,
@@ -659,6 +763,7 @@ QUERIES = {
     "synthetic_series": synthetic_series,
     "preprocess_job": preprocess_job,
     "custom_leaf_stage": custom_leaf_stage,
+    "whole_leaf_stream": whole_leaf_stream,
     "custom_model": custom_model,
     "incremental_stats": incremental_stats,
     "forest_predictions": forest_predictions,

@@ -3,7 +3,10 @@
 from collections.abc import Sequence
 
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from leafmill.functions.columns import quoted, quoted_all
+from leafmill.session import staged
 
 # Scores that ``score`` can compute from the confusion counts.
 CONFUSION_METRICS = (
@@ -103,3 +106,31 @@ def score(df: DataFrame, metric: str, label: str = "label", prediction: str = "p
         )
         return evaluator.evaluate(df)
     return scores(class_report(confusion_counts(df, label, prediction)), [metric]).first()[metric]
+
+
+def roc_auc(df: DataFrame, by: Sequence[str] = (), label: str = "label", score: str = "score") -> DataFrame:
+    """Area under the ROC curve of every ``by`` group, exact: one row (by, roc_auc), all groups in the same jobs.
+
+    The chance that a row of class 1 scores above one of class 0, ties counting half. Rows become counts per
+    distinct score first. The scores are range-partitioned, so that the negatives below a score are those before
+    it in its own partition and the totals of the partitions before. Rows without score or label (0 or 1) do
+    not count; a group that lacks a class has no value (null).
+    """
+    by = list(by)
+    group = quoted_all(by)
+    given = F.col(quoted(score)).cast("double")
+    rows = df.select(*group, given.alias("_score"), F.col(quoted(label)).cast("double").alias("_label"))
+    rows = rows.where("_score IS NOT NULL AND NOT isnan(_score) AND _label IN (0, 1)")
+    counts = rows.groupBy(*group, "_score").agg(F.count_if(F.col("_label") == 1).alias("_pos"), F.count_if(F.col("_label") == 0).alias("_neg"))
+    placed = counts.repartitionByRange(*group, "_score").sortWithinPartitions(*group, "_score")
+    # The borders of the ranges are sampled, so the placement is written down before it is counted.
+    placed = staged(placed.withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_id", 33)), "scores")
+    earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy("_part", *group).agg(F.sum("_neg").alias("_sum"))
+    offsets = offsets.select(F.col("_part").alias("_p"), *[F.col(quoted(c)).alias(f"_by_{i}") for i, c in enumerate(by)], F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_offset"))
+    same = [F.col("_part") == F.col("_p"), *[F.col(quoted(c)).eqNullSafe(F.col(f"_by_{i}")) for i, c in enumerate(by)]]
+    before = Window.partitionBy("_part", *group).orderBy("_id").rowsBetween(Window.unboundedPreceding, -1)
+    below = (F.coalesce(F.sum("_neg").over(before), F.lit(0)) + F.col("_offset") + F.col("_neg") / 2).cast("double")
+    won = placed.join(offsets, same).withColumn("_won", F.col("_pos") * below)
+    pairs = F.sum("_pos").cast("double") * F.sum("_neg")
+    return won.groupBy(*group).agg((F.sum("_won") / F.when(pairs > 0, pairs)).alias("roc_auc"))

@@ -4,14 +4,13 @@ The shuffle carries one partial row per (task, leaf), never raw rows, so a leaf
 third of the table costs no more than any other.
 """
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from leafmill.functions.columns import mean_of, nan_to_null, numeric_columns, quoted, quoted_all, sample_std_of, sum_of
-from leafmill.session import staged
+from leafmill.operators.comoments import clip_unit, wide_correlations
+from leafmill.operators.moments import LEVEL, merge_levels
 
 SUMMARY_TYPE = (
     "struct<mean_of_means:double,std_of_means:double,mean_of_stds:double,"
@@ -22,7 +21,6 @@ SUMMARY_TYPE = (
 WIDE_MEASURES = 40
 # Beyond this many measures correlations are summed by matrix products.
 WIDE_PAIRS = 12
-PAIR_SUMS = ["n", "sum_a", "sum_b", "square_a", "square_b", "product"]
 
 
 def leaf_statistics(
@@ -117,36 +115,6 @@ def leaf_moments(df: DataFrame, keys: Sequence[str], measures: Sequence[str]) ->
     return _values(df, keys, measures).groupBy(*quoted_all(keys)).agg(*aggregates)
 
 
-def merge_moments(moments: DataFrame, keys: Sequence[str], n_measures: int) -> DataFrame:
-    """Moments of coarser groups from those of finer ones.
-
-    First the means, then squared distances from those means: a sum of squares less the square of a sum,
-    or distances from one centre for all groups, lose digits for values that lie far off. Works on one row
-    per finer group, not on raw rows.
-    """
-    means = moments.groupBy(*[F.col(quoted(k)).alias(f"_k_{i}") for i, k in enumerate(keys)]).agg(
-        *[
-            F.when(F.sum(f"_n_{i}") > 0, F.sum(F.col(f"_n_{i}") * F.col(f"_mean_{i}")) / F.sum(f"_n_{i}")).alias(
-                f"_all_{i}"
-            )
-            for i in range(n_measures)
-        ]
-    )
-    same_group = [F.col(quoted(k)).eqNullSafe(F.col(f"_k_{i}")) for i, k in enumerate(keys)]
-    joined = moments.join(means, same_group)
-    aggregates = []
-    for i in range(n_measures):
-        apart = F.col(f"_mean_{i}") - F.col(f"_all_{i}")
-        aggregates += [
-            F.sum(f"_n_{i}").alias(f"_n_{i}"),
-            F.max(f"_all_{i}").alias(f"_mean_{i}"),
-            F.sum(F.col(f"_m2_{i}") + F.col(f"_n_{i}") * apart * apart).alias(f"_m2_{i}"),
-            F.min(f"_min_{i}").alias(f"_min_{i}"),
-            F.max(f"_max_{i}").alias(f"_max_{i}"),
-        ]
-    return joined.groupBy(*quoted_all(keys)).agg(*aggregates)
-
-
 def summarise_moments(moments: DataFrame, keys: Sequence[str], n_measures: int) -> DataFrame:
     def each(kind: str) -> list[Column]:
         return [F.col(f"_{kind}_{i}") for i in range(n_measures)]
@@ -162,22 +130,19 @@ def hierarchy_statistics(
 ) -> DataFrame:
     """Statistics at every level of the hierarchy: level 0 is the source, the last one the leaf.
 
-    Raw rows are read and aggregated once, at leaf level. The coarser levels merge the leaf
-    rows; a rollup would instead multiply every raw row by the number of levels. Keys below a
-    row's level are null.
+    Raw rows are read and aggregated once, at leaf level; a rollup would instead multiply every raw row by the
+    number of levels. The coarser levels merge the moments of the leaves, all levels in one exchange. Keys
+    below a row's level are null.
     """
     keys = list(keys)
     names = numeric_columns(df, keys) if measures is None else list(measures)
     if not names:
         raise ValueError("hierarchy statistics need at least one numeric column")
-    leaves = staged(leaf_moments(df, keys, names), "leaf-moments")
-    result, moments = None, leaves
-    for level in reversed(range(len(keys))):
-        known = keys[: level + 1]
-        if level < len(keys) - 1:  # each level from the next finer one
-            moments = staged(merge_moments(moments, known, len(names)), "level-moments")
-        rows = summarise_moments(moments, known, len(names)).withColumn("level", F.lit(level))
-        result = rows if result is None else result.unionByName(rows, allowMissingColumns=True)
+    leaves, last = leaf_moments(df, keys, names), len(keys) - 1
+    result = summarise_moments(leaves, keys, len(names)).withColumn("level", F.lit(last))
+    if last:
+        coarser = merge_levels(leaves, keys, len(names), range(last))
+        result = result.unionByName(summarise_moments(coarser, [LEVEL, *keys], len(names)).withColumnRenamed(LEVEL, "level"))
     return result.select("level", *quoted_all(keys), "summary_features")
 
 
@@ -194,7 +159,7 @@ def correlation_matrix(
     names = numeric_columns(df, keys) if measures is None else list(measures)
     n = len(names)
     if n > wide_over:
-        return _wide_correlations(df, keys, names)
+        return wide_correlations(_values(df, keys, names), keys, names)
     pairs = [(i, j) for i in range(n) for j in range(i + 1, n)]
     aggregates = [F.var_pop(f"_x_{i}").alias(f"_v_{i}") for i in range(n)]
     for i, j in pairs:
@@ -215,54 +180,3 @@ def correlation_matrix(
         value = F.when(spread > 0, clip_unit(F.col(f"_cov_{i}_{j}") / spread)).otherwise(0.0)
         cells.append(cell(names[i], names[j], value))
     return base.select(*quoted_all(keys), F.explode(F.array(*cells)).alias("_cell")).select(*quoted_all(keys), "_cell.*")
-
-
-def _wide_correlations(df: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
-    """One row per leaf and measure and batch with arrays of sums, then added up pair by pair.
-
-    Values are taken from the mean of their measure, so that large ones lose no digits.
-    """
-    n = len(names)
-    values = _values(df, keys, names)
-    means = [v or 0.0 for v in values.agg(*[F.avg(f"_x_{i}") for i in range(n)]).first()]
-    shifted = F.array(*[F.coalesce(F.col(f"_x_{i}") - m, F.lit(float("nan"))) for i, m in enumerate(means)])
-    key_type = T.StructType([df.schema[k] for k in keys])
-    leaf = F.to_json(F.struct(*quoted_all(keys)), {"ignoreNullFields": "false"})
-
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for name, rows in batch.groupby("leaf", sort=False)["v"]:
-                x = np.vstack(rows.to_numpy())
-                there = (~np.isnan(x)).astype(float)
-                x = np.nan_to_num(x)
-                count, total, square, product = there.T @ there, x.T @ there, (x * x).T @ there, x.T @ x
-                for i in range(n):
-                    parts = (count[i], total[i], total[:, i], square[i], square[:, i], product[i])
-                    out.append((name, i, *[p[i:] for p in parts]))
-            yield pd.DataFrame(out, columns=["leaf", "i", *PAIR_SUMS])
-
-    arrays = ", ".join(f"{name} array<double>" for name in PAIR_SUMS)
-    partial = values.select(leaf.alias("leaf"), shifted.alias("v")).mapInPandas(sums, f"leaf string, i int, {arrays}")
-    flat = partial.select("leaf", "i", F.posexplode(F.arrays_zip(*PAIR_SUMS)).alias("apart", "s"))
-    pairs = flat.groupBy("leaf", "i", "apart").agg(*[F.sum(f"s.{name}").alias(name) for name in PAIR_SUMS])
-
-    def spread(total: str, square: str) -> Column:
-        left = F.col(square) - F.col(total) * F.col(total) / F.col("n")
-        # What rounding leaves of a constant column is no spread.
-        return F.when(left > 1e-13 * F.col(square), left).otherwise(0.0)
-
-    both = F.sqrt(spread("sum_a", "square_a")) * F.sqrt(spread("sum_b", "square_b"))
-    together = F.col("product") - F.col("sum_a") * F.col("sum_b") / F.col("n")
-    value = F.when(both > 0, F.when(F.col("apart") == 0, 1.0).otherwise(clip_unit(together / both))).otherwise(0.0)
-    listed = F.array(*[F.lit(name) for name in names])
-    return pairs.select(
-        F.from_json("leaf", key_type).alias("k"),
-        F.get(listed, F.col("i")).alias("measure_a"),
-        F.get(listed, F.col("i") + F.col("apart")).alias("measure_b"),
-        value.alias("correlation"),
-    ).select("k.*", "measure_a", "measure_b", "correlation")
-
-
-def clip_unit(value: Column) -> Column:
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), value))

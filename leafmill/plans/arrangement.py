@@ -15,7 +15,7 @@ from leafmill.operators.arrange import (
 )
 from leafmill.operators.checks import require_columns, require_rows
 from leafmill.operators.descriptor import dataset_descriptor
-from leafmill.sinks.writers import FEATURE_SET_PREFIX, next_folder, write_descriptor, write_feature_set
+from leafmill.sinks.writers import FEATURE_SET_PREFIX, claim_folder, write_descriptor, write_feature_set
 
 
 def arrange(
@@ -51,7 +51,7 @@ def arrange(
     doubles = duplicate_keys(labels, keys).agg(F.count("*").alias("n")).first()
     # Inner and anti join apart: Spark can split a label key that holds very many rows.
     marked = mark_labels(features, labels, keys, repeated_labels=True)
-    path = f"{base.rstrip('/')}/{next_folder(spark, base, FEATURE_SET_PREFIX)}"
+    path = f"{base.rstrip('/')}/{claim_folder(spark, base, FEATURE_SET_PREFIX)}"
     written = require_rows(write_feature_set(marked, path), "feature table")
     sources = _source_list(written, keys[0]) if sources is None else list(sources)
     for labelled in (True, False):

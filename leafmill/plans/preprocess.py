@@ -2,13 +2,16 @@
 
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
+from itertools import groupby
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
 
 from leafmill import DEFAULT_KEYS
-from leafmill.functions.columns import prefixed
+from leafmill.functions.columns import prefixed, quoted_all
 from leafmill.functions.draws import normal_features
+from leafmill.functions.runs import sorted_runs
 from leafmill.operators.selection import with_artifact
 from leafmill.operators.statistics import leaf_statistics
 
@@ -43,6 +46,40 @@ def leaf_partials(
     return df.mapInPandas(pieces, f"{key_schema}, {schema}")
 
 
+def whole_leaves(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[Column],
+    own: Callable[[dict, Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
+    schema: str,
+) -> DataFrame:
+    """Own Python over each whole leaf, as a stream of its rows in ``order``.
+
+    ``own`` gets the key values and an iterator of Arrow batches that holds the rows of one leaf and nothing
+    else; what it yields (columns of ``schema``) comes out beside the keys. It may stop before the end, and may
+    yield at any time, so a leaf of any length needs the memory of a batch. A leaf is one task; for work that
+    pieces of a leaf can do apart use ``leaf_partials``. Null key parts are equal to each other.
+    """
+    keys = list(keys)
+    key_schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    placed = df.repartition(*quoted_all(keys)).sortWithinPartitions(*quoted_all(keys), *order)
+
+    def streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds: dict[str, pa.DataType] = {}
+
+        def noted() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                kinds.update({k: batch.schema.field(k).type for k in keys})
+                yield batch
+
+        for key, pieces in groupby(sorted_runs(noted(), keys), key=lambda run: run[0]):
+            for made in own(dict(zip(keys, key)), (rows for _, rows in pieces)):
+                columns = [pa.array([value] * made.num_rows, kinds[k]) for k, value in zip(keys, key)]
+                yield pa.RecordBatch.from_arrays([*columns, *made.columns], names=[*keys, *made.schema.names])
+
+    return placed.mapInArrow(streams, f"{key_schema}, {schema}")
+
+
 def random_features(
     statistics: DataFrame, keys: Sequence[str] = DEFAULT_KEYS, n_features: int = 10, seed: int = 42
 ) -> DataFrame:

@@ -12,15 +12,17 @@ from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Estimator, PipelineModel, Transformer
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import IndexToString, SQLTransformer, StringIndexerModel, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from leafmill.functions.columns import feature_columns, group_key
 from leafmill.operators.arrange import union_sources
 from leafmill.operators.checks import require_prepared
 from leafmill.operators.folds import attach_folds, group_folds
-from leafmill.operators.metrics import class_report, classification_report, confusion_counts, score, scores
+from leafmill.operators.metrics import class_report, classification_report, confusion_counts, roc_auc, scores
 from leafmill.operators.ranking import exact_split
-from leafmill.sinks.writers import STUDY_PREFIX, next_folder, write_metrics, write_model
+from leafmill.plans.forest import KeyedForestModel, binned, fold_votes, grown, likeliest, planted
+from leafmill.sinks.writers import STUDY_PREFIX, claim_folder, write_metrics, write_model
 
 # The ranges of the default search, both ends included.
 FOREST_SPACE = {"n_estimators": (50, 300), "max_depth": (3, 20), "min_samples_leaf": (1, 10)}
@@ -110,12 +112,17 @@ def cross_validate(
 
     with ThreadPoolExecutor(max_workers=n_folds) as pool:
         predicted = list(pool.map(inheritable_thread_target(train.sparkSession)(predict), range(n_folds)))
+    score = [vector_to_array("probability")[1].alias("score")] if metric == "roc_auc" else []
+    by_fold = union_sources([rows.select("fold", "label", "prediction", *score) for rows in predicted])
+    found = {r["fold"]: r[metric] for r in _scores(by_fold, metric, ["fold"])}
+    return [found.get(fold) for fold in range(n_folds)]
+
+
+def _scores(predicted: DataFrame, metric: str, by: Sequence[str]) -> list:
+    """One row per group: its score, in jobs that all groups share. No row or value where a score is undefined."""
     if metric == "roc_auc":
-        return [score(rows, metric) for rows in predicted]
-    by_fold = union_sources([rows.select("fold", "label", "prediction") for rows in predicted])
-    report = class_report(confusion_counts(by_fold, by=["fold"]), ["fold"])
-    found = {r["fold"]: r[metric] for r in scores(report, [metric], ["fold"]).collect()}
-    return [found[fold] for fold in range(n_folds)]
+        return roc_auc(predicted, by).collect()
+    return scores(class_report(confusion_counts(predicted, by=by), by), [metric], by).collect()
 
 
 @dataclass
@@ -127,8 +134,9 @@ class Trial:
     ended: datetime | None = None
 
     @property
-    def value(self) -> float:
-        return sum(self.fold_scores) / len(self.fold_scores)
+    def value(self) -> float | None:
+        """The plain mean over folds; none if a fold has no score."""
+        return None if None in self.fold_scores else sum(self.fold_scores) / len(self.fold_scores)
 
 
 def search(
@@ -152,6 +160,34 @@ def search(
         return list(pool.map(inheritable_thread_target(train.sparkSession)(run), range(len(candidates))))
 
 
+def search_forests(
+    train: DataFrame, candidates: Sequence[Params], n_folds: int, keys: Sequence[str], metric: str = "accuracy", seed: int = 42, n_classes: int | None = None
+) -> tuple[list[Trial], Callable[[Params], KeyedForestModel]]:
+    """Score forests with all candidates' parameters; the trials, and a function that fits one on all rows.
+
+    ``train`` has features, label, fold and the ``keys`` that name a row. All trees of all candidates and folds
+    grow in the same jobs, and one job scores them, so trials begin and end together. The result depends on keys and
+    seed only, not on how the rows are partitioned.
+    """
+    started = datetime.now(timezone.utc)
+    data = binned(train, keys, n_classes)
+    forests = {(i, fold): planted(params, fold) for i, params in enumerate(candidates) for fold in range(n_folds)}
+    grown(data, [tree for trees in forests.values() for tree in trees], seed)
+    votes = fold_votes(data, forests).select(
+        "candidate", "fold", F.col("label").cast("double").alias("label"), likeliest(F.col("shares")).alias("prediction"), F.get("shares", F.lit(1)).alias("score")
+    )
+    found = {(r["candidate"], r["fold"]): r[metric] for r in _scores(votes, metric, ["candidate", "fold"])}
+    ended = datetime.now(timezone.utc)
+    trials = [Trial(i, params, [found.get((i, fold)) for fold in range(n_folds)], started, ended) for i, params in enumerate(candidates)]
+
+    def fitted(params: Params) -> KeyedForestModel:
+        trees = planted(params)
+        grown(data, trees, seed)
+        return KeyedForestModel.of(trees, data)
+
+    return trials, fitted
+
+
 def trial_table(spark: SparkSession, trials: Sequence[Trial]) -> DataFrame:
     """One row per trial: number, value, times, parameters, fold scores, state."""
     names = sorted({name for t in trials for name in t.params})
@@ -177,6 +213,10 @@ def best_trial(trials: DataFrame, direction: str = "maximize") -> DataFrame:
     return trials.orderBy(value, F.col("number").asc()).limit(1)
 
 
+def _best(spark: SparkSession, trials: Sequence[Trial], direction: str) -> Trial:
+    return trials[best_trial(trial_table(spark, trials), direction).first()["number"]]
+
+
 def class_names(df: DataFrame, label: str) -> list[str]:
     """Class values as text, in the order of the values. Each becomes an output column."""
     values = df.select(label).distinct().orderBy(label)
@@ -206,12 +246,14 @@ def run_study(
     shuffle: bool = True,
     seed: int = 42,
     n_jobs: int = 1,
-    build: Builder = forest,
+    build: Builder | None = None,
     group: Sequence[str] | None = None,
 ) -> StudyResult:
     """Split, search, refit on all training rows, save, test and report.
 
-    ``data`` is a labelled feature set read from storage. The first label is the target.
+    ``data`` is a labelled feature set read from storage. The first label is the target. The search is over
+    forests that all grow together, and gives the same result on any partitioning. With ``build``, an estimator
+    of one's own is fitted per trial and fold instead, ``n_jobs`` trials side by side.
     """
     spark = data.sparkSession
     keys, labels = list(keys), list(labels)
@@ -226,26 +268,32 @@ def run_study(
     prepared = assembled(index.transform(grouped), features, "_class", [*keys, "group"])
     split = exact_split(prepared, keys, train_fraction, seed, shuffle)
     folds = group_folds(train_rows(split), "group", n_folds)
-    n_rows = folds.agg(F.sum("group_size")).first()[0]
-    n_tasks = math.ceil(n_rows * len(features) * 8 / TASK_BYTES)
-    # Read by every fit of every trial: kept in memory, spilling to disk, and on no more
-    # partitions than its size asks for, because a forest runs two stages per tree level.
-    train = attach_folds(train_rows(split), folds, "group").coalesce(n_tasks).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        finished = search(train, candidates, n_folds, metric, seed, n_jobs, build)
-        trials = trial_table(spark, finished)
-        best = finished[best_trial(trials, direction).first()["number"]]
-        fitted = build(best.params, seed).fit(train)
+    train = attach_folds(train_rows(split), folds, "group")
+    if build is None:
+        finished, fit = search_forests(train, candidates, n_folds, keys, metric, seed, len(classes))
+        best = _best(spark, finished, direction)
+        fitted = fit(best.params)
         training = classification_report(fitted.transform(train)).first()
-    finally:
-        train.unpersist()
+    else:
+        n_rows = folds.agg(F.sum("group_size")).first()[0]
+        # Read by every fit of every trial: kept in memory, spilling to disk, and on no more partitions than its
+        # size asks for, because a forest of Spark's runs two stages per tree level.
+        train = train.coalesce(math.ceil(n_rows * len(features) * 8 / TASK_BYTES)).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            finished = search(train, candidates, n_folds, metric, seed, n_jobs, build)
+            best = _best(spark, finished, direction)
+            fitted = build(best.params, seed).fit(train)
+            training = classification_report(fitted.transform(train)).first()
+        finally:
+            train.unpersist()
+    trials = trial_table(spark, finished)
     tested = classification_report(fitted.transform(test_rows(split))).first()
 
     names = IndexToString(inputCol="prediction", outputCol="_predicted", labels=classes)
     kind = data.schema[target].dataType.simpleString()
     typed = SQLTransformer(statement=f"SELECT *, CAST(_predicted AS {kind}) AS predicted_class FROM __THIS__")
     model = PipelineModel([*vector_stages(features), fitted, names, typed])
-    version = next_folder(spark, study_path, STUDY_PREFIX)
+    version = claim_folder(spark, study_path, STUDY_PREFIX)
     path = f"{study_path.rstrip('/')}/{version}"
     write_model(model, path)
     metrics = study_metrics(

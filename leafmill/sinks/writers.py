@@ -11,7 +11,7 @@ from leafmill.operators.arrange import HAS_LABEL
 from leafmill.operators.ranking import with_rank
 from leafmill.operators.versions import next_version_name
 from leafmill.session import name_table, staged
-from leafmill.sources.paths import subfolders, with_text_partitions
+from leafmill.sources.paths import created_alone, subfolders, with_text_partitions
 
 FEATURE_SET_PREFIX = "features_"
 STUDY_PREFIX = "ver_"
@@ -56,6 +56,18 @@ def next_folder(spark: SparkSession, base: str, prefix: str) -> str:
     return next_version_name(name_table(spark, subfolders(spark, base), "name"), "name", prefix)
 
 
+def claim_folder(spark: SparkSession, base: str, prefix: str) -> str:
+    """The next version name below ``base``, taken: no other job can take the same one.
+
+    The name belongs to the job that creates the file ``_claimed`` in its folder; a job that comes second takes the
+    name after it.
+    """
+    while True:
+        name = next_folder(spark, base, prefix)
+        if created_alone(spark, f"{base.rstrip('/')}/{name}/_claimed"):
+            return name
+
+
 def write_feature_set(df: DataFrame, path: str, overwrite: bool = False) -> DataFrame:
     """Write a feature set and return it as stored. A ``has_label`` column becomes a partition."""
     writer = df.write.mode("overwrite" if overwrite else "errorifexists")

@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from leafmill import DEFAULT_KEYS
 from leafmill.functions.columns import other_columns, quoted
-from leafmill.operators.arrange import union_sources
 from leafmill.sources.headers import CORRUPT, Headers
-from leafmill.sources.paths import literal, subfolders, with_path_keys
+from leafmill.sources.paths import literal, path_keys, subfolders
 
 # Texts that stand for a missing value in a CSV cell.
 MISSING_TEXTS = (
@@ -41,25 +40,14 @@ def read_leaf_text(
     """All leaf files of the sources as one table of text columns, keys first.
 
     Only folders of the asked sources are listed. Absent sources are skipped
-    (``present_sources`` reports them). Every file is read by its own header: a column that it lacks is
-    null there, others than the asked ``columns`` are left out, and their order does not matter. Files
+    (``present_sources`` reports them). Every file is read by its own header, all in one scan: a column that it
+    lacks is null there, others than the asked ``columns`` are left out, and their order does not matter. Files
     without any asked column, or with a column named twice, are left out (``bad_leaf_files`` lists them).
     Without ``columns`` all columns of all files are read. ``_corrupt_row`` holds the text of a row with
     more cells than its header.
     """
     headers = _headers(spark, root, sources, keys, file_name)
-    wanted = headers.columns() if columns is None else list(columns)
-    tables = []
-    for header, (names, _) in headers.variants.items():
-        if set(wanted) & set(names):
-            cells = [F.col(quoted(c)) if c in names else F.lit(None).cast("string").alias(c) for c in wanted]
-            rows = with_path_keys(headers.rows(header), keys)
-            # Quoted commas do not make a row longer than its header.
-            n_cells = F.size(F.split(F.regexp_replace(CORRUPT, '"(?:[^"]|"")*"', ""), ","))
-            tables.append(rows.select(*keys, *cells, F.when(n_cells > len(names), F.col(CORRUPT)).alias(CORRUPT)))
-    if not tables:
-        raise ValueError(f"no leaf file below {root} has any of the columns {wanted}")
-    return union_sources(tables)
+    return headers.rows(headers.columns() if columns is None else columns, path_keys(keys))
 
 
 def bad_leaf_files(

@@ -44,21 +44,20 @@ def read_feature_files(
     column is a number when all its cells are.
     """
     headers = Headers(spark, folder, pathGlobFilter="*.csv")
+    kept = [n[1:] if is_index_column(n[0]) else n for n, _ in headers.variants.values()]
+    wanted = list(dict.fromkeys(name for names in kept for name in names))
     parts = F.split(F.regexp_replace(path_part(1), r"\.csv$", ""), "_")
-    lower, tables = list(keys[1:]), []
-    for header, (names, _) in headers.variants.items():
-        kept = names[1:] if is_index_column(names[0]) else names
-        rows = headers.rows(header).select(
-            F.lit(source).alias(keys[0]),
-            *[F.get(parts, F.lit(i)).alias(k) for i, k in enumerate(lower)],
-            F.struct(*quoted_all(kept)).alias("_row"),
-            F.col("_metadata.file_path").alias("_file"),
-            F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("_place"),
-            F.size(parts).alias("_parts"),
-        ).where(F.col("_parts") >= len(lower))
-        first = rows.groupBy("_file", *keys).agg(F.min_by("_row", "_place").alias("_row"))
-        tables.append(first.select(*keys, "_row.*"))
-    text = union_sources(tables)
+    lower = list(keys[1:])
+    carried = [
+        F.lit(source).alias(keys[0]),
+        *[F.get(parts, F.lit(i)).alias(k) for i, k in enumerate(lower)],
+        F.col("_metadata.file_path").alias("_path"),
+        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("_place"),
+        F.size(parts).alias("_parts"),
+    ]
+    rows = headers.rows(wanted, carried, is_index_column).where(F.col("_parts") >= len(lower))
+    first = rows.select(*keys, "_path", "_place", F.struct(*quoted_all(wanted)).alias("_row")).groupBy("_path", *keys)
+    text = first.agg(F.min_by("_row", "_place").alias("_row")).select(*keys, "_row.*")
     typed = typed_cells(text, measured_schema(text, keys), keys).drop(BAD_CELLS)
     return prefixed(typed, feature_type, keys)
 

@@ -1,6 +1,9 @@
 import json
+import os
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F, types as T
@@ -256,3 +259,93 @@ def test_a_stream_stops_at_another_header(spark, tmp_path, new_folder):
     rows = incremental.leaf_stream(spark, str(tmp_path / "raw"), T.StructType.fromDDL("x double, y double"))
     with pytest.raises(Exception, match="(?i)header"):
         incremental.preprocess_new(rows, f"{new_folder}/out", f"{new_folder}/state", n_features=2)
+
+
+def put(folder, path, text):
+    full = folder / path
+    full.parent.mkdir(parents=True, exist_ok=True)
+    full.write_text(text)
+
+
+def test_arriving_files_are_read_by_their_own_headers(spark, tmp_path, new_folder):
+    root, out = tmp_path / "raw", f"{new_folder}/out"
+    schema = T.StructType.fromDDL("x double, y double")
+
+    def run():
+        incremental.preprocess_files(spark, str(root), schema, out, f"{new_folder}/state", n_features=1, mode=incremental.MERGE, max_files=3)
+        return {(r["source"], r["hierarchy_2"]): r["summary_features"].asDict() for r in incremental.merged(spark, out, KEYS, schema.names).collect()}
+
+    put(root, "A/1/1/data.csv", "x,y\n1,2\n3,oops\n5,6,999\n")
+    put(root, "01/1/1/data.csv", 'extra,y,x\n"a, b",20,10\n"c",40,30\n')
+    put(root, "1/1/2/data.csv", "y\n40\n50\n")
+    put(root, "1/1/3/data.csv", "p,q\n1,2\n")
+    put(root, "1/1/4/data.csv", "x,x\n1,2\n")
+    put(root, "1/1/5/data.csv", "")
+    first = run()
+    assert first.keys() == {("A", "1"), ("01", "1"), ("1", "2")}
+    assert first["A", "1"]["overall_range"] == 2.0 and first["01", "1"]["overall_range"] == 30.0 and first["1", "2"]["mean_of_means"] == 45.0
+    put(root, "B/1/1/data.csv", "q\n1\n")  # a batch of strange files only
+    assert run() == first
+    put(root, "A/1/1/more/data.csv", "x\n9\n")  # too deep to be a leaf
+    put(root, "A/1/6/data.csv", "y,x\n1,oops\n2,8\n")
+    again = run()
+    assert again.keys() == first.keys() | {("A", "6")} and again["A", "6"]["overall_range"] == 7.0
+    rejected = spark.read.parquet(f"{out}/rejects").collect()
+    assert sorted((r["hierarchy_2"], *r["bad_cells"]) for r in rejected) == [("1", "_corrupt_row"), ("1", "y"), ("6", "x")]
+    bad = spark.read.parquet(f"{out}/bad_files").collect()
+    assert sorted(r["_file"].split("/")[-4] + r["_file"].split("/")[-2] for r in bad) == ["13", "14", "B1"]
+    # The last batch once more, as after a failure: everything it wrote is replaced.
+    commits = f"{new_folder}/state/commits".removeprefix("file:")
+    os.remove(f"{commits}/{max(int(name) for name in os.listdir(commits) if name.isdigit())}")
+    assert run() == again
+    assert spark.read.parquet(f"{out}/rejects").count() == 3 and spark.read.parquet(f"{out}/bad_files").count() == 3
+
+
+def test_reading_merged_batches_stays_cheap(spark, new_folder):
+    """After 50 batches a read takes in one compacted table and fewer batches than ``compact_every``."""
+    rows = spark.range(1000).select((F.col("id") % 3).alias("k"), (F.lit(1e9) + F.col("id") % 17).alias("x"))
+    rows.repartition(50).write.parquet(f"{new_folder}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{new_folder}/in")
+    incremental.preprocess_new(stream, f"{new_folder}/out", f"{new_folder}/state", ["k"], ["x"], 1, mode=incremental.MERGE, compact_every=8)
+    assert spark.read.parquet(f"{new_folder}/out/moments").select("batch_id").distinct().count() == 50
+    read = incremental._moments(spark, f"{new_folder}/out")
+    batches = {f.rsplit("/", 2)[1] for f in read.inputFiles()}
+    assert batches == {"batch_id=47", "batch_id=48", "batch_id=49"}
+    found = {r["k"]: r["summary_features"].asDict() for r in incremental.merged(spark, f"{new_folder}/out", ["k"], ["x"]).collect()}
+    whole = {r["k"]: r["summary_features"].asDict() for r in leaf_statistics(rows, ["k"], ["x"]).collect()}
+    for k, values in whole.items():
+        assert found[k] == {n: None if v is None else pytest.approx(v, rel=1e-9) for n, v in values.items()}
+
+
+def test_versions_are_claimed_once(spark, new_folder):
+    with ThreadPoolExecutor(8) as pool:
+        names = list(pool.map(lambda _: writers.claim_folder(spark, new_folder, "ver_"), range(24)))
+    assert sorted(names) == sorted(f"ver_{i}" for i in range(1, 25))
+    assert writers.next_folder(spark, new_folder, "ver_") == "ver_25"
+
+
+def test_whole_leaves(spark, monkeypatch):
+    rows = [(k, p, i, float(v)) for k, p, n in (("a", 1, 400), ("a", None, 300), (None, 1, 1), ("b", 2, 2)) for i, v in enumerate(range(n))]
+    df = spark.createDataFrame(rows, "k string, p int, i long, v double").repartition(6)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 64)
+    try:
+
+        def own(key, batches):
+            last, n, pieces = None, 0, 0
+            for batch in batches:
+                places = batch.column("i").to_pylist()
+                assert places == list(range(n, n + len(places))) and batch.num_rows <= 64
+                last, n, pieces = places[-1], n + len(places), pieces + 1
+                if key["p"] == 2:
+                    break  # the rest of the leaf is skipped
+            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([last]), pa.array([pieces])], names=["n", "last", "pieces"])
+
+        found = preprocess.whole_leaves(df, ["k", "p"], [F.col("i")], own, "n long, last long, pieces long").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(((r["k"], r["p"], r["n"], r["last"]) for r in found), key=str) == sorted(
+        [("a", 1, 400, 399), ("a", None, 300, 299), (None, 1, 1, 0), ("b", 2, 2, 1)], key=str
+    )
+    assert next(r["pieces"] for r in found if r["n"] == 400) >= 6
+    empty = preprocess.whole_leaves(df.where("false"), ["k", "p"], [F.col("i")], own, "n long, last long, pieces long")
+    assert empty.collect() == [] and empty.columns == ["k", "p", "n", "last", "pieces"]

@@ -61,3 +61,24 @@ def test_unknown_metric(spark):
 
 def test_no_rows_give_no_report(spark):
     assert metrics.classification_report(judged(spark, [])).first()["n_samples"] is None
+
+
+def area(rows):
+    """Share of (positive, negative) pairs in the right order, ties counting half."""
+    pos, neg = [s for s, y in rows if y == 1], [s for s, y in rows if y == 0]
+    if not pos or not neg:
+        return None
+    return sum((p > n) + (p == n) / 2 for p in pos for n in neg) / (len(pos) * len(neg))
+
+
+def test_roc_auc_of_all_groups_at_once(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([0, 1, 2, 2, 2, 5, rng.random()]), rng.choice([0, 1])) for _ in range(700)]
+    rows += [("one class", 0.5, 1), ("a", None, 1), ("a", float("nan"), 0), ("b", 0.1, None), ("hot", 1.0, 0), ("hot", 1.0, 1)] + [("hot", 0.5, i % 2) for i in range(300)]
+    df = spark.createDataFrame([(g, None if s is None else float(s), y) for g, s, y in rows], "g string, score double, label int")
+    found = {r["g"]: r["roc_auc"] for r in metrics.roc_auc(df.repartition(6), ["g"]).collect()}
+    clean = [(g, s, y) for g, s, y in rows if s is not None and s == s and y is not None]
+    assert found == {g: (None if (a := area([(s, y) for h, s, y in clean if h == g])) is None else pytest.approx(a)) for g in {g for g, _, _ in clean}}
+    (whole,) = metrics.roc_auc(df).collect()
+    assert whole["roc_auc"] == pytest.approx(area([(s, y) for _, s, y in clean]))
+    assert metrics.roc_auc(df.where("false"), ["g"]).collect() == []

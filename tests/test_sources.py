@@ -1,5 +1,6 @@
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F, types as T
@@ -86,13 +87,55 @@ def test_every_file_is_read_by_its_own_header(spark, tmp_path):
 def test_headers_of_many_files(spark, tmp_path, monkeypatch, listed):
     from leafmill.sources import headers
 
-    monkeypatch.setattr(headers, "LISTED_FILES", listed)
+    monkeypatch.setattr(headers, "BROADCAST_ROWS", listed)
     for i in range(6):
         write(str(tmp_path), f"s {i % 2}/1/{i}/data.csv", f"a,b\n{i},1\n" if i % 3 else f"b,a\n1,{i}\n")
     rows = leaves.read_leaves(spark, str(tmp_path), T.StructType.fromDDL("a double, b double")).collect()
     assert sorted((r["hierarchy_2"], r["a"], r["b"]) for r in rows) == [(str(i), float(i), 1.0) for i in range(6)]
 
 
+def scans(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+
+
+def test_ten_headers_are_one_scan(spark, tmp_path):
+    rng, names = random.Random(1), ["a", "b", "c", "d"]
+    expected = []
+    for i in range(60):
+        own = names[: 1 + i % 4]
+        rng.shuffle(own)
+        lines = [",".join(own)]
+        for j in range(5):
+            values = {n: f"{i}.{j}{k}" for k, n in enumerate(own)}
+            short = rng.random() < 0.2
+            lines.append(",".join(values[n] for n in (own[:-1] if short else own)) or "0")
+            row = {n: float(values[n]) for n in (own[:-1] if short else own)}
+            expected.append((str(i), *[({own[0]: 0.0} if short and len(own) == 1 else row).get(n) for n in names]))
+        write(str(tmp_path), f"s/1/{i}/data.csv", "\n".join(lines) + "\n\n")
+    schema = T.StructType.fromDDL("a double, b double, c double, d double")
+    cells = leaves.read_leaves(spark, str(tmp_path), schema)
+    assert scans(cells) == 1 + 1  # the files, and the table of their headers
+    assert len(leaves._headers(spark, str(tmp_path), None, DEFAULT_KEYS, "data.csv").variants) >= 8
+    found = [tuple(r) for r in leaves.accepted(cells).select("hierarchy_2", *names).collect()]
+    assert sorted(found, key=str) == sorted(expected, key=str)
+    assert leaves.rejects(cells).count() == 0
+
+
+def test_too_long_rows_where_headers_differ(spark, tmp_path):
+    write(str(tmp_path), "s/1/1/data.csv", 'a,b,c\n1,2,3\n1,2,3,4\n1,2,3,4,5\n"x,y",2,3\n"x,y",2,"3,,3"\n,,,\n1\n')
+    write(str(tmp_path), "s/1/2/data.csv", 'b\n7\n7,\n"7,7"\n7,8,9,10\n7,8,9\n')
+    text = leaves.read_leaf_text(spark, str(tmp_path), columns=["a", "b"])
+    found = sorted((tuple(r) for r in text.select("hierarchy_2", "a", "b", "_corrupt_row").collect()), key=str)
+    assert found == sorted(
+        [
+            ("1", "1", "2", None), ("1", "1", "2", "1,2,3,4"), ("1", "1", "2", "1,2,3,4,5"), ("1", "x,y", "2", None), ("1", "x,y", "2", None),
+            ("1", None, None, ",,,"), ("1", "1", None, None),
+            ("2", None, "7", None), ("2", None, "7", "7,"), ("2", None, "7,7", None), ("2", None, "7", "7,8,9,10"), ("2", None, "7", "7,8,9"),
+        ],
+        key=str,
+    )
+
+
 def test_unknown_columns_are_inferred_for_all_leaves(spark, tmp_path):
     folder = str(tmp_path)
     write(folder, "A/1/1/data.csv", "x,y\n1,2\n3,n/a\n")
