@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from leafmill.session import staged
 
-__all__ = ["UPPER", "LOWER", "documents", "read_table", "staged", "partitions", "bucket_offsets"]
+__all__ = ["UPPER", "LOWER", "documents", "read_table", "staged", "numbered", "partitions", "bucket_offsets"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -26,6 +26,15 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(""))
 
 
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """The rows of ``docs``, written down with a number each: columns ``row`` and ``own``, the struct of all their columns.
+
+    A second scan of the same table may cut it into other splits, when executors come or go; numbers that are
+    to be met again must be read back, never worked out twice.
+    """
+    return staged(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("own")), name)
+
+
 def partitions(spark: SparkSession) -> int:
     """How many parts the session deals shuffled rows into; the submitter sizes it for the data."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

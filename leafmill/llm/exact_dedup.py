@@ -9,7 +9,7 @@ with a third of all rows never gathers them: a run hands on one entry whatever i
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leafmill.llm.common import LOWER, UPPER, documents, staged, text_of
+from leafmill.llm.common import LOWER, UPPER, documents, numbered, staged, text_of
 
 ENTRY = ["digest", "sha", "bytes"]
 
@@ -19,19 +19,15 @@ def folded(text):
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, row number, run, digest and check values."""
-    text = folded(text_of(text_col))
-    return (
-        docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text.alias("t"))
-        .select(
-            "id",
-            F.monotonically_increasing_id().alias("row"),
-            F.spark_partition_id().alias("run"),
-            F.xxhash64("t").alias("digest"),
-            F.unhex(F.sha2("t", 256)).alias("sha"),
-            F.octet_length("t").alias("bytes"),
-        )
+def digest_rows(rows: DataFrame) -> DataFrame:
+    """One row per row of ``rows`` (row, id, text): id, row, run, digest and check values."""
+    return rows.select("row", F.col("id").cast("long").alias("id"), folded(text_of("text")).alias("t")).select(
+        "id",
+        "row",
+        F.spark_partition_id().alias("run"),
+        F.xxhash64("t").alias("digest"),
+        F.unhex(F.sha2("t", 256)).alias("sha"),
+        F.octet_length("t").alias("bytes"),
     )
 
 
@@ -42,13 +38,18 @@ def exact_duplicates(
 
     Texts are equal when identical after lower-casing A-Z; a null text counts as empty. ``keep`` says
     whether the smallest or the largest id of equal texts stays; a null id stays only when no other
-    is there, and of repeated rows with one id a single row stays. ``row`` is the position that
-    ``monotonically_increasing_id`` gives to a row of ``docs``. An empty table gives an empty result.
+    is there, and of repeated rows with one id a single row stays. ``row`` numbers the rows of the result; a
+    second scan of ``docs`` need not number them alike. An empty table gives an empty result.
     """
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    return _duplicates(rows, keep, round_bits)
+
+
+def _duplicates(rows: DataFrame, keep: str, round_bits: int = 3) -> DataFrame:
+    """``exact_duplicates`` of rows (row, id, text) that are numbered already."""
     if keep not in ("smallest", "largest"):
         raise ValueError(f"keep: smallest or largest, not {keep}")
-    spark = docs.sparkSession
-    rows = staged(digest_rows(docs, id_col, text_col), "digests")
+    rows = staged(digest_rows(rows), "digests")
     # Ids run upwards or downwards so that one maximum serves both; nulls are the smallest either way.
     order = F.col("id") if keep == "largest" else -F.col("id")
     level = rows.select("run", *ENTRY, F.struct(order.alias("o"), F.col("id"), F.col("row")).alias("keep"), F.lit(1).cast("long").alias("n"))
@@ -82,10 +83,10 @@ def exact_duplicates(
 
 
 def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
-    """The rows of ``docs`` that stay, all columns. ``docs`` is a table as read, so that rows keep their positions."""
-    found = exact_duplicates(docs, id_col, text_col, keep)
-    dropped = found.where(~F.col("kept")).select(F.col("row").alias("__row"))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(dropped, "__row", "left_anti").drop("__row")
+    """The rows of ``docs`` that stay, all columns."""
+    rows = numbered(docs, "numbered")
+    found = _duplicates(rows.select("row", F.col(f"own.`{id_col}`").alias("id"), F.col(f"own.`{text_col}`").alias("text")), keep)
+    return rows.join(found.where(~F.col("kept")).select("row"), "row", "left_anti").select("own.*")
 
 
 def op5_tree_merge(spark: SparkSession, sf_dir: str) -> DataFrame:

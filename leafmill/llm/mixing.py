@@ -1,7 +1,10 @@
 """Mixing towards target weights with soft domains and projected-gradient least squares.
 
 A Gaussian naive Bayes classifier, fitted on the labelled rows by one aggregation, gives every document its
-probabilities over the domains ``good``, ``poor`` and ``toxic``. Document rates ``r >= 0`` then solve
+probabilities over the domains ``good``, ``poor`` and ``toxic``. Among its measures is the evidence of the words:
+one part of the labelled rows, by a hash of the id, yields the word beginnings that stand out in a domain, with
+their log-odds in whole steps; a text's evidence is the sum of the steps of those that it holds. The other part
+fits the classifier. Document rates ``r >= 0`` then solve
 
     min over r of  1/2 * sum over domains d of (sum over documents i of r_i * t_i * p_id  -  target_d) ** 2
 
@@ -19,14 +22,21 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from leafmill.llm.common import SPACE, documents, read_table, staged, text_of
+from leafmill.llm.common import SPACE, documents, numbered, read_table, staged, text_of
 
 DOMAINS = ["good", "poor", "toxic"]
 #: Shares of all tokens.
 TARGETS = {"good": 0.9, "poor": 0.09, "toxic": 0.01}
-MEASURES = ["length", "word_length", "symbols", "capitals", "marks", "new_words", "new_lines", "rude"]
-#: Words that speak for a toxic text; fixed values.
-RUDE = "idiot|stupid|moron|loser|scum|trash|clown|pathetic|disgusting|worthless"
+#: Domains whose words are learned, and the domains that they are told from.
+EVIDENCE = {"poor": ["good"], "toxic": ["good", "poor"]}
+MEASURES = ["length", "word_length", "symbols", "capitals", "marks", "new_words", "new_lines", *[f"{d}_words" for d in EVIDENCE]]
+#: Letters of a word beginning; labelled rows that words are learned from, at most about; word beginnings of a domain.
+BEGINNING = 5
+SAMPLE = 24_000
+ENTRIES = 1_000
+#: A word beginning counts when so many texts of its domain hold it, at log-odds of one or more, in steps up to STEP.
+LEAST_TEXTS = 5
+STEP = 4
 STEPS = 60
 WRITE_EVERY = 10
 CLOSE = 1e-6
@@ -37,13 +47,62 @@ def domain() -> Column:
     return F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").when((F.col("quality") == 0) & (F.col("toxic") == 0), "poor")
 
 
-def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, row, tokens and the measures of every text; a null text is empty."""
-    read = docs.select(F.col(f"`{id_col}`").alias("id"), F.monotonically_increasing_id().alias("row"), text_of(text_col).alias("t"))
-    read = read.withColumn("words", F.filter(F.split("t", SPACE), lambda w: F.length(w) > 0)).withColumn("lines", F.split("t", "\n"))
+def beginnings() -> Column:
+    """The different beginnings of the ``words`` of a text."""
+    return F.array_distinct(F.transform("words", lambda w: F.substring(F.lower(w), 1, BEGINNING)))
+
+
+def with_words(rows: DataFrame) -> DataFrame:
+    """Rows (row, id, text) with ``t``, a null text being empty, and its ``words``."""
+    read = rows.select("id", "row", text_of("text").alias("t"))
+    return read.withColumn("words", F.filter(F.split("t", SPACE), lambda w: F.length(w) > 0))
+
+
+def domains_of(labels: DataFrame) -> DataFrame:
+    """(id, domain, learns) of labelled ids; of a repeated id the last domain in alphabetical order counts."""
+    named = labels.select(F.col("doc_id").alias("id"), domain().alias("domain")).where("id is not null and domain is not null")
+    return named.groupBy("id").agg(F.max("domain").alias("domain")).withColumn("learns", F.pmod(F.xxhash64(F.lit("words"), "id"), F.lit(2)) == 0)
+
+
+def evidence(rows: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict[str, list[list[str]]]:
+    """For each domain of ``EVIDENCE`` the word beginnings of every step of log-odds, one and up.
+
+    From at most about ``sample`` labelled rows, picked by hash, so that their ids may be broadcast.
+    """
+    known = domains_of(labels).where("learns")
+    n = known.count()
+    share = min(1.0, sample / n) if n else 0.0
+    picked = known.where(F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    picked = F.broadcast(picked.select("id", "domain"))
+    marked = with_words(rows.join(picked, "id", "left_semi")).join(picked, "id").select("domain", beginnings().alias("parts"))
+    marked = staged(marked, "labelled-words")
+    totals = {r["domain"]: r["n"] for r in marked.groupBy("domain").agg(F.count("*").alias("n")).collect()}
+    counts = marked.select("domain", F.explode("parts").alias("part")).groupBy("part").agg(*[F.count_if(F.col("domain") == d).alias(d) for d in DOMAINS])
+    counts = staged(counts.where(" OR ".join(f"{d} >= {LEAST_TEXTS}" for d in EVIDENCE)), "word-beginnings")
+    out = {}
+    for name, others in EVIDENCE.items():
+        inside = (F.col(name) + 0.5) / (totals.get(name, 0) + 1.0)
+        outside = (sum((F.col(o) for o in others), F.lit(0)) + 0.5) / (sum(totals.get(o, 0) for o in others) + 1.0)
+        odds = F.log(inside / outside)
+        found = counts.where((F.col(name) >= LEAST_TEXTS) & (odds >= 1)).select("part", F.least(F.floor(odds), F.lit(STEP)).cast("int").alias("step"), (odds * F.sqrt(name)).alias("weight"))
+        steps: list[list[str]] = [[] for _ in range(STEP)]
+        for part, step, _ in found.orderBy(F.desc("weight"), "part").limit(ENTRIES).collect():
+            steps[step - 1].append(part)
+        out[name] = [sorted(parts) for parts in steps]
+    return out
+
+
+def measured(rows: DataFrame, words: dict[str, list[list[str]]]) -> DataFrame:
+    """id, row, tokens and the measures of every text of ``rows`` (row, id, text)."""
+    read = with_words(rows).withColumn("lines", F.split("t", "\n")).withColumn("parts", beginnings())
     n, size = F.size("words"), F.length("t")
     share = lambda x, of: F.coalesce(x / F.when(of > 0, of), F.lit(0.0)).cast("double")
     without = lambda pattern: size - F.length(F.regexp_replace("t", pattern, ""))
+
+    def spoken(steps: list[list[str]]) -> Column:
+        hits = [F.size(F.array_intersect("parts", F.array(*[F.lit(p) for p in parts]))) * (i + 1) for i, parts in enumerate(steps) if parts]
+        return F.log1p(sum(hits, F.lit(0)).cast("double"))
+
     return read.select(
         "id",
         "row",
@@ -55,16 +114,17 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.sqrt(share(without("[.,;:!?]+"), size)).alias("marks"),
         share(F.size(F.array_distinct("words")), n).alias("new_words"),
         share(F.size(F.array_distinct("lines")), F.size("lines")).alias("new_lines"),
-        F.when(F.lower("t").rlike(rf"\b(?:{RUDE})\b"), 1.0).otherwise(0.0).alias("rude"),
+        *[spoken(words[d]).alias(f"{d}_words") for d in EVIDENCE],
     )
 
 
 def fitted(table: DataFrame, labels: DataFrame) -> dict[str, tuple[float, list[tuple[float, float]]]]:
-    """Prior and (mean, variance) of every measure by domain, from the labelled rows; a table of fixed size."""
-    marked = labels.select("doc_id", domain().alias("domain")).where("doc_id is not null and domain is not null").groupBy("doc_id").agg(F.max("domain").alias("domain"))
-    known = table.join(marked.withColumnRenamed("doc_id", "id"), "id")
+    """Prior and (mean, variance) of every measure by domain, from the labelled rows that no words were learned from."""
+    known = table.join(domains_of(labels), "id")
     sums = [f for m in MEASURES for f in (F.avg(m).alias(f"mean_{m}"), F.var_pop(m).alias(f"var_{m}"))]
-    rows = known.groupBy("domain").agg(F.count("*").alias("n"), *sums).collect()
+    rows = known.where("NOT learns").groupBy("domain").agg(F.count("*").alias("n"), *sums).collect()
+    if len(rows) < known.select("domain").distinct().count():  # too few labels to keep the parts separate
+        rows = known.groupBy("domain").agg(F.count("*").alias("n"), *sums).collect()
     total = sum(r["n"] for r in rows)
     return {r["domain"]: (r["n"] / total, [(r[f"mean_{m}"], max(r[f"var_{m}"], 1e-4)) for m in MEASURES]) for r in rows}
 
@@ -152,9 +212,16 @@ def mixed(
     domains are upper bounds: none is raised above what it has now, and ``rest`` gets what is left. ``copies`` is the rate rounded up or down by
     a hash of the id, so that copies add up to rates: 0 drops a document, 2 doubles it. Ids may be null or
     repeated. Texts without words have rates like any other. Without labels all domains are equally likely.
-    An empty table gives an empty result. ``row`` is the position of a row in ``docs``, a table as read.
+    An empty table gives an empty result. ``row`` numbers the rows of the result; a second scan of ``docs`` need
+    not number them alike.
     """
-    table = staged(measured(docs, id_col, text_col), "measures")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    return _mixed(rows, labels, targets, size, rest)
+
+
+def _mixed(rows: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, size: float = 1.0, rest: str | None = None) -> DataFrame:
+    """``mixed`` of rows (row, id, text) that are numbered already."""
+    table = staged(measured(rows, evidence(rows, labels)), "measures")
     soft = posteriors(table, fitted(table, labels)).select("id", "row", "tokens", *[F.col("p")[d].alias(f"p{d}") for d in range(len(DOMAINS))])
     soft = staged(soft, "posteriors")
     tokens = soft.agg(F.sum("tokens")).first()[0] or 0
@@ -171,10 +238,12 @@ def mixed(
     )
 
 
-def remixed(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+def remixed(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs``, each as many times as its rate says, all columns."""
-    copies = mixed(docs, labels, **options).where("copies > 0").select(F.col("row").alias("__row"), F.explode(F.sequence(F.lit(1), "copies")).alias("__copy"))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(copies, "__row").drop("__row", "__copy")
+    rows = numbered(docs, "numbered")
+    found = _mixed(rows.select("row", F.col(f"own.`{id_col}`").alias("id"), F.col(f"own.`{text_col}`").alias("text")), labels, **options)
+    copies = found.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
+    return rows.join(copies, "row").select("own.*")
 
 
 def op3_soft_membership(spark: SparkSession, sf_dir: str) -> DataFrame:

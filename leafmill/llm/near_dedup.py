@@ -14,7 +14,12 @@ they are aligned. Links that hold up are joined into classes.
 Where the other texts of a bucket are still of several classes, each is compared with all those of another
 class inside tasks, in blocks of bounded size: common k-mers are counted, and pairs that have enough of them
 are aligned. A pair is looked at in one of the buckets that it shares. Links join classes at once, so that a
-block gives at most one link a class, and no two texts of a bucket are left apart that are similar.
+block gives at most one link a class.
+
+A bucket that would need many blocks (a page template puts unrelated texts into one) is not paired out either.
+Its texts meet by their rarest k-mers instead: two texts of similarity ``s`` share one among the ``n - s * n + 1``
+first of each, under any one order of all k-mers, here from rare to frequent. Pairs that share such a k-mer pass
+the estimate with ``WIDE`` deviations, then they are aligned.
 
 Similarity: common k-mers of the best alignment over all k-mers of both texts (the order-respecting Jaccard
 index of occurrence-labelled shingles). A match of ``s`` needs few insertions and deletions, which bounds how
@@ -29,7 +34,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leafmill.llm.common import documents, partitions, staged
+from leafmill.llm.common import documents, numbered, partitions, staged
 from leafmill.llm.components import components
 from leafmill.llm.substring import mix, powers, rolled, word_hashes
 
@@ -42,6 +47,14 @@ BINS = 128
 #: Texts compared with each other in one go, and their words.
 BLOCK = 2048
 BLOCK_WORDS = 1 << 20
+#: Meetings of blocks from which on a bucket's texts meet by their rarest k-mers, and texts that may share one of those.
+MEETINGS = 8
+FEW = 64
+#: Deviations below the similarity that the estimate lets through: of hubs, whose refused pairs meet again, and of others.
+NARROW, WIDE = 4, 6
+#: Cells in which the frequency of k-mers is counted, and how often a task has met one that it reports.
+CELLS = 1 << 20
+REPORTED = 4
 _SALTS = np.random.Generator(np.random.PCG64(577)).integers(1, 1 << 63, size=256, dtype=np.uint64)
 
 
@@ -95,6 +108,37 @@ def kmers_of(hashes: np.ndarray, k: int = K) -> np.ndarray:
     return rolled(hashes, min(k, len(hashes)), 0x0DD)
 
 
+def kmers_of_text(text: str | None) -> np.ndarray:
+    """Occurrence-labelled k-mers of a text with words, in text order."""
+    data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)
+    return labelled_kmers(kmers_of(word_hashes(data, np.array([0, len(data)]))[1]))
+
+
+def cell_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """How many k-mers of a task fall in each cell, of the cells with ``REPORTED`` or more."""
+    counts = np.zeros(CELLS, dtype=np.int64)
+    for batch in batches:
+        for text in batch["text"]:
+            counts += np.bincount((kmers_of_text(text) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
+    cells = np.flatnonzero(counts >= REPORTED)
+    yield pd.DataFrame({"cell": cells, "met": counts[cells]})
+
+
+def rarest(batches: Iterator[pd.DataFrame], weights: np.ndarray, least: float) -> Iterator[pd.DataFrame]:
+    """The k-mers by which each text meets others: as many of the rarest as leave fewer than a similar text shares."""
+    for batch in batches:
+        kmers, places = [], []
+        for i, text in enumerate(batch["text"]):
+            own = kmers_of_text(text)
+            taken = len(own) - math.ceil(least * len(own) - 1e-9) + 1
+            order = np.lexsort((own, weights[(own & np.uint64(CELLS - 1)).astype(np.int64)]))[:taken]
+            kmers.append(own[order].view(np.int64))
+            places.append(np.full(len(order), i))
+        if kmers:
+            at = np.concatenate(places)
+            yield pd.DataFrame({"kmer": np.concatenate(kmers), **{c: batch[c].to_numpy()[at] for c in ("row", "n", "class")}})
+
+
 def sequence_digest(hashes: np.ndarray) -> tuple[int, int]:
     """128 bits of a whole word sequence."""
     if not len(hashes):
@@ -163,24 +207,24 @@ def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
     return common(x, y, both - 2 * need) >= need
 
 
-def limits(filled: np.ndarray, sizes: np.ndarray, least: float) -> np.ndarray:
-    """Common bins that a pair with so many filled ones needs: four deviations below the similarity.
+def limits(filled: np.ndarray, sizes: np.ndarray, least: float, deviations: float = NARROW) -> np.ndarray:
+    """Common bins that a pair with so many filled ones needs: some deviations below the similarity.
 
     ``sizes``: k-mers of both texts together. The filled bins are a draw without repetition from the k-mers
     of both, of which a pair just similar enough has ``sizes / (1 + least)``.
     """
     union = np.maximum(sizes / (1 + least), 2.0)
     drawn = np.clip((union - filled) / (union - 1), 0.0, 1.0)
-    return least * filled - 4 * np.sqrt(least * (1 - least) * filled * drawn) - 1.0
+    return least * filled - deviations * np.sqrt(least * (1 - least) * filled * drawn) - 1.0
 
 
-def plausible(batches: Iterator[pd.DataFrame], least: float) -> Iterator[pd.DataFrame]:
+def plausible(batches: Iterator[pd.DataFrame], least: float, deviations: float) -> Iterator[pd.DataFrame]:
     """Pairs whose estimate allows the similarity."""
     for batch in batches:
         if len(batch):
             a, b = (np.frombuffer(b"".join(batch[c]), dtype=np.uint8).reshape(-1, BINS) for c in ("bins_u", "bins_v"))
             filled = ((a > 0) | (b > 0)).sum(axis=1)
-            need = limits(filled, (batch["n_u"] + batch["n_v"]).to_numpy(), least)
+            need = limits(filled, (batch["n_u"] + batch["n_v"]).to_numpy(), least, deviations)
             yield batch.loc[((a == b) & (a > 0)).sum(axis=1) >= need, ["u", "v"]]
 
 
@@ -223,10 +267,7 @@ def block_links(batches: Iterator[pd.DataFrame], least: float) -> Iterator[pd.Da
         sketch = np.stack(group["sketch"].to_numpy())
         at, c = group["at"].iloc[0], group["c"].iloc[0]
         within = group["low"].iloc[0] == group["high"].iloc[0]
-        kmers = []
-        for text in texts:
-            data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)
-            kmers.append(labelled_kmers(kmers_of(word_hashes(data, np.array([0, len(data)]))[1])))
+        kmers = [kmers_of_text(text) for text in texts]
         sizes = np.array([len(k) for k in kmers])
         starts = np.cumsum(sizes) - sizes
         known, ids = np.unique(np.concatenate(kmers), return_inverse=True)
@@ -236,7 +277,8 @@ def block_links(batches: Iterator[pd.DataFrame], least: float) -> Iterator[pd.Da
             others = np.arange(k + 1, len(texts))
             fits = (label[others] != label[k]) & (np.minimum(n[k], n[others]) >= least * np.maximum(n[k], n[others]))
             # A pair is looked at for its first common sketch, in the bucket of the larger size class.
-            fits &= np.maximum(size_classes[k], size_classes[others]) == c
+            if c >= 0:
+                fits &= np.maximum(size_classes[k], size_classes[others]) == c
             others = others[fits if within else fits & (own[others] != own[k])]
             others = others[~(sketch[others, :at] == sketch[k, :at]).any(axis=1)]
             if not len(others):
@@ -308,6 +350,17 @@ def class_links(rest: DataFrame, signatures: DataFrame, own: DataFrame, least: f
 
     The texts of a bucket's largest class meet those of the others only, and these meet all.
     """
+    sized = staged(with_blocks(rest).withColumn("crowded", F.col("more") * (F.col("first") + F.col("more")) > MEETINGS), "blocks")
+    found = block_meetings(sized.where("NOT crowded"), signatures, own, least)
+    crowded = sized.where("crowded")
+    if crowded.isEmpty():
+        return found
+    texts = crowded.select("row", "n", "class").distinct()
+    return found.unionByName(rarest_links(staged(texts.join(own, "row"), "crowded-texts"), signatures, own, least))
+
+
+def with_blocks(rest: DataFrame) -> DataFrame:
+    """Members of buckets with more than one class, with the largest class and the numbers of blocks of it and of the others."""
     by_class = rest.groupBy("bucket", "class").agg(F.count("*").alias("texts"), F.sum("n").alias("words"))
     of = by_class.groupBy("bucket").agg(
         F.max(F.struct("words", "texts", "class")).alias("largest"), F.sum("texts").alias("texts"), F.sum("words").alias("words"), F.count("*").alias("classes")
@@ -317,7 +370,12 @@ def class_links(rest: DataFrame, signatures: DataFrame, own: DataFrame, least: f
         "bucket", F.col("largest.class").alias("largest"), blocks(F.col("largest.texts"), F.col("largest.words")).alias("first"),
         blocks(F.col("texts") - F.col("largest.texts"), F.col("words") - F.col("largest.words")).alias("more"),
     )
-    sized = rest.join(of, "bucket").withColumn("outside", F.col("class") != F.col("largest"))
+    return rest.join(of, "bucket")
+
+
+def block_meetings(sized: DataFrame, signatures: DataFrame, own: DataFrame, least: float) -> DataFrame:
+    """``class_links`` of buckets with blocks."""
+    sized = sized.withColumn("outside", F.col("class") != F.col("largest"))
     # Blocks of the largest class come first. A meeting of blocks is named (low, high).
     dealt = F.when(F.col("outside"), F.col("first") + F.pmod(F.xxhash64("row"), F.col("more"))).otherwise(F.pmod(F.xxhash64("row"), F.col("first")))
     meets = F.sequence(F.when(F.col("outside"), F.lit(0).cast("long")).otherwise(F.col("first")), F.col("first") + F.col("more") - 1)
@@ -327,53 +385,82 @@ def class_links(rest: DataFrame, signatures: DataFrame, own: DataFrame, least: f
     )
     met = staged(met, "meetings")
     full = met.join(signatures.select("row", "sketch"), "row").join(own, "row")
-    n = partitions(rest.sparkSession)
+    n = partitions(sized.sparkSession)
     ordered = full.repartition(n, "bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
     return ordered.mapInPandas(lambda batches: block_links(batches, least), "u long, v long")
 
 
+def rarest_links(texts: DataFrame, signatures: DataFrame, own: DataFrame, least: float) -> DataFrame:
+    """Pairs of classes (u, v) with similar texts; ``texts`` (row, n, class, text) is written already."""
+    cells = texts.select("text").mapInPandas(cell_counts, "cell long, met long").groupBy("cell").agg(F.sum("met").alias("met"))
+    # At most ``CELLS`` rows. Any weights give all links; good ones make few pairs.
+    weights = np.zeros(CELLS, dtype=np.uint8)
+    for cell, met in cells.collect():
+        weights[cell] = int(met).bit_length()
+    shared = texts.sparkSession.sparkContext.broadcast(weights)
+    marks = texts.mapInPandas(lambda batches: rarest(batches, shared.value, least), "kmer long, row long, n int, class long")
+    marks = staged(marks, "rarest")
+    of = marks.groupBy("kmer").agg(F.count("*").alias("texts"), F.min("class").alias("a"), F.max("class").alias("b")).where("a < b")
+    of = staged(of.select("kmer", "texts"), "shared-rarest")
+    few = marks.join(of.where(F.col("texts") <= FEW).select("kmer"), "kmer")
+    left, right = (few.withColumnsRenamed({"row": r, "n": f"n_{r}", "class": f"class_{r}"}) for r in "uv")
+    fits = (F.col("u") < F.col("v")) & (F.col("class_u") != F.col("class_v")) & (F.least("n_u", "n_v") >= F.lit(least) * F.greatest("n_u", "n_v"))
+    pairs = staged(left.join(right, "kmer").where(fits).select("u", "v", "class_u", "class_v").distinct(), "pairs")
+    likely = staged(estimated(pairs.select("u", "v"), signatures, least, WIDE), "likely")
+    found = aligned(likely, own, least).join(pairs, ["u", "v"]).select(F.col("class_u").alias("u"), F.col("class_v").alias("v")).distinct()
+    many = marks.join(of.where(F.col("texts") > FEW).select("kmer"), "kmer")
+    if many.isEmpty():
+        return found
+    rest = many.withColumnRenamed("kmer", "bucket").withColumns({"at": F.lit(0), "c": F.lit(-1).cast("long")})
+    return found.unionByName(block_meetings(with_blocks(rest), signatures, own, least))
+
+
+def estimated(pairs: DataFrame, signatures: DataFrame, least: float, deviations: float) -> DataFrame:
+    """Pairs (u, v) whose estimate allows the similarity."""
+    bins = signatures.select("row", "bins", "n")
+    both = pairs.join(bins.withColumnsRenamed({"row": "u", "bins": "bins_u", "n": "n_u"}), "u").join(
+        bins.withColumnsRenamed({"row": "v", "bins": "bins_v", "n": "n_v"}), "v"
+    )
+    return both.mapInPandas(lambda batches: plausible(batches, least, deviations), "u long, v long")
+
+
+def aligned(likely: DataFrame, own: DataFrame, least: float) -> DataFrame:
+    """Pairs (u, v) whose texts are similar by their alignment."""
+    found = (
+        likely.join(own.withColumnsRenamed({"row": "u", "text": "text_u"}), "u")
+        .join(own.withColumnsRenamed({"row": "v", "text": "text_v"}), "v")
+        .mapInPandas(lambda batches: verified(batches, least), "u long, v long")
+    )
+    return staged(found, "links")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
     """Columns id, row, class_row, class_id, class_size, kept: one row per row of ``docs``.
 
     ``class_id`` is the smallest id of the class, nulls last; ``kept`` is true for one row of a class, the
     first with that id. Words are runs of anything but ASCII white space. A null text is empty; texts
-    without words are copies of each other. A text of fewer than five words is one shingle. ``row`` is the
-    position of a row in ``docs``, which is a table as read. An empty table gives an empty result.
+    without words are copies of each other. A text of fewer than five words is one shingle. ``row`` numbers the
+    rows of the result; a second scan of ``docs`` need not number them alike. An empty table gives an empty result.
     """
-    numbered = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")
-    )
+    return _near(numbered(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), "numbered"), "id", "text", least)
+
+
+def _near(rows: DataFrame, id_col: str, text_col: str, least: float) -> DataFrame:
+    """``near_duplicates`` of written rows (row, own)."""
+    texts = rows.select("row", F.col(f"own.`{id_col}`").cast("long").alias("id"), F.col(f"own.`{text_col}`").cast("string").alias("text"))
     schema = "row long, id long, d1 long, d2 long, n int, sketch array<long>, bins binary"
-    signatures = staged(numbered.mapInPandas(signed, schema), "sketches")
-    texts = signatures.groupBy("d1", "d2").agg(F.min("row").alias("first"))
-    copies = staged(signatures.join(texts, ["d1", "d2"]).select("row", "id", "n", "first"), "copies")
+    signatures = staged(texts.mapInPandas(signed, schema), "sketches")
+    firsts = signatures.groupBy("d1", "d2").agg(F.min("row").alias("first"))
+    copies = staged(signatures.join(firsts, ["d1", "d2"]).select("row", "id", "n", "first"), "copies")
     once = signatures.join(copies.where("row = first").select("row"), "row", "left_semi")
     members = staged(bucket_members(once, least), "buckets")
-    own, bins = numbered.select("row", "text"), signatures.select("row", "bins", "n")
-
-    def estimated(pairs: DataFrame) -> DataFrame:
-        """Pairs (u, v) whose estimate allows the similarity."""
-        both = pairs.join(bins.withColumnsRenamed({"row": "u", "bins": "bins_u", "n": "n_u"}), "u").join(
-            bins.withColumnsRenamed({"row": "v", "bins": "bins_v", "n": "n_v"}), "v"
-        )
-        return both.mapInPandas(lambda batches: plausible(batches, least), "u long, v long")
-
-    def links(likely: DataFrame) -> DataFrame:
-        """Pairs (u, v) whose texts are similar by their alignment."""
-        aligned = (
-            likely.join(own.withColumnsRenamed({"row": "u", "text": "text_u"}), "u")
-            .join(own.withColumnsRenamed({"row": "v", "text": "text_v"}), "v")
-            .mapInPandas(lambda batches: verified(batches, least), "u long, v long")
-        )
-        return staged(aligned, "links")
-
+    own = texts.select("row", "text")
     pairs = staged(pivot_pairs(members, least), "pairs")
     asked = staged(pairs.where("fits").select("u", "v").distinct(), "asked")
-    found = links(staged(estimated(asked), "likely"))
+    found = aligned(staged(estimated(asked, signatures, least, NARROW), "likely"), own, least)
     joined = components(found).withColumnsRenamed({"node": "row", "component": "class"})
-    # All but the hubs of a bucket, which have met everything in it.
-    rest = members.join(pairs.select("bucket", F.col("pivot").alias("row")).distinct(), ["bucket", "row"], "left_anti")
-    rest = staged(rest.join(joined, "row", "left").withColumn("class", F.coalesce("class", "row")), "others")
+    # Hubs too: a pair of theirs that only the estimate refused is compared by its k-mers now.
+    rest = staged(members.join(joined, "row", "left").withColumn("class", F.coalesce("class", "row")), "others")
     again = components(staged(class_links(rest, signatures, own, least), "links")).withColumnRenamed("node", "class")
     classes = copies.join(joined.withColumnRenamed("row", "first"), "first", "left").withColumn("class", F.coalesce("class", "first"))
     classes = staged(classes.join(again, "class", "left").select("row", "id", F.coalesce("component", "class").alias("class_row")), "classes")
@@ -386,8 +473,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` that stay, all columns: one of each class."""
-    dropped = near_duplicates(docs, id_col, text_col, least).where(~F.col("kept")).select(F.col("row").alias("__row"))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(dropped, "__row", "left_anti").drop("__row")
+    rows = numbered(docs, "numbered")
+    dropped = _near(rows, id_col, text_col, least).where(~F.col("kept")).select("row")
+    return rows.join(dropped, "row", "left_anti").select("own.*")
 
 
 def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,9 +7,9 @@ belongs to the N best paths and yields them best first.
 
 Where no piece holds two neighbouring characters, every path has a border between them. The lattice falls
 into parts there (at the ends of words and lines and at ASCII punctuation). A part's best and the cost of its
-second best are remembered (a bounded cache per worker). The N best of a text differ from its best in the few
-parts whose second best costs least: all but ``N - 1`` parts keep their best, and a best-first search runs
-over the N best of those.
+second best come from one forward pass and are remembered (a cache per worker, bounded by bytes). The N best of a
+text differ from its best in the few parts whose second best costs least: all but ``N - 1`` parts keep their best,
+and the backward search runs for the N best of those only.
 
 Encoding follows the model file: a blank becomes U+2581, one is put in front, nothing else is normalised; a
 character without a piece is spelled in bytes, at the model's lowest score less ``UNKNOWN``.
@@ -37,8 +37,15 @@ BLANK = "▁"
 UNKNOWN = 10.0
 BEST = 3
 NEVER = float("inf")
-#: Parts remembered by a worker in each of two generations; the older one is dropped when the younger is full.
-REMEMBERED = 600_000
+#: Score of a place that no path reaches, and a cost that only such a place can have.
+NEVER_REACHED = -1e300
+LOST = 1e200
+#: Bytes of parts remembered by a worker in each of two generations; the older one is dropped when the younger is full.
+CACHE_BYTES = 48 << 20
+#: What Python adds to an entry: the string, the tuple, the packed ids, two numbers and a place in the table.
+ENTRY_BYTES = 300
+#: Longer parts are never remembered.
+LONG = 64
 
 #: Cuts that no piece crosses: before blanks, around line ends, and around runs of punctuation after other characters.
 _MARKS = re.escape(string.punctuation)
@@ -60,6 +67,7 @@ class Pieces:
     plain: bool = False
     young: dict[str, tuple] = field(default_factory=dict)
     old: dict[str, tuple] = field(default_factory=dict)
+    young_bytes: int = 0
 
     alone: frozenset[str] = frozenset()
     automaton: ahocorasick.Automaton | None = None
@@ -180,16 +188,47 @@ def combined(lists: list[list[tuple]], best: int) -> list[tuple[float, tuple[int
     return found
 
 
-def best_of_part(part: str, pieces: Pieces, best: int) -> tuple[float, bytes, float]:
-    """(cost of the second best, packed ids of the best, its score) of a part; remembers it."""
-    entry = pieces.old.get(part)
-    if entry is None:
-        found = search(part, pieces, min(best, 2))
-        cost = found[0][0] - found[1][0] if len(found) > 1 else NEVER
-        entry = (cost, found[0][1], found[0][0])
-    if len(pieces.young) >= REMEMBERED:
-        pieces.old, pieces.young = pieces.young, {}
-    pieces.young[part] = entry
+def two_best(part: str, pieces: Pieces) -> tuple[float, bytes, float]:
+    """(cost of the second best, packed ids of the best, its score) of a part, by one forward pass over its edges."""
+    n = len(part)
+    if pieces.alone.issuperset(part):
+        edges = pieces.matcher().iter(part)
+    else:
+        into, _ = lattice(part, pieces)
+        edges = ((end - 1, (end - start, ids, score)) for end in range(1, n + 1) for start, ids, score in into[end])
+    first, second, back = [NEVER_REACHED] * (n + 1), [NEVER_REACHED] * (n + 1), [None] * (n + 1)
+    first[0] = 0.0
+    for last, (size, ids, score) in edges:
+        end = last + 1
+        start = end - size
+        now, top = first[start] + score, first[end]
+        if now > top:
+            other = second[start] + score
+            second[end] = top if top > other else other
+            first[end] = now
+            back[end] = (start, ids)
+        elif now > second[end]:
+            second[end] = now
+    spelled, at = [], n
+    while at:
+        at, ids = back[at]
+        spelled.append(ids)
+    spelled.reverse()
+    cost = first[n] - second[n]
+    return cost if cost < LOST else NEVER, b"".join(spelled), first[n]
+
+
+def best_of_part(part: str, pieces: Pieces) -> tuple[float, bytes, float]:
+    """``two_best`` of a part; remembers it unless it is long."""
+    entry = pieces.young.get(part)
+    if entry is not None:
+        return entry
+    entry = pieces.old.get(part) or two_best(part, pieces)
+    if len(part) <= LONG:
+        if pieces.young_bytes >= CACHE_BYTES:
+            pieces.old, pieces.young, pieces.young_bytes = pieces.young, {}, 0
+        pieces.young[part] = entry
+        pieces.young_bytes += ENTRY_BYTES + 2 * len(part)
     return entry
 
 
@@ -202,18 +241,18 @@ def encode(text: str, pieces: Pieces, best: int = BEST) -> list[tuple[float, byt
     cuts = _PARTS if plain or not any(map(normal.__contains__, pieces.crossing)) else _WORDS
     get = pieces.young.get
     texts = cuts.findall(normal)
-    parts = [get(p) or best_of_part(p, pieces, best) for p in texts]
+    parts = [get(p) or best_of_part(p, pieces) for p in texts]
     packed = [p[1] for p in parts]
     score = sum([p[2] for p in parts])
-    found = [(score, b"".join(packed))]
     if best == 1:
-        return found
+        return [(score, b"".join(packed))]
     costs = np.array([p[0] for p in parts])
     near = _smallest(costs, best - 1) if len(costs) >= best else np.arange(len(costs))
     open_parts = sorted(int(i) for i in near if costs[i] < NEVER)
     choices = [search(texts[i], pieces, best) for i in open_parts]
     base = sum(c[0][0] for c in choices)
-    for total, at in combined(choices, best)[1:]:
+    found = []
+    for total, at in combined(choices, best):
         for i, entries, k in zip(open_parts, choices, at):
             packed[i] = entries[k][1]
         found.append((score + (total - base), b"".join(packed)))

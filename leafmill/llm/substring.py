@@ -31,9 +31,11 @@ DEPTH = 2
 MOST_BITS = 29
 LEAST_BITS = 20
 BLOCK_BITS = 20
-PIECE = 1 << 20
-#: Windows a task gathers before it sends them on.
-UNIT = 1 << 21
+#: Bytes of text hashed at a time.
+PIECE = 1 << 18
+#: Windows a task gathers before it sends on their cells, and windows that pass the sketch before it sends those on.
+UNIT = 1 << 19
+HITS = 1 << 19
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -212,18 +214,22 @@ def sketch_parts(size: int, bits: int):
         for h, owner in units(owned(batches)):
             order = np.argsort(h, kind="stable")
             h, owner = h[order], owner[order]
+            del order
             new = np.ones(len(h), dtype=bool)
             new[1:] = h[1:] != h[:-1]
             other = np.zeros(len(h), dtype=bool)
             other[1:] = ~new[1:] & (owner[1:] != owner[:-1])
             shared = np.unique(h[other])
             h = h[new]
+            del owner, new, other
             out = []
             for row in range(DEPTH):
-                cells = np.sort(cells_of(h, row, bits)).astype(np.int64)
-                twice = cells[1:][cells[1:] == cells[:-1]]
-                twice = np.union1d(twice, cells_of(shared, row, bits).astype(np.int64))
-                cells = np.unique(cells)
+                cells = cells_of(h, row, bits).view(np.int64)
+                cells.sort()
+                again = np.zeros(len(cells), dtype=bool)
+                again[1:] = cells[1:] == cells[:-1]
+                twice = np.union1d(cells[again], cells_of(shared, row, bits).view(np.int64))
+                cells = cells[~again]
                 for block in range(1 << max(0, bits - BLOCK_BITS)):
                     low, high = block << BLOCK_BITS, (block + 1) << BLOCK_BITS
                     a, b = np.searchsorted(cells, (low, high))
@@ -305,7 +311,7 @@ def estimated_repeats(size: int, bits: int, shared):
         return pa.RecordBatch.from_arrays([*columns, pa.array(sure, pa.binary())], names=["h1", "h2", "id", "place", "sure"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h1, h2, owner, place in units(hits(batches), UNIT >> 2):
+        for h1, h2, owner, place in units(hits(batches), HITS):
             order = np.lexsort((place, owner, h2, h1))
             h1, h2, owner, place = h1[order], h2[order], owner[order], place[order]
             new = np.ones(len(h1), dtype=bool)

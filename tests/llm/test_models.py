@@ -190,11 +190,27 @@ def test_segmented(spark):
 
 
 def test_memory_of_parts_is_bounded(monkeypatch):
-    monkeypatch.setattr(nbest, "REMEMBERED", 5)
+    monkeypatch.setattr(nbest, "CACHE_BYTES", 1500)
     pieces, fresh = nbest.load(), nbest.load()
-    for text in ["some words that do not fit", "into so small a memory", "some words that do not fit"]:
+    long = "z" * 3000
+    for text in ["some words that do not fit", "into so small a memory", "some words that do not fit", f"a {long} b"]:
         assert nbest.encode(text, pieces) == nbest.encode(text, fresh)
-        assert len(pieces.young) <= 5 and len(pieces.old) <= 5
+        assert pieces.young_bytes <= 1500 + nbest.ENTRY_BYTES + 2 * nbest.LONG
+        assert len(pieces.young) <= 6 and len(pieces.old) <= 6
+    assert not any(len(p) > nbest.LONG for p in (*pieces.young, *pieces.old))
+
+
+def test_two_best_of_parts():
+    """One forward pass gives the best and the cost of the second best that the search finds."""
+    pieces, rng = nbest.load(), random.Random(12)
+    for _ in range(400):
+        part = "▁" * rng.randrange(2) + "".join(rng.choice(["a", "th", "e", "ing", "é", "日", "q", "1", "s"]) for _ in range(rng.randrange(1, 9)))
+        found = nbest.search(part, pieces, 2)
+        cost, ids, score = nbest.two_best(part, pieces)
+        assert score == pytest.approx(found[0][0])
+        assert cost == (pytest.approx(found[0][0] - found[1][0], abs=1e-9) if len(found) > 1 else nbest.NEVER)
+        if cost > 1e-9:
+            assert ids == found[0][1]
 
 
 def test_pipeline(spark, new_folder):
