@@ -1,15 +1,18 @@
 """Exact duplicates by a tree of merges over sorted digest runs.
 
-Every input partition yields one run: its rows by digest. In each round ``2 ** round_bits`` neighbouring
-runs meet under one parent and merge; equal digests whose check values agree (SHA-256 and byte length)
-become one entry with the identifier that stays and the number of rows. The root runs hold one entry per
-text. Going down again, only entries with more than one row travel, one per child run, so that a text
-with a third of all rows never gathers them: a run hands on one entry whatever its number of copies.
+Every input partition yields one run: its rows by digest. In each round ``2 ** round_bits`` runs whose numbers
+differ in the same bits exchange entries: those bits of a run's number are replaced by the same bits of the
+entry's digest, so that each of the partners gets one share of the digests from all of them. The shares are sorted
+and merged in one task per partition of runs; equal digests whose check values agree (SHA-256 and byte length) become
+one entry with the identifier that stays and the number of rows. After the last round every digest lies in one
+run, and no run has ever held more than its share. Going down again, only entries with more than one row travel,
+one per child run, so that a text with a third of all rows never gathers them: a run hands on one entry
+whatever its number of copies.
 """
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from leafmill.llm.common import LOWER, UPPER, documents, numbered, staged, text_of
+from leafmill.llm.common import LOWER, UPPER, documents, numbered, partitions, staged, text_of
 
 ENTRY = ["digest", "sha", "bytes"]
 
@@ -53,21 +56,28 @@ def _duplicates(rows: DataFrame, keep: str, round_bits: int = 3) -> DataFrame:
     # Ids run upwards or downwards so that one maximum serves both; nulls are the smallest either way.
     order = F.col("id") if keep == "largest" else -F.col("id")
     level = rows.select("run", *ENTRY, F.struct(order.alias("o"), F.col("id"), F.col("row")).alias("keep"), F.lit(1).cast("long").alias("n"))
-    runs = (rows.agg(F.max("run")).first()[0] or 0) + 1
+    last, n = rows.agg(F.max("run")).first()[0] or 0, partitions(rows.sparkSession)
 
     def merged(level: DataFrame) -> DataFrame:
-        return level.groupBy("run", *ENTRY).agg(F.max("keep").alias("keep"), F.sum("n").alias("n"))
-
-    levels = [staged(merged(level), "run-level")]
-    while runs > 1:
-        up = levels[-1].withColumn("run", F.shiftright("run", round_bits))
-        levels.append(staged(merged(up), "run-level"))
-        runs = (runs + (1 << round_bits) - 1) >> round_bits
+        """Whole runs in each partition, sorted; neighbours with equal entries become one."""
+        best = [F.max("keep").alias("keep"), F.sum("n").alias("n")]
+        return level.repartition(n, "run").sortWithinPartitions("run", *ENTRY).groupBy("run", *ENTRY).agg(*best)
+
+    def partner(at: int) -> Column:
+        """The run that gets an entry in the round for the bits from ``at`` on."""
+        bits = ((1 << round_bits) - 1) << at
+        return F.col("run").bitwiseAND(F.lit(~bits)).bitwiseOR(F.col("digest").bitwiseAND(F.lit(bits)).cast("int"))
+
+    # A partition's own copies meet before anything travels.
+    levels = [staged(level.groupBy("run", *ENTRY).agg(F.max("keep").alias("keep"), F.sum("n").alias("n")), "run-level")]
+    rounds = range(0, last.bit_length(), round_bits)
+    for at in rounds:
+        levels.append(staged(merged(levels[-1].withColumn("run", partner(at))), "run-level"))
     # Down: what stays, told to every run that holds a copy.
     told = levels[-1].where("n > 1")
-    for level in reversed(levels[:-1]):
+    for at, level in zip(reversed(rounds), reversed(levels[:-1])):
         parents = told.select(F.col("run").alias("parent"), *ENTRY, F.col("keep").alias("best"), F.col("n").alias("total"))
-        children = level.withColumn("parent", F.shiftright("run", round_bits))
+        children = level.withColumn("parent", partner(at))
         told = children.join(parents, ["parent", *ENTRY]).select("run", *ENTRY, F.col("best").alias("keep"), F.col("total").alias("n"))
     found = rows.join(told, ["run", *ENTRY], "left")
     alone = F.col("n").isNull()
