@@ -27,15 +27,15 @@ from leafmill.llm.common import documents, partitions, staged, text_of
 
 SIZE = 13
 DEPTH = 2
-#: A row of the sketch has at most 2 ** MOST_BITS cells, one bit each when broadcast (64 MB).
+#: A row of the sketch has at most 2 ** MOST_BITS cells, one bit each when broadcast (64 MB a row, packed).
 MOST_BITS = 29
 LEAST_BITS = 20
-BLOCK_BITS = 20
+BLOCK_BITS = 22
 #: Bytes of text hashed at a time.
 PIECE = 1 << 18
 #: Windows a task gathers before it sends on their cells, and windows that pass the sketch before it sends those on.
 UNIT = 1 << 19
-HITS = 1 << 19
+HITS = 1 << 18
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -284,6 +284,8 @@ def sketch_bits(shared, bits: int) -> list[np.ndarray]:
             room[:] = part[: len(room)]
         _held.clear()
         _held.update(of=shared, rows=rows)
+        # The packed form is not needed again: a worker holds the sketch once.
+        shared.__dict__.pop("_value", None)
     return _held["rows"]
 
 
