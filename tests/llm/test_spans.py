@@ -90,6 +90,37 @@ def test_wider_spans_are_found_and_decoys_left(spark):
     assert set(kinds) == {"local_phone", "masked_email"}
 
 
+def iban(rng):
+    body = "".join(rng.choice("0123456789") for _ in range(18))
+    check = 98 - int(body + "131400") % 97  # DE
+    return f"DE{check:02d}{body}"
+
+
+def test_domains_outside_the_list_national_and_account_numbers(spark):
+    rng = random.Random(7)
+    wanted, texts = {}, []
+    for i in range(40):
+        top = rng.choice(["pl", "ca", "com.au", "jp", "org", "de"])
+        masked = f"jane{i} [at] firma{i} [dot] {top}" if i % 2 else f"jane{i}(at)firma{i}.{top}"
+        for kind, cue, value in (
+            ("masked_email", "mail:", masked), ("national_id", "ssn:", f"{rng.randrange(100, 600)}-{rng.randrange(10, 99)}-{rng.randrange(1000, 9999)}"), ("account", "iban", iban(rng)),
+        ):
+            wanted[len(texts)] = (kind, value)
+            texts.append((len(texts), f"some words here, {cue} {value} and more"))
+    decoys = len(texts)
+    for i in range(40):
+        texts.append((len(texts), f"we meet (at) noon. Then order 9{rng.randrange(10, 99)}-00-{rng.randrange(1000, 9999)}, ticket DE00{rng.randrange(10**17, 10**18)}x"))
+    found, spans = pii.personal_data(table(spark, texts))
+    at = {r["row"]: r["id"] for r in found.collect()}
+    got = {}
+    for r in spans.collect():
+        got.setdefault(at[r["row"]], []).append((r["kind"], r["value"]))
+    for kind in ("masked_email", "national_id", "account"):
+        own = [i for i, (k, _) in wanted.items() if k == kind]
+        assert sum(wanted[i] in got.get(i, []) for i in own) >= 0.9 * len(own), kind
+    assert sum(i >= decoys for i in got) <= 2
+
+
 def test_reliabilities_separate_agreeing_labelers():
     patterns = [("card", 1, 1, 1, 1, 80), ("card", 0, 0, -1, 1, 300), ("card", 1, 0, -1, 1, 10), ("card", 0, 1, 1, 1, 5)]
     p = pii.reliabilities(patterns)
