@@ -147,6 +147,53 @@ def test_mixing_writes_and_zero_rates(spark):
     assert found[found.p_poor > 0.9].rate.max() < 0.05
 
 
+def test_upper_bounds_of_mixing(spark):
+    """With ``rest``, poor and toxic tokens have the smaller of their target and their present share, the rest is good."""
+    rows, labels = labelled_texts(random.Random(4), 200)
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    targets = {"good": 0.2, "poor": 0.7, "toxic": 0.1}
+    found = mixing.mixed(table(spark, rows), known, targets=targets, rest="good").toPandas()
+    t, p = found.tokens.to_numpy(float), found[["p_good", "p_poor", "p_toxic"]].to_numpy()
+    now = t @ p / t.sum()
+    assert now[1] < 0.7 and now[2] > 0.1
+    assert np.allclose((t * found.rate.to_numpy()) @ p / t.sum(), [1 - now[1] - 0.1, now[1], 0.1], atol=2e-3)
+
+
+def test_posteriors_follow_learned_words(spark):
+    """Toxic texts of languages with words of their own are recognised by the words of other labelled texts."""
+    rng = random.Random(21)
+    rude = {lang: [f"{lang}rude{k}{end}" for k in range(6) for end in ("", "s", "ly")] for lang in ("da", "fo", "ki")}
+    rows, labels = [], []
+    for i in range(900):
+        lang = rng.choice(sorted(rude))
+        words = [lang + "".join(rng.choice("abcdefg") for _ in range(rng.randrange(2, 7))) for _ in range(rng.randrange(40, 120))]
+        toxic = i % 4 == 0
+        if toxic:
+            for _ in range(4):
+                words.insert(rng.randrange(len(words)), rng.choice(rude[lang]))
+        rows.append((i, " ".join(words), lang, toxic))
+        if i < 700:
+            labels.append((i, 1, int(toxic)))
+    docs = spark.createDataFrame([(i, t) for i, t, _, _ in rows], "doc_id long, text string").repartition(4)
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    p = {r["id"]: r["p_toxic"] for r in mixing.mixed(docs, known).collect()}
+    for lang in rude:  # rows without a label
+        for toxic, low, high in ((True, 0.8, 1.0), (False, 0.0, 0.2)):
+            held = [p[i] for i, _, own, is_toxic in rows if own == lang and is_toxic == toxic and i >= 700]
+            assert len(held) > 5 and low <= np.mean(held) <= high, (lang, toxic)
+
+
+def test_learned_words_are_bounded(spark, monkeypatch):
+    rows, labels = labelled_texts(random.Random(5), 300)
+    known = spark.createDataFrame(labels + [(10**6, 0, 0), (None, 0, 0)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame([(i, i, t) for i, t in rows] + [(7000, None, "free"), (7001, 3, None)], "row long, id long, text string")
+    found = mixing.evidence(docs, known)
+    assert {"stupi", "idiot"} <= {w for steps in found["toxic"] for w in steps} and any(w.endswith("##") for steps in found["poor"] for w in steps)
+    monkeypatch.setattr(mixing, "ENTRIES", 3)
+    assert all(sum(map(len, steps)) <= 3 for steps in mixing.evidence(docs, known).values())
+    assert mixing.evidence(docs, known.where("false")) == {"poor": [[]] * mixing.STEP, "toxic": [[]] * mixing.STEP}
+
+
 def every_segmentation(text, pieces):
     out = []
 
