@@ -1,6 +1,6 @@
 """The registered queries in plain SQL, as an independent engine would answer them."""
 
-from catalog.queries import ASKED_SOURCES, LEAF_KEYS, LEAF_MEASURES, N_DRAWS, SEED, SUMMARY_DIGITS, THRESHOLDS
+from catalog.queries import ASKED_SOURCES, LEAF_KEYS, LEAF_MEASURES, LONG_TEXT, N_DRAWS, SEED, SUMMARY_DIGITS, THRESHOLDS
 
 
 def rounded(value: str, digits: int) -> str:
@@ -214,6 +214,37 @@ MIXED = f"""
         SELECT * FROM s FULL OUTER JOIN r USING (source, hierarchy_1, hierarchy_2)"""
 
 POSITIVE = "(1e0 / (1e0 + exp(-(l_quantity - 25e0) / 10e0 - l_discount)))"
+
+
+def study_report() -> str:
+    """The split by md5, the greedy folds of its training side, and accuracies of the two rules that trees of depth 0 and 1 are."""
+    docs = f"""(SELECT lang || '_' || source AS grp, lang, source, doc_id, (n_chars > {LONG_TEXT})::INTEGER AS long,
+                       ((n_chars > {LONG_TEXT}) <> (doc_id % 10 = 0))::INTEGER AS label FROM documents)"""
+    hits = "count(*) FILTER (WHERE long = {0} AND label = {0})::DOUBLE"
+    ratio = lambda c, of: f"coalesce({hits.format(c)} / nullif(count(*) FILTER (WHERE {of} = {c}), 0), 0)"
+    f1 = lambda c: f"coalesce(2e0 * {hits.format(c)} / nullif(count(*) FILTER (WHERE long = {c}) + count(*) FILTER (WHERE label = {c}), 0), 0)"
+    right = "avg((long = label)::INTEGER::DOUBLE)"
+    values = {
+        "n_trials": "2", "best_value": "(SELECT max(value) FROM t)", "best_depth": "(SELECT arg_max(depth, value) FROM t)",
+        "train_accuracy": f"(SELECT {right} FROM train)", "train_samples": "(SELECT count(*) FROM train)", "n_features": "1",
+        "test_accuracy": f"(SELECT {right} FROM test)", "test_samples": "(SELECT count(*) FROM test)",
+        "precision_macro": f"(SELECT ({ratio(0, 'long')} + {ratio(1, 'long')}) / 2e0 FROM test)",
+        "recall_macro": f"(SELECT ({ratio(0, 'label')} + {ratio(1, 'label')}) / 2e0 FROM test)",
+        "f1_macro": f"(SELECT ({f1(0)} + {f1(1)}) / 2e0 FROM test)",
+        "trial_depth_0": "(SELECT value FROM t WHERE depth = 0)", "trial_depth_1": "(SELECT value FROM t WHERE depth = 1)",
+    }
+    rows = " UNION ALL ".join(f"SELECT '{n}' AS metric, {rounded(f'({v})::DOUBLE', 9)} AS value" for n, v in values.items())
+    return f"""
+        WITH RECURSIVE s AS ({hash_split(docs, 'grp, long, label', draw('lang', 'source', 'doc_id'))}),
+        train AS (SELECT * FROM s WHERE is_train), test AS (SELECT * FROM s WHERE NOT is_train),
+        {greedy_folds('train', 'grp', 3)},
+        common AS (SELECT mode(label) AS usual FROM train),
+        f AS (SELECT fold, {right} AS by_feature, avg((label = usual)::INTEGER::DOUBLE) AS by_class
+              FROM train JOIN folds USING (grp), common GROUP BY fold),
+        t AS (SELECT 0 AS depth, avg(by_class) AS value FROM f UNION ALL SELECT 1, avg(by_feature) FROM f)
+        {rows}"""
+
+
 ASKED = ", ".join(f"('{s}')" for s in ASKED_SOURCES)
 
 ORACLES = {
@@ -352,5 +383,6 @@ ORACLES = {
     "scored_source_checks": """
         SELECT count(*) AS n_rows, 0::BIGINT AS first_id, count(*) - 1 AS last_id, count(*) AS n_ids,
                count(DISTINCT vec_id) AS n_groups, count(*) AS n_sums, count(*) AS n_likeliest FROM embeddings""",
+    "study_report": study_report(),
     "incremental_stats": leaf_sql("(SELECT user_id, value, event_id::DOUBLE AS position FROM events)", ["user_id"], ["value", "position"]),
 }

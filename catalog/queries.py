@@ -668,6 +668,34 @@ def forest_search(spark, folder):
     return result.trials.select("number", "value", "params_max_depth", "params_n_estimators", "state")
 
 
+LONG_TEXT = 600
+
+
+def study_report(spark, folder):
+    """A whole study whose outcome is known: long documents are class 1, one label in ten is wrong, the only feature says long or not.
+
+    Trees of depth 0 give the commoner class, those of depth 1 the feature. What the study stored: metrics and trials.
+    """
+    long = F.col("n_chars") > LONG_TEXT
+    docs = table(spark, folder, "documents").select(
+        "lang", "source", F.col("doc_id").cast("string").alias("doc_id"), long.cast("double").alias("text_long"),
+        (long != (F.col("doc_id") % 10 == 0)).cast("int").alias("label"),
+    )
+    grid = study.grid_params({"max_depth": [0, 1], "n_estimators": [5]})
+    result = study.run_study(staged(docs, "labelled"), scratch_path(spark, "study"), DOC_KEYS, ["label"], grid, n_folds=3, seed=SEED)
+    stored = spark.read.json(f"{result.path}/run_results/study_metrics")
+    parts = {
+        "study_info": ["n_trials", "best_value"], "training_metrics": ["train_accuracy", "train_samples", "n_features"],
+        "test_metrics": ["test_accuracy", "test_samples", "precision_macro", "recall_macro", "f1_macro"],
+    }
+    found = [F.struct(F.lit(n).alias("metric"), F.col(f"{part}.{n}").cast("double").alias("value")) for part, names in parts.items() for n in names]
+    found.append(F.struct(F.lit("best_depth").alias("metric"), F.col("study_info.best_params.max_depth").cast("double").alias("value")))
+    trials = spark.read.parquet(f"{result.path}/run_results/study_trials")
+    listed = trials.select(F.concat(F.lit("trial_depth_"), F.col("params_max_depth").cast("int")).alias("metric"), "value")
+    both = stored.select(F.explode(F.array(*found)).alias("m")).select("m.*").unionByName(listed)
+    return both.withColumn("value", rounded(F.col("value"), 9))
+
+
 def scored_source(spark, folder):
     """Study, saved model, and a written scoring run over the stored feature set."""
     data = _embedding_set(spark, folder)
@@ -769,6 +797,7 @@ QUERIES = {
     "forest_predictions": forest_predictions,
     "forest_predictions_checks": forest_predictions_checks,
     "forest_search": forest_search,
+    "study_report": study_report,
     "scored_source": scored_source,
     "scored_source_checks": scored_source_checks,
 }

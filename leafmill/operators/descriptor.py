@@ -21,10 +21,12 @@ def dataset_descriptor(
     has_labels: bool = False,
     is_inference: bool = False,
     label_path: str | None = None,
+    n_samples: int | None = None,
 ) -> DataFrame:
     """Sample count from the data, the rest from schema and arguments.
 
-    ``n_features`` leaves the keys out, ``feature_columns`` lists them too.
+    ``n_features`` leaves the keys out, ``feature_columns`` lists them too. With ``n_samples``, counted where the rows
+    were written, no row is read again.
     """
     keys = list(keys)
     columns = other_columns(df, labels)
@@ -32,7 +34,8 @@ def dataset_descriptor(
     def texts(values: Sequence[str]):
         return F.array(*[F.lit(v) for v in values]).cast("array<string>")
 
-    return df.agg(F.count("*").alias("n_samples")).select(
+    counted = df.agg(F.count("*").alias("n_samples")) if n_samples is None else df.sparkSession.range(1).select(F.lit(n_samples).cast("long").alias("n_samples"))
+    return counted.select(
         F.current_timestamp().alias("creation_date"),
         F.lit(description or "Feature arrangement output").alias("description"),
         texts(sources).alias("sources"),

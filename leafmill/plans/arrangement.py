@@ -2,7 +2,7 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from leafmill import DEFAULT_KEYS
 from leafmill.functions.columns import as_strings
@@ -13,7 +13,7 @@ from leafmill.operators.arrange import (
     label_keys,
     mark_labels,
 )
-from leafmill.operators.checks import require_columns, require_rows
+from leafmill.operators.checks import require_columns
 from leafmill.operators.descriptor import dataset_descriptor
 from leafmill.sinks.writers import FEATURE_SET_PREFIX, claim_folder, write_descriptor, write_feature_set
 
@@ -33,8 +33,8 @@ def arrange(
     With labels: the next ``features_{n}``, labelled and unlabelled rows in two partitions of
     one table. Without: a set for scoring, named by its sorted sources and overwritten.
 
-    The features are computed once, for the write; counts and checks read what was written.
-    Only the name of a set for scoring needs the sources first, so pass them there.
+    The features are computed once, for the write, and counted as they are written. Only the name of a set for
+    scoring needs the sources first, so pass them there.
     """
     keys = list(keys)
     spark = features.sparkSession
@@ -42,8 +42,11 @@ def arrange(
     if labels is None:
         sources = _source_list(features, keys[0]) if sources is None else list(sources)
         path = f"{base.rstrip('/')}/{'_'.join(sorted(sources))}"
-        written = require_rows(write_feature_set(features, path, overwrite=True), "feature table")
-        about = dataset_descriptor(written, keys, feature_types, sources, (), description, is_inference=True)
+        seen = Observation()
+        written = write_feature_set(features.observe(seen, F.count(F.lit(1)).alias("n")), path, overwrite=True)
+        if not seen.get["n"]:
+            raise ValueError("feature table has no rows")
+        about = dataset_descriptor(written, keys, feature_types, sources, (), description, is_inference=True, n_samples=seen.get["n"])
         write_descriptor(about, path)
         return path
     labels = label_keys(labels, keys)
@@ -52,14 +55,18 @@ def arrange(
     # Inner and anti join apart: Spark can split a label key that holds very many rows.
     marked = mark_labels(features, labels, keys, repeated_labels=True)
     path = f"{base.rstrip('/')}/{claim_folder(spark, base, FEATURE_SET_PREFIX)}"
-    written = require_rows(write_feature_set(marked, path), "feature table")
+    seen = Observation()
+    written = write_feature_set(marked.observe(seen, F.count(F.lit(1)).alias("n"), F.count_if(HAS_LABEL).alias("labelled")), path)
+    counts = {True: seen.get["labelled"], False: seen.get["n"] - seen.get["labelled"]}
+    if not seen.get["n"]:
+        raise ValueError("feature table has no rows")
     sources = _source_list(written, keys[0]) if sources is None else list(sources)
     for labelled in (True, False):
-        rows = written.where(F.col(HAS_LABEL) == labelled).drop(HAS_LABEL)
-        if not labelled and rows.isEmpty():
+        if not labelled and not counts[False]:
             continue
+        rows = written.drop(HAS_LABEL)
         about = dataset_descriptor(
-            rows, keys, feature_types, sources, names, description, has_labels=labelled, label_path=label_path
+            rows, keys, feature_types, sources, names, description, has_labels=labelled, label_path=label_path, n_samples=counts[labelled]
         )
         about = about.withColumn("duplicate_label_keys", F.lit(doubles["n"]))
         write_descriptor(about, path, "" if labelled else "_without_labels")
