@@ -8,8 +8,8 @@ Texts that share a sketch and whose lengths allow the similarity form a bucket.
 its texts are compared with up to ``PIVOTS`` of them, those whose sketches are the most shared, so that the
 edited copies of one text meet the copies with the fewest edits. This is one comparison a text and pivot
 whatever the size of the bucket. These pairs pass an estimate of the Jaccard index first (``BINS`` bytes per
-text, the smallest k-mer in each bin of one hash; four deviations below the similarity are let through), then
-they are aligned. Links that hold up are joined into classes.
+text, the smallest k-mer in each bin of one hash; six deviations below the similarity are let through, so that
+a similar pair is refused with a chance of 1e-9), then they are aligned. Links that hold up are joined into classes.
 
 Where the other texts of a bucket are still of several classes, each is compared with all those of another
 class inside tasks, in blocks of bounded size: common k-mers are counted, and pairs that have enough of them
@@ -19,7 +19,7 @@ block gives at most one link a class.
 A bucket that would need many blocks (a page template puts unrelated texts into one) is not paired out either.
 Its texts meet by their rarest k-mers instead: two texts of similarity ``s`` share one among the ``n - s * n + 1``
 first of each, under any one order of all k-mers, here from rare to frequent. Pairs that share such a k-mer pass
-the estimate with ``WIDE`` deviations, then they are aligned.
+the estimate, then they are aligned.
 
 Similarity: common k-mers of the best alignment over all k-mers of both texts (the order-respecting Jaccard
 index of occurrence-labelled shingles). A match of ``s`` needs few insertions and deletions, which bounds how
@@ -50,8 +50,8 @@ BLOCK_WORDS = 1 << 20
 #: Meetings of blocks from which on a bucket's texts meet by their rarest k-mers, and texts that may share one of those.
 MEETINGS = 8
 FEW = 64
-#: Deviations below the similarity that the estimate lets through: of hubs, whose refused pairs meet again, and of others.
-NARROW, WIDE = 4, 6
+#: Deviations below the similarity that the estimate lets through.
+DEVIATIONS = 6
 #: Cells in which the frequency of k-mers is counted, and how often a task has met one that it reports.
 CELLS = 1 << 20
 REPORTED = 4
@@ -207,7 +207,7 @@ def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
     return common(x, y, both - 2 * need) >= need
 
 
-def limits(filled: np.ndarray, sizes: np.ndarray, least: float, deviations: float = NARROW) -> np.ndarray:
+def limits(filled: np.ndarray, sizes: np.ndarray, least: float) -> np.ndarray:
     """Common bins that a pair with so many filled ones needs: some deviations below the similarity.
 
     ``sizes``: k-mers of both texts together. The filled bins are a draw without repetition from the k-mers
@@ -215,16 +215,16 @@ def limits(filled: np.ndarray, sizes: np.ndarray, least: float, deviations: floa
     """
     union = np.maximum(sizes / (1 + least), 2.0)
     drawn = np.clip((union - filled) / (union - 1), 0.0, 1.0)
-    return least * filled - deviations * np.sqrt(least * (1 - least) * filled * drawn) - 1.0
+    return least * filled - DEVIATIONS * np.sqrt(least * (1 - least) * filled * drawn) - 1.0
 
 
-def plausible(batches: Iterator[pd.DataFrame], least: float, deviations: float) -> Iterator[pd.DataFrame]:
+def plausible(batches: Iterator[pd.DataFrame], least: float) -> Iterator[pd.DataFrame]:
     """Pairs whose estimate allows the similarity."""
     for batch in batches:
         if len(batch):
             a, b = (np.frombuffer(b"".join(batch[c]), dtype=np.uint8).reshape(-1, BINS) for c in ("bins_u", "bins_v"))
             filled = ((a > 0) | (b > 0)).sum(axis=1)
-            need = limits(filled, (batch["n_u"] + batch["n_v"]).to_numpy(), least, deviations)
+            need = limits(filled, (batch["n_u"] + batch["n_v"]).to_numpy(), least)
             yield batch.loc[((a == b) & (a > 0)).sum(axis=1) >= need, ["u", "v"]]
 
 
@@ -406,7 +406,7 @@ def rarest_links(texts: DataFrame, signatures: DataFrame, own: DataFrame, least:
     left, right = (few.withColumnsRenamed({"row": r, "n": f"n_{r}", "class": f"class_{r}"}) for r in "uv")
     fits = (F.col("u") < F.col("v")) & (F.col("class_u") != F.col("class_v")) & (F.least("n_u", "n_v") >= F.lit(least) * F.greatest("n_u", "n_v"))
     pairs = staged(left.join(right, "kmer").where(fits).select("u", "v", "class_u", "class_v").distinct(), "pairs")
-    likely = staged(estimated(pairs.select("u", "v"), signatures, least, WIDE), "likely")
+    likely = staged(estimated(pairs.select("u", "v"), signatures, least), "likely")
     found = aligned(likely, own, least).join(pairs, ["u", "v"]).select(F.col("class_u").alias("u"), F.col("class_v").alias("v")).distinct()
     many = marks.join(of.where(F.col("texts") > FEW).select("kmer"), "kmer")
     if many.isEmpty():
@@ -415,13 +415,13 @@ def rarest_links(texts: DataFrame, signatures: DataFrame, own: DataFrame, least:
     return found.unionByName(block_meetings(with_blocks(rest), signatures, own, least))
 
 
-def estimated(pairs: DataFrame, signatures: DataFrame, least: float, deviations: float) -> DataFrame:
+def estimated(pairs: DataFrame, signatures: DataFrame, least: float) -> DataFrame:
     """Pairs (u, v) whose estimate allows the similarity."""
     bins = signatures.select("row", "bins", "n")
     both = pairs.join(bins.withColumnsRenamed({"row": "u", "bins": "bins_u", "n": "n_u"}), "u").join(
         bins.withColumnsRenamed({"row": "v", "bins": "bins_v", "n": "n_v"}), "v"
     )
-    return both.mapInPandas(lambda batches: plausible(batches, least, deviations), "u long, v long")
+    return both.mapInPandas(lambda batches: plausible(batches, least), "u long, v long")
 
 
 def aligned(likely: DataFrame, own: DataFrame, least: float) -> DataFrame:
@@ -457,10 +457,11 @@ def _near(rows: DataFrame, id_col: str, text_col: str, least: float) -> DataFram
     own = texts.select("row", "text")
     pairs = staged(pivot_pairs(members, least), "pairs")
     asked = staged(pairs.where("fits").select("u", "v").distinct(), "asked")
-    found = aligned(staged(estimated(asked, signatures, least, NARROW), "likely"), own, least)
+    found = aligned(staged(estimated(asked, signatures, least), "likely"), own, least)
     joined = components(found).withColumnsRenamed({"node": "row", "component": "class"})
-    # Hubs too: a pair of theirs that only the estimate refused is compared by its k-mers now.
-    rest = staged(members.join(joined, "row", "left").withColumn("class", F.coalesce("class", "row")), "others")
+    # All but the hubs of a bucket, which have met everything in it.
+    rest = members.join(pairs.select("bucket", F.col("pivot").alias("row")).distinct(), ["bucket", "row"], "left_anti")
+    rest = staged(rest.join(joined, "row", "left").withColumn("class", F.coalesce("class", "row")), "others")
     again = components(staged(class_links(rest, signatures, own, least), "links")).withColumnRenamed("node", "class")
     classes = copies.join(joined.withColumnRenamed("row", "first"), "first", "left").withColumn("class", F.coalesce("class", "first"))
     classes = staged(classes.join(again, "class", "left").select("row", "id", F.coalesce("component", "class").alias("class_row")), "classes")
