@@ -32,7 +32,7 @@ def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def segment(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with the ids of their best segmentation, its score and the scores of the next best."""
-    found = segmented(docs.select("doc_id", "lang", "source", "text"))
+    found = segmented(docs, keep=["doc_id", "lang", "source"])
     picked = [F.col(f"segmentation.{name}").alias(name) for name in ("ids", "n_pieces", "scores", "round_trip")]
     return found.select("doc_id", "lang", "source", *picked)
 

@@ -21,12 +21,12 @@ import string
 import zlib
 from array import array
 from bisect import insort
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import ahocorasick
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -41,11 +41,14 @@ NEVER = float("inf")
 NEVER_REACHED = -1e300
 LOST = 1e200
 #: Bytes of parts remembered by a worker in each of two generations; the older one is dropped when the younger is full.
-CACHE_BYTES = 48 << 20
+CACHE_BYTES = 40 << 20
 #: What Python adds to an entry: the string, the tuple, the packed ids, two numbers and a place in the table.
 ENTRY_BYTES = 300
 #: Longer parts are never remembered.
 LONG = 64
+#: Texts whose segmentations are handed on at a time.
+SLICE = 256
+SEGMENTATION = "ids: array<int>, n_pieces: long, scores: array<double>, ids_crc32: array<long>, round_trip: boolean"
 
 #: Cuts that no piece crosses: before blanks, around line ends, and around runs of punctuation after other characters.
 _MARKS = re.escape(string.punctuation)
@@ -273,37 +276,51 @@ def decode(ids: bytes, pieces: Pieces) -> str:
     return data.decode("utf-8", "surrogatepass")[1:]
 
 
-def segmented(docs: DataFrame, text_col: str = "text", model: str = MODEL, best: int = BEST, with_ids: bool = True) -> DataFrame:
-    """``docs`` with one more column, the struct ``segmentation``; no row is moved.
+def segmented(
+    docs: DataFrame, text_col: str = "text", model: str = MODEL, best: int = BEST, with_ids: bool = True, keep: Sequence[str] | None = None
+) -> DataFrame:
+    """``docs`` (or its columns ``keep``) with one more column, the struct ``segmentation``; no row is moved.
 
     ids: the best segmentation (null unless ``with_ids``); n_pieces; scores and ids_crc32: of the N best, best
     first; round_trip: whether decoding the best gives the text. A null text is empty: no pieces, score 0. A
-    text that holds U+2581 itself decodes to a blank there, so its round trip is false.
+    text that holds U+2581 itself decodes to a blank there, so its round trip is false. A column
+    ``segmentation`` of ``docs`` is replaced.
     """
     pieces = load(model)
-
-    @F.pandas_udf("ids array<int>, n_pieces long, scores array<double>, ids_crc32 array<long>, round_trip boolean")
-    def segmentation(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            rows = []
-            for text in texts:
-                text = text or ""
-                found = encode(text, pieces, best)
-                ids = found[0][1]
-                rows.append(
-                    (
-                        np.frombuffer(ids, dtype=np.intc) if with_ids else None,
-                        len(ids) // 4,
-                        [s for s, _ in found],
-                        [zlib.crc32(i) for _, i in found],
-                        decode(ids, pieces) == text,
-                    )
-                )
-            yield pd.DataFrame(rows, columns=["ids", "n_pieces", "scores", "ids_crc32", "round_trip"])
-
-    return docs.withColumn("segmentation", segmentation(F.col(f"`{text_col}`").cast("string")))
+    names = [c for c in (docs.columns if keep is None else keep) if c != "segmentation"]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("own"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    own = rows.schema["own"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, SLICE):
+                part = batch.slice(low, SLICE)
+                yield pa.RecordBatch.from_arrays([part.column("own"), _segmentations(part.column("text"), pieces, best, with_ids)], names=["own", "segmentation"])
+
+    return rows.mapInArrow(run, f"own {own}, segmentation struct<{SEGMENTATION}>").select("own.*", "segmentation")
+
+
+def _segmentations(texts: pa.Array, pieces: Pieces, best: int, with_ids: bool) -> pa.Array:
+    """The structs of a slice of texts."""
+    ids, rows = [], []
+    for text in texts:
+        text = text.as_py() or ""
+        found = encode(text, pieces, best)
+        packed = found[0][1]
+        ids.append(packed)
+        rows.append((len(packed) // 4, [s for s, _ in found], [zlib.crc32(i) for _, i in found], decode(packed, pieces) == text))
+    if with_ids:
+        places = np.concatenate(([0], np.cumsum([len(i) // 4 for i in ids]))).astype(np.int32)
+        listed = pa.ListArray.from_arrays(pa.array(places), pa.array(np.frombuffer(b"".join(ids), dtype=np.intc)))
+    else:
+        listed = pa.nulls(len(ids), pa.list_(pa.int32()))
+    n, scores, checks, trips = zip(*rows) if rows else ((), (), (), ())
+    columns = [
+        listed, pa.array(n, pa.int64()), pa.array(scores, pa.list_(pa.float64())), pa.array(checks, pa.list_(pa.int64())), pa.array(trips, pa.bool_())
+    ]
+    return pa.StructArray.from_arrays(columns, names=["ids", "n_pieces", "scores", "ids_crc32", "round_trip"])
 
 
 def op1_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = segmented(documents(spark, sf_dir).select("doc_id", "text"), with_ids=False)
+    found = segmented(documents(spark, sf_dir), with_ids=False, keep=["doc_id"])
     return found.select("doc_id", "segmentation.n_pieces", "segmentation.scores", "segmentation.ids_crc32", "segmentation.round_trip")
