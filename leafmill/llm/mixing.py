@@ -2,9 +2,9 @@
 
 A Gaussian naive Bayes classifier, fitted on the labelled rows by one aggregation, gives every document its
 probabilities over the domains ``good``, ``poor`` and ``toxic``. Among its measures is the evidence of the words:
-one part of the labelled rows, by a hash of the id, yields the word beginnings that stand out in a domain, with
-their log-odds in whole steps; a text's evidence is the sum of the steps of those that it holds. The other part
-fits the classifier. Document rates ``r >= 0`` then solve
+two thirds of the labelled rows, by a hash of the id, yield the word beginnings that stand out in a domain, with
+their log-odds in whole steps; a text's evidence is the sum of the steps of those that it holds, for its length.
+The other third fits the classifier. Document rates ``r >= 0`` then solve
 
     min over r of  1/2 * sum over domains d of (sum over documents i of r_i * t_i * p_id  -  target_d) ** 2
 
@@ -31,11 +31,13 @@ TARGETS = {"good": 0.9, "poor": 0.09, "toxic": 0.01}
 EVIDENCE = {"poor": ["good"], "toxic": ["good", "poor"]}
 MEASURES = ["length", "word_length", "symbols", "capitals", "marks", "new_words", "new_lines", *[f"{d}_words" for d in EVIDENCE]]
 #: Letters of a word beginning; labelled rows that words are learned from, at most about; word beginnings of a domain.
-BEGINNING = 5
+BEGINNING = 7
 SAMPLE = 24_000
 ENTRIES = 1_000
-#: A word beginning counts when so many texts of its domain hold it, at log-odds of one or more, in steps up to STEP.
-LEAST_TEXTS = 5
+#: A word beginning counts when so many texts of its domain hold it, so many deviations more than its share, at
+#: log-odds of one or more, in steps up to STEP.
+LEAST_TEXTS = 4
+DEVIATIONS = 5
 STEP = 4
 STEPS = 60
 WRITE_EVERY = 10
@@ -61,7 +63,7 @@ def with_words(rows: DataFrame) -> DataFrame:
 def domains_of(labels: DataFrame) -> DataFrame:
     """(id, domain, learns) of labelled ids; of a repeated id the last domain in alphabetical order counts."""
     named = labels.select(F.col("doc_id").alias("id"), domain().alias("domain")).where("id is not null and domain is not null")
-    return named.groupBy("id").agg(F.max("domain").alias("domain")).withColumn("learns", F.pmod(F.xxhash64(F.lit("words"), "id"), F.lit(2)) == 0)
+    return named.groupBy("id").agg(F.max("domain").alias("domain")).withColumn("learns", F.pmod(F.xxhash64(F.lit("words"), "id"), F.lit(3)) > 0)
 
 
 def evidence(rows: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict[str, list[list[str]]]:
@@ -71,8 +73,8 @@ def evidence(rows: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict[s
     """
     known = domains_of(labels).where("learns")
     n = known.count()
-    share = min(1.0, sample / n) if n else 0.0
-    picked = known.where(F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    kept = min(1.0, sample / n) if n else 0.0
+    picked = known.where(F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1_000_000)) < int(kept * 1_000_000))
     picked = F.broadcast(picked.select("id", "domain"))
     marked = with_words(rows.join(picked, "id", "left_semi")).join(picked, "id").select("domain", beginnings().alias("parts"))
     marked = staged(marked, "labelled-words")
@@ -81,10 +83,15 @@ def evidence(rows: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict[s
     counts = staged(counts.where(" OR ".join(f"{d} >= {LEAST_TEXTS}" for d in EVIDENCE)), "word-beginnings")
     out = {}
     for name, others in EVIDENCE.items():
-        inside = (F.col(name) + 0.5) / (totals.get(name, 0) + 1.0)
-        outside = (sum((F.col(o) for o in others), F.lit(0)) + 0.5) / (sum(totals.get(o, 0) for o in others) + 1.0)
-        odds = F.log(inside / outside)
-        found = counts.where((F.col(name) >= LEAST_TEXTS) & (odds >= 1)).select("part", F.least(F.floor(odds), F.lit(STEP)).cast("int").alias("step"), (odds * F.sqrt(name)).alias("weight"))
+        n_in, n_out = totals.get(name, 0), sum(totals.get(o, 0) for o in others)
+        met, elsewhere = F.col(name), sum((F.col(o) for o in others), F.lit(0))
+        odds = F.log((met + 0.5) / (n_in + 1.0)) - F.log((elsewhere + 0.5) / (n_out + 1.0))
+        # How far above its share of all texts that hold the word, in deviations.
+        share = max(n_in, 0.5) / (max(n_in, 0.5) + n_out + 0.5)
+        expected = (met + elsewhere) * F.lit(share)
+        stands_out = (met - expected) / F.sqrt(expected * (1 - share))
+        found = counts.where((met >= LEAST_TEXTS) & (odds >= 1) & (stands_out >= DEVIATIONS))
+        found = found.select("part", F.least(F.floor(odds), F.lit(STEP)).cast("int").alias("step"), stands_out.alias("weight"))
         steps: list[list[str]] = [[] for _ in range(STEP)]
         for part, step, _ in found.orderBy(F.desc("weight"), "part").limit(ENTRIES).collect():
             steps[step - 1].append(part)
@@ -101,7 +108,7 @@ def measured(rows: DataFrame, words: dict[str, list[list[str]]]) -> DataFrame:
 
     def spoken(steps: list[list[str]]) -> Column:
         hits = [F.size(F.array_intersect("parts", F.array(*[F.lit(p) for p in parts]))) * (i + 1) for i, parts in enumerate(steps) if parts]
-        return F.log1p(sum(hits, F.lit(0)).cast("double"))
+        return F.sqrt(share(sum(hits, F.lit(0)), n))
 
     return read.select(
         "id",

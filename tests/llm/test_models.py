@@ -188,7 +188,7 @@ def test_learned_words_are_bounded(spark, monkeypatch):
     known = spark.createDataFrame(labels + [(10**6, 0, 0), (None, 0, 0)], "doc_id long, quality int, toxic int")
     docs = spark.createDataFrame([(i, i, t) for i, t in rows] + [(7000, None, "free"), (7001, 3, None)], "row long, id long, text string")
     found = mixing.evidence(docs, known)
-    assert {"stupi", "idiot"} <= {w for steps in found["toxic"] for w in steps} and any(w.endswith("##") for steps in found["poor"] for w in steps)
+    assert {"stupid", "idiot"} <= {w for steps in found["toxic"] for w in steps}
     monkeypatch.setattr(mixing, "ENTRIES", 3)
     assert all(sum(map(len, steps)) <= 3 for steps in mixing.evidence(docs, known).values())
     assert mixing.evidence(docs, known.where("false")) == {"poor": [[]] * mixing.STEP, "toxic": [[]] * mixing.STEP}
