@@ -15,20 +15,23 @@ sums as there are domains; the driver sees those, never rates. Steps follow the
 Borwein), and fall back to the safe step when the misfit has not come down.
 
 Everything here is DataFrame functions. Rates are a chain of short expressions over a written table of
-probabilities, and are written down every ``WRITE_EVERY`` steps.
+probabilities, and are written down every ``WRITE_EVERY`` steps. Once the steps are known, a rate follows from the
+probabilities of its own document alone, so that texts need not travel to meet their rates.
 """
 
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from leafmill.llm.common import SPACE, documents, numbered, read_table, staged, text_of
+from leafmill.llm.common import SPACE, documents, read_table, staged, text_of
 
 DOMAINS = ["good", "poor", "toxic"]
 #: Shares of all tokens.
 TARGETS = {"good": 0.9, "poor": 0.09, "toxic": 0.01}
 #: Domains whose words are learned, and the domains that they are told from.
 EVIDENCE = {"poor": ["good"], "toxic": ["good", "poor"]}
+#: Columns of the probabilities.
+P = [f"p{d}" for d in range(len(DOMAINS))]
 MEASURES = ["length", "word_length", "symbols", "capitals", "marks", "new_words", "new_lines", *[f"{d}_words" for d in EVIDENCE]]
 #: Letters of a word beginning; labelled rows that words are learned from, at most about; word beginnings of a domain.
 BEGINNING = 7
@@ -54,9 +57,14 @@ def beginnings() -> Column:
     return F.array_distinct(F.transform("words", lambda w: F.substring(F.lower(w), 1, BEGINNING)))
 
 
+def besides_text(rows: DataFrame) -> list[str]:
+    """Columns besides the text."""
+    return [name for name in rows.columns if name != "text"]
+
+
 def with_words(rows: DataFrame) -> DataFrame:
-    """Rows (row, id, text) with ``t``, a null text being empty, and its ``words``."""
-    read = rows.select("id", "row", text_of("text").alias("t"))
+    """Rows (id, text and any others) with ``t`` in place of the text, a null one being empty, and its ``words``."""
+    read = rows.select(*besides_text(rows), text_of("text").alias("t"))
     return read.withColumn("words", F.filter(F.split("t", SPACE), lambda w: F.length(w) > 0))
 
 
@@ -100,7 +108,7 @@ def evidence(rows: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict[s
 
 
 def measured(rows: DataFrame, words: dict[str, list[list[str]]]) -> DataFrame:
-    """id, row, tokens and the measures of every text of ``rows`` (row, id, text)."""
+    """The columns of ``rows`` (id, text and any others) besides the text, its tokens and its measures."""
     read = with_words(rows).withColumn("lines", F.split("t", "\n")).withColumn("parts", beginnings())
     n, size = F.size("words"), F.length("t")
     share = lambda x, of: F.coalesce(x / F.when(of > 0, of), F.lit(0.0)).cast("double")
@@ -111,8 +119,7 @@ def measured(rows: DataFrame, words: dict[str, list[list[str]]]) -> DataFrame:
         return F.sqrt(share(sum(hits, F.lit(0)), n))
 
     return read.select(
-        "id",
-        "row",
+        *besides_text(rows),
         n.cast("long").alias("tokens"),
         F.log1p(n).alias("length"),
         share(size, n).alias("word_length"),
@@ -157,13 +164,43 @@ def posteriors(table: DataFrame, model: dict) -> DataFrame:
     return raised.withColumn("total", total).withColumn("p", F.transform("e", lambda x: x / F.col("total"))).drop("logs", "e", "total")
 
 
-def solved(table: DataFrame, targets: dict[str, float], steps: int = STEPS) -> DataFrame:
-    """Adds ``rate`` to a table with tokens and p (p0, p1, ...): projected gradient to ``targets`` in tokens.
+def probable(table: DataFrame, model: dict) -> DataFrame:
+    """Adds the probabilities of the domains as p0, p1, ..."""
+    return posteriors(table, model).withColumns({name: F.col("p")[d] for d, name in enumerate(P)}).drop("p")
+
+
+def goals(soft: DataFrame, targets: dict[str, float], size: float, rest: str | None) -> dict[str, float]:
+    """Tokens to reach by domain; ``soft`` has tokens and p0, p1, ..."""
+    tokens = soft.agg(F.sum("tokens")).first()[0] or 0
+    if rest is not None and tokens:
+        now = soft.agg(*[F.sum(F.col("tokens") * F.col(p)) for p in P]).first()
+        targets = {d: min(targets[d], now[i] / tokens) for i, d in enumerate(DOMAINS) if d != rest}
+        targets[rest] = 1 - sum(targets.values())
+    return {d: targets[d] * size * tokens for d in DOMAINS}
 
-    The table is written already; a step reads only its numbers.
+
+def stepped(pulls: list[list[float]]) -> Column:
+    """The rate of a document (p0, p1, ...) after the steps that subtract ``pulls`` times its probabilities."""
+    if not pulls:
+        return F.lit(1.0)
+
+    def after(rate: Column, pull: Column) -> Column:
+        down = F.lit(0.0)
+        for d, name in enumerate(P):
+            down = down + F.col(name) * pull[d]
+        return F.greatest(F.lit(0.0), rate - down)
+
+    return F.aggregate(F.array(*[F.array(*[F.lit(x) for x in pull]) for pull in pulls]), F.lit(1.0), after)
+
+
+def solved(table: DataFrame, targets: dict[str, float], steps: int = STEPS) -> tuple[DataFrame, list[list[float]]]:
+    """Adds ``rate`` to a table with tokens and p0, p1, ...: projected gradient to ``targets`` in tokens.
+
+    The table is written already; a step reads only its numbers. Also returns the steps that led to the rates, as
+    ``stepped`` takes them.
     """
     k = len(DOMAINS)
-    p = [F.col(f"p{d}") for d in range(k)]
+    p = [F.col(name) for name in P]
     goal = [targets[d] for d in DOMAINS]
     rate = F.lit(1.0)
     before: Column = rate
@@ -177,25 +214,27 @@ def solved(table: DataFrame, targets: dict[str, float], steps: int = STEPS) -> D
 
     gram = table.agg(F.sum("tokens").alias("t"), F.count("*").alias("n")).first()
     if not gram["t"]:
-        return table.withColumn("rate", F.lit(1.0))
+        return table.withColumn("rate", F.lit(1.0)), []
     # The largest eigenvalue of sum of t p p' is at most sum of t, as p sums to one.
     safe = 1.0 / gram["t"]
     made, _ = sums(rate, rate)
     residual = [m - g for m, g in zip(made, goal)]
     misfits = [sum(x * x for x in residual)]
     best, best_rate = misfits[0], rate
+    pulls: list[list[float]] = []
+    taken = 0
     step, scale = safe, max(1.0, sum(g * g for g in goal))
     for i in range(1, steps + 1):
         if misfits[-1] <= CLOSE**2 * scale:
             break
         before = rate
+        pulls.append([step * residual[d] for d in range(k)])
         pull = F.lit(0.0)
         for d in range(k):
-            pull = pull + p[d] * F.lit(step * residual[d])
+            pull = pull + p[d] * F.lit(pulls[-1][d])
         rate = F.greatest(F.lit(0.0), before - pull)
         if i % WRITE_EVERY == 0:
             table = staged(table.withColumn("next_rate", rate).withColumn("next_before", before).drop("rate", "before").withColumnsRenamed({"next_rate": "rate", "next_before": "before"}), "rates")
-            p = [F.col(f"p{d}") for d in range(k)]
             rate, before = F.col("rate"), F.col("before")
             best_rate = None
         new, moved = sums(rate, before)
@@ -203,10 +242,16 @@ def solved(table: DataFrame, targets: dict[str, float], steps: int = STEPS) -> D
         made, residual = new, [m - g for m, g in zip(new, goal)]
         misfits.append(sum(x * x for x in residual))
         if best_rate is None or misfits[-1] <= best:
-            best, best_rate = misfits[-1], rate
+            best, best_rate, taken = misfits[-1], rate, i
         # Barzilai and Borwein, unless the misfit rose over the last five.
         step = moved / change if change > 0 and misfits[-1] <= max(misfits[-6:-1]) else safe
-    return table.withColumn("rate", best_rate)
+    return table.withColumn("rate", best_rate), pulls[:taken]
+
+
+def copies_of(rate: Column) -> Column:
+    """The rate rounded up or down by a hash of the id."""
+    u = F.pmod(F.xxhash64(F.lit("mix"), "id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return F.floor(rate + u).cast("int")
 
 
 def mixed(
@@ -223,34 +268,31 @@ def mixed(
     not number them alike.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    return _mixed(rows, labels, targets, size, rest)
-
-
-def _mixed(rows: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, size: float = 1.0, rest: str | None = None) -> DataFrame:
-    """``mixed`` of rows (row, id, text) that are numbered already."""
     table = staged(measured(rows, evidence(rows, labels)), "measures")
-    soft = posteriors(table, fitted(table, labels)).select("id", "row", "tokens", *[F.col("p")[d].alias(f"p{d}") for d in range(len(DOMAINS))])
-    soft = staged(soft, "posteriors")
-    tokens = soft.agg(F.sum("tokens")).first()[0] or 0
-    if rest is not None and tokens:
-        now = soft.agg(*[F.sum(F.col("tokens") * F.col(f"p{d}")) for d in range(len(DOMAINS))]).first()
-        targets = {d: min(targets[d], now[i] / tokens) for i, d in enumerate(DOMAINS) if d != rest}
-        targets[rest] = 1 - sum(targets.values())
-    goal = {d: targets[d] * size * tokens for d in DOMAINS}
-    u = F.pmod(F.xxhash64(F.lit("mix"), "id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rated = solved(soft, goal).withColumn("rate", F.round("rate", 6))
+    soft = staged(probable(table, fitted(table, labels)).select("id", "row", "tokens", *P), "posteriors")
+    rated = solved(soft, goals(soft, targets, size, rest))[0].withColumn("rate", F.round("rate", 6))
     return rated.select(
-        "id", "row", "tokens", *[F.round(f"p{d}", 6).alias(f"p_{name}") for d, name in enumerate(DOMAINS)], "rate",
-        F.floor(F.col("rate") + u).cast("int").alias("copies"),
+        "id", "row", "tokens", *[F.round(p, 6).alias(f"p_{name}") for p, name in zip(P, DOMAINS)], "rate",
+        copies_of(F.col("rate")).alias("copies"),
     )
 
 
-def remixed(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs``, each as many times as its rate says, all columns."""
-    rows = numbered(docs, "numbered")
-    found = _mixed(rows.select("row", F.col(f"own.`{id_col}`").alias("id"), F.col(f"own.`{text_col}`").alias("text")), labels, **options)
-    copies = found.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
-    return rows.join(copies, "row").select("own.*")
+def remixed(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: dict[str, float] = TARGETS, size: float = 1.0,
+    rest: str | None = None,
+) -> DataFrame:
+    """The rows of ``docs``, each as many times as its rate says, all columns; options as in ``mixed``.
+
+    Rows are written once, with their measures beside them; neither rows nor texts are shuffled. ``docs`` is read twice, once
+    for its labelled rows.
+    """
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.struct("*").alias("own"))
+    table = staged(measured(rows, evidence(rows, labels)), "measures")
+    model = fitted(table, labels)
+    soft = staged(probable(table.drop("own"), model).select("tokens", *P), "posteriors")
+    pulls = solved(soft, goals(soft, targets, size, rest))[1]
+    found = probable(table, model).select("own", copies_of(F.round(stepped(pulls), 6)).alias("copies"), "id")
+    return found.where("copies > 0").select("own", F.explode(F.sequence(F.lit(1), "copies"))).select("own.*")
 
 
 def op3_soft_membership(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -159,6 +159,41 @@ def test_upper_bounds_of_mixing(spark):
     assert np.allclose((t * found.rate.to_numpy()) @ p / t.sum(), [1 - now[1] - 0.1, now[1], 0.1], atol=2e-3)
 
 
+def test_remixed_texts_stay_in_place(spark, monkeypatch):
+    """Rows come as often as ``copies`` says, also after rates were written down several times, and without a shuffle of texts."""
+    monkeypatch.setattr(mixing, "WRITE_EVERY", 5)
+    rows, labels = labelled_texts(random.Random(14), 200)
+    rows += [(None, "free text"), (1001, None), (1002, ""), (3, rows[3][1]), (4, "another text of an id")]
+    docs = table(spark, rows).selectExpr("doc_id", "text", "cast(doc_id % 5 as int) AS row", "length(text) AS id", "text AS own")
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    for options in ({"targets": {"good": 0.5, "poor": 0.45, "toxic": 0.05}, "size": 1.7}, {"rest": "good"}):
+        expected = []
+        numbers = [r["row"] for r in docs.selectExpr("monotonically_increasing_id() AS row").collect()]
+        by_row = {r["row"]: r["copies"] for r in mixing.mixed(docs, known, **options).collect()}
+        for number, row in zip(numbers, docs.collect()):
+            expected += [tuple(row)] * by_row[number]
+        left = mixing.remixed(docs, known, **options)
+        assert left.columns == docs.columns
+        assert sorted(map(str, map(tuple, left.collect()))) == sorted(map(str, expected))
+        assert "Exchange" not in left._jdf.queryExecution().executedPlan().toString()
+    assert mixing.remixed(docs.where("false"), known).count() == 0
+
+
+def test_steps_lead_to_the_rates(spark):
+    """Rates that follow from the steps equal those of the solver to the last bit."""
+    rng = random.Random(3)
+    rows = []
+    for _ in range(300):
+        a, b = sorted((rng.random(), rng.random()))
+        rows.append((rng.randrange(0, 400), a, b - a, 1 - b))
+    soft = spark.createDataFrame(rows, "tokens long, p0 double, p1 double, p2 double")
+    total = sum(r[0] for r in rows)
+    for shares in ((0.9, 0.09, 0.01), (0.0, 0.0, 1.2), (0.33, 0.33, 0.34)):
+        rated, pulls = mixing.solved(soft, {d: share * total for d, share in zip(mixing.DOMAINS, shares)})
+        both = rated.select("rate", mixing.stepped(pulls).alias("again")).collect()
+        assert len(both) == 300 and all(r["rate"] == r["again"] for r in both)
+
+
 def test_posteriors_follow_learned_words(spark):
     """Toxic texts of languages with words of their own are recognised by the words of other labelled texts."""
     rng = random.Random(21)
