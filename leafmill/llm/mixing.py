@@ -53,8 +53,8 @@ def domain() -> Column:
 
 
 def beginnings() -> Column:
-    """The different beginnings of the ``words`` of a text."""
-    return F.array_distinct(F.transform("words", lambda w: F.substring(F.lower(w), 1, BEGINNING)))
+    """The beginnings of the ``words`` of a text, in the order of the words."""
+    return F.transform("words", lambda w: F.substring(F.lower(w), 1, BEGINNING))
 
 
 def besides_text(rows: DataFrame) -> list[str]:
@@ -65,7 +65,7 @@ def besides_text(rows: DataFrame) -> list[str]:
 def with_words(rows: DataFrame) -> DataFrame:
     """Rows (id, text and any others) with ``t`` in place of the text, a null one being empty, and its ``words``."""
     read = rows.select(*besides_text(rows), text_of("text").alias("t"))
-    return read.withColumn("words", F.filter(F.split("t", SPACE), lambda w: F.length(w) > 0))
+    return read.withColumn("words", F.array_remove(F.split("t", SPACE), ""))
 
 
 def domains_of(labels: DataFrame) -> DataFrame:
@@ -84,7 +84,7 @@ def evidence(rows: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict[s
     kept = min(1.0, sample / n) if n else 0.0
     picked = known.where(F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1_000_000)) < int(kept * 1_000_000))
     picked = F.broadcast(picked.select("id", "domain"))
-    marked = with_words(rows.join(picked, "id", "left_semi")).join(picked, "id").select("domain", beginnings().alias("parts"))
+    marked = with_words(rows.join(picked, "id", "left_semi")).join(picked, "id").select("domain", F.array_distinct(beginnings()).alias("parts"))
     marked = staged(marked, "labelled-words")
     totals = {r["domain"]: r["n"] for r in marked.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     counts = marked.select("domain", F.explode("parts").alias("part")).groupBy("part").agg(*[F.count_if(F.col("domain") == d).alias(d) for d in DOMAINS])
@@ -107,15 +107,25 @@ def evidence(rows: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict[s
     return out
 
 
+def among(parts: Column | str, listed: list[str]) -> Column:
+    """Those ``parts`` that are listed."""
+    return F.filter(parts, lambda part: part.isin(listed))
+
+
 def measured(rows: DataFrame, words: dict[str, list[list[str]]]) -> DataFrame:
     """The columns of ``rows`` (id, text and any others) besides the text, its tokens and its measures."""
-    read = with_words(rows).withColumn("lines", F.split("t", "\n")).withColumn("parts", beginnings())
+    # A lookup a word, in one set of all learned beginnings; what is left of a text is short.
+    learned = sorted({part for steps in words.values() for parts in steps for part in parts})
+    held = F.array_distinct(among(beginnings(), learned))
+    read = with_words(rows).withColumn("lines", F.split("t", "\n")).withColumn("held", held)
+    # Texts are long and have few of these characters; one pass takes them out.
+    read = read.withColumn("signs", F.regexp_replace("t", r"[^#*$%&|<>A-Z.,;:!?]+", ""))
     n, size = F.size("words"), F.length("t")
     share = lambda x, of: F.coalesce(x / F.when(of > 0, of), F.lit(0.0)).cast("double")
-    without = lambda pattern: size - F.length(F.regexp_replace("t", pattern, ""))
+    counted = lambda pattern: F.length("signs") - F.length(F.regexp_replace("signs", pattern, ""))
 
     def spoken(steps: list[list[str]]) -> Column:
-        hits = [F.size(F.array_intersect("parts", F.array(*[F.lit(p) for p in parts]))) * (i + 1) for i, parts in enumerate(steps) if parts]
+        hits = [F.size(among("held", parts)) * (i + 1) for i, parts in enumerate(steps) if parts]
         return F.sqrt(share(sum(hits, F.lit(0)), n))
 
     return read.select(
@@ -123,9 +133,9 @@ def measured(rows: DataFrame, words: dict[str, list[list[str]]]) -> DataFrame:
         n.cast("long").alias("tokens"),
         F.log1p(n).alias("length"),
         share(size, n).alias("word_length"),
-        F.sqrt(share(without(r"[#*$%&|<>]+"), size)).alias("symbols"),
-        F.sqrt(share(without("[A-Z]+"), size)).alias("capitals"),
-        F.sqrt(share(without("[.,;:!?]+"), size)).alias("marks"),
+        F.sqrt(share(counted(r"[#*$%&|<>]+"), size)).alias("symbols"),
+        F.sqrt(share(counted("[A-Z]+"), size)).alias("capitals"),
+        F.sqrt(share(counted("[.,;:!?]+"), size)).alias("marks"),
         share(F.size(F.array_distinct("words")), n).alias("new_words"),
         share(F.size(F.array_distinct("lines")), F.size("lines")).alias("new_lines"),
         *[spoken(words[d]).alias(f"{d}_words") for d in EVIDENCE],

@@ -2,6 +2,7 @@
 
 import base64
 import random
+import re
 
 import numpy as np
 import pandas as pd
@@ -194,6 +195,35 @@ def test_steps_lead_to_the_rates(spark):
         assert len(both) == 300 and all(r["rate"] == r["again"] for r in both)
 
 
+def test_measures_by_plain_python(spark):
+    """Measures of odd texts, with long lists of learned beginnings that no text has to build a set of."""
+    rng = random.Random(8)
+    rows = [(i, i, " ".join(rng.choice(["stupid", "Fool##", "ÄRGER.", "ok", "aaa7bcdefg", "A!", "%$a"]) for _ in range(30)) + rng.choice(["", "\n\nok\n", "\t  "])) for i in range(20)]
+    rows += [(100, None, None), (101, 7, ""), (102, 7, " \n "), (103, 8, "\u00a0x\u2003y 🙂🙂🙂🙂🙂🙂🙂🙂 | A,B;c")]
+    others = [f"other{i}" for i in range(100)]
+    words = {"poor": [[], ["fool##"], others, ["ärger.", "%$a", "a!"]], "toxic": [["stupid"], [], [], ["aaa7bcd", "🙂" * 7, *others]]}
+    made = mixing.measured(spark.createDataFrame(rows, "row long, id long, text string"), words)
+    found = {r["row"]: r for r in made.collect()}
+    assert len(found) == len(rows)
+    for row, id_, text in rows:
+        text, r = text or "", found[row]
+        held = re.findall(r"[^\x20\x09-\x0D]+", text)
+        n, size = len(held), len(text)
+        parts = {w.lower()[:7] for w in held}
+        expected = {
+            "length": np.log1p(n), "word_length": size / n if n else 0, "new_words": len(set(held)) / n if n else 0,
+            "new_lines": len(set(text.split("\n"))) / len(text.split("\n")),
+        }
+        for name, signs in (("symbols", "#*$%&|<>"), ("capitals", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), ("marks", ".,;:!?")):
+            expected[name] = (sum(c in signs for c in text) / size) ** 0.5 if size else 0
+        for d, steps in words.items():
+            hits = sum((i + 1) * len(parts & set(step)) for i, step in enumerate(steps))
+            expected[f"{d}_words"] = (hits / n) ** 0.5 if n else 0
+        assert r["id"] == id_ and r["tokens"] == n and set(expected) == set(mixing.MEASURES)
+        assert all(abs(r[name] - value) < 1e-12 for name, value in expected.items()), (text, expected, r)
+    assert "array_intersect" not in made._jdf.queryExecution().executedPlan().toString()
+
+
 def test_posteriors_follow_learned_words(spark):
     """Toxic texts of languages with words of their own are recognised by the words of other labelled texts."""
     rng = random.Random(21)
