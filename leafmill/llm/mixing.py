@@ -191,16 +191,13 @@ def goals(soft: DataFrame, targets: dict[str, float], size: float, rest: str | N
 
 def stepped(pulls: list[list[float]]) -> Column:
     """The rate of a document (p0, p1, ...) after the steps that subtract ``pulls`` times its probabilities."""
-    if not pulls:
-        return F.lit(1.0)
-
-    def after(rate: Column, pull: Column) -> Column:
+    rate = F.lit(1.0)
+    for pull in pulls:
         down = F.lit(0.0)
-        for d, name in enumerate(P):
-            down = down + F.col(name) * pull[d]
-        return F.greatest(F.lit(0.0), rate - down)
-
-    return F.aggregate(F.array(*[F.array(*[F.lit(x) for x in pull]) for pull in pulls]), F.lit(1.0), after)
+        for name, x in zip(P, pull):
+            down = down + F.col(name) * F.lit(x)
+        rate = F.greatest(F.lit(0.0), rate - down)
+    return rate
 
 
 def solved(table: DataFrame, targets: dict[str, float], steps: int = STEPS) -> tuple[DataFrame, list[list[float]]]:
@@ -301,8 +298,9 @@ def remixed(
     model = fitted(table, labels)
     soft = staged(probable(table.drop("own"), model).select("tokens", *P), "posteriors")
     pulls = solved(soft, goals(soft, targets, size, rest))[1]
-    found = probable(table, model).select("own", copies_of(F.round(stepped(pulls), 6)).alias("copies"), "id")
-    return found.where("copies > 0").select("own", F.explode(F.sequence(F.lit(1), "copies"))).select("own.*")
+    # No filter: pushed down, it would work out the probabilities anew for every step.
+    copies = F.array_repeat(F.lit(1), copies_of(F.round(stepped(pulls), 6)))
+    return probable(table, model).select("own", F.explode(copies)).select("own.*")
 
 
 def op3_soft_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
